@@ -311,7 +311,7 @@ def _score(rows: DataFrame, order: int, total: int, unknown: float, end: float,
     )
 
 
-def score_documents(spark: SparkSession, docs: DataFrame, order: int = 4, block_bytes: int = 32 << 20) -> DataFrame:
+def score_documents(spark: SparkSession, docs: DataFrame, order: int = 5, block_bytes: int = 32 << 20) -> DataFrame:
     """Each row of ``docs`` (doc_id, text, held_out) with its code length under the model of those not held out.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (a smoothed word count model, with which to
