@@ -74,7 +74,7 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     order = np.argsort(values)
     values, counts = values[order], counts[order]
     first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
-    return values[first], np.add.reduceat(counts, first) if len(first) else counts
+    return values[first], np.add.reduceat(counts, first, dtype=np.int64) if len(first) else counts.astype(np.int64)
 
 
 class _Block:
@@ -87,8 +87,8 @@ class _Block:
         data, starts, ends = _join(blobs, self.order)
         for a, runs in _windows(data, self.order):
             values, counts = _counted(runs[_predicted(a, len(runs), starts, ends)])
-            self.parts.append((values, counts if train else np.zeros(len(counts), np.int64)))
-        if len(self.parts) > 60:
+            self.parts.append((values, (counts if train else np.zeros(len(counts))).astype(np.int32)))
+        if len(self.parts) > 24:
             self.parts = [_merged(self.parts)]
         words, get = self.words, self.words.get
         self.docs += len(blobs) * train
@@ -226,17 +226,17 @@ def _codes(counts: DataFrame, order: int, pairs: np.ndarray) -> DataFrame:
 class _Scorer:
     """What one block needs to know."""
 
-    def __init__(self, order: int, unknown: float, end: float, end_known: bool):
-        self.order, self.unknown, self.end, self.end_known = order, unknown, end, end_known
+    def __init__(self, order: int, scale: float, end: float, end_known: bool):
+        self.order, self.scale, self.end, self.end_known = order, scale, end, end_known
         self.runs, self.values, self.words, self.slots = [], [], {}, None
 
-    def learn(self, runs: pa.Array, words: pa.Array, values: np.ndarray) -> None:
-        is_run = np.asarray(runs.is_valid())
-        if is_run.any():
-            self.runs.append(runs.filter(runs.is_valid()).to_numpy(zero_copy_only=False).astype(_U))
-            self.values.append(values[is_run])
-        if not is_run.all():
-            self.words.update(zip(words.filter(words.is_valid()).to_pylist(), values[~is_run].tolist()))
+    def learn(self, runs: pa.Array, codes: pa.Array, words: pa.Array, counts: pa.Array) -> None:
+        if runs.null_count < len(runs):
+            self.runs.append(runs.drop_null().to_numpy().astype(_U))
+            self.values.append(codes.drop_null().to_numpy().astype(np.float64))
+        if words.null_count < len(words):
+            values = np.log10(counts.drop_null().to_numpy() + 0.5) - self.scale
+            self.words.update(zip(words.drop_null().to_pylist(), values.tolist()))
 
     def _ready(self) -> None:
         runs = np.concatenate(self.runs)
@@ -269,7 +269,7 @@ class _Scorer:
             if hi > lo:
                 scores[lo:hi] += np.add.reduceat(values, np.maximum(starts[lo:hi] - a, 0))
         n_tokens, n_known, base = [], [], []
-        find, unknown = self.words.__getitem__, self.unknown
+        find, unknown = self.words.__getitem__, float(np.log10(0.5) - self.scale)
         for blob in blobs:
             found = list(map(find, blob.lower().split()))
             n_tokens.append(len(found) + 1)
@@ -278,7 +278,7 @@ class _Scorer:
         return n_tokens, n_known, base, scores
 
 
-def _score(rows: DataFrame, order: int, total: int, unknown: float, end: float, end_known: bool) -> DataFrame:
+def _score(rows: DataFrame, order: int, total: int, scale: float, end: float, end_known: bool) -> DataFrame:
     def run(batches):
         at, own = None, None
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
@@ -289,10 +289,10 @@ def _score(rows: DataFrame, order: int, total: int, unknown: float, end: float,
                 if b == a:
                     continue
                 if blocks[a] != at:
-                    at, own = blocks[a], _Scorer(order, unknown, end, end_known)
+                    at, own = blocks[a], _Scorer(order, scale, end, end_known)
                 part = batch.slice(a, b - a)
                 if not kinds[a]:
-                    own.learn(part.column(5), part.column(6), part.column(7).to_numpy(zero_copy_only=False))
+                    own.learn(*part.columns[5:9])
                     continue
                 for first, blobs, _ in _slices(part, 3, []):
                     own_rows = part.slice(first, len(blobs))
@@ -342,15 +342,15 @@ def score_documents(spark: SparkSession, docs: DataFrame, order: int = 5, block_
     n_docs = own.where("not held_out").count()
     total = n_words + n_docs
     scale = math.log10(total + 0.5 * (kinds + (n_docs > 0) + 1))
-    unknown, end = math.log10(0.5) - scale, math.log10(n_docs + 0.5) - scale
-
-    none = lambda kind: F.lit(None).cast(kind)
-    lookups = (
-        runs.select("block", "run").distinct().join(_codes(counts, order, pairs), "run")
-        .select("block", F.lit(0).alias("kind"), none("long").alias("doc_id"), none("string").alias("text"), none("boolean").alias("held_out"), "run", none("binary").alias("word"), "value")
-    )
-    known = F.when(F.col("c") > 0, F.log10(F.col("c") + 0.5) - F.lit(scale)).otherwise(F.lit(unknown))
-    words = word.select("block", F.lit(0).alias("kind"), none("long").alias("doc_id"), none("string").alias("text"), none("boolean").alias("held_out"), none("long").alias("run"), "word", known.alias("value"))
-    texts = own.select("block", F.lit(1).alias("kind"), "doc_id", "text", "held_out", none("long").alias("run"), none("binary").alias("word"), none("double").alias("value"))
+    end = math.log10(n_docs + 0.5) - scale
+
+    # Code lengths travel as 32-bit floats, word counts as they are.
+    none = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    no_text = [none("doc_id", "long"), none("text", "string"), none("held_out", "boolean")]
+    codes = runs.select("block", "run").distinct().join(_codes(counts, order, pairs), "run")
+    lookups = codes.select("block", F.lit(0).alias("kind"), *no_text, "run", F.col("value").cast("float").alias("code"), none("word", "binary"), none("n", "long"))
+    words = word.select("block", F.lit(0).alias("kind"), *no_text, none("run", "long"), none("code", "float"), "word", F.col("c").alias("n"))
+    no_row = [none("run", "long"), none("code", "float"), none("word", "binary"), none("n", "long")]
+    texts = own.select("block", F.lit(1).alias("kind"), "doc_id", "text", "held_out", *no_row)
     rows = lookups.unionByName(words).unionByName(texts).repartition("block").sortWithinPartitions("block", "kind")
-    return _score(rows, order, total, unknown, end, n_docs > 0)
+    return _score(rows, order, total, scale, end, n_docs > 0)

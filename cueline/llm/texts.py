@@ -23,7 +23,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64."""
     global _powers
     if len(_powers[0]) < n:
@@ -47,7 +47,7 @@ def word_hashes(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of ``blobs`` in order, and the number of words before each blob (one more entry)."""
     data = np.frombuffer(b" ".join(blobs), np.uint8)
     starts, ends = word_spans(data)
-    up, down = _power_tables(len(data) + 1)
+    up, down = power_tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, _U)
     np.cumsum((data.astype(_U) + _U(1)) * up[: len(data)], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))

@@ -8,6 +8,8 @@ from array import array
 
 import numpy as np
 
+from cueline.llm.texts import SPACES, mix, power_tables
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
 #: How the byte-level vocabulary splits text before its merges.
@@ -17,9 +19,11 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN) if b != 10}
 
-#: A space between two characters that are no white space always starts a new piece.
-_RUN = re.compile(r"\s ")
-_EDGE = re.compile(r"(?<=\S) (?=\S)")
+#: White space beyond the six ASCII bytes: texts that have some are encoded in one go.
+_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+#: Longer parts are not remembered.
+_LONG = 64
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -30,87 +34,146 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 
 class PieceEncoder:
-    """Encodes whole texts as the tokenizer does, computing each distinct piece once while it is remembered.
+    """Encodes whole texts as the tokenizer does, computing each distinct part once while it is remembered.
 
     Texts are cut at spaces between two non-space characters. No piece of the byte-level split
-    crosses such a place, so the ids of a text are those of its parts in order. The memo holds at
-    most two generations of ``remember`` parts; forgetting only costs time. With ``special`` false,
-    strings of special tokens in a text are ordinary text.
+    crosses such a place, so the ids of a text are those of its parts in order. Cutting, looking up and putting
+    together are array operations over many texts; only new parts go through Python. Parts are known by a 64-bit hash
+    and, as a check, 64 bits of their ends and length. At most ``remember`` parts are kept, in arrays of a fixed size
+    each; forgetting only costs time. With ``special`` false, strings of special tokens in a text are ordinary
+    text; else a text that has one is encoded in one go.
     """
 
-    def __init__(self, path: str, remember: int = 400_000, special: bool = True):
+    def __init__(self, path: str, remember: int = 2_000_000, special: bool = True):
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not special
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
-        self.tokenizer.model._resize_cache(0)  # what recurs is remembered here
-        self.pieces = regex.compile(SPLIT).findall
+        self.model = self.tokenizer.model
+        self.model._resize_cache(0)  # what recurs is remembered here
+        self.split = regex.compile(SPLIT).findall
         self.remember = remember
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.part_young: dict[str, bytes] = {}
-        self.part_old: dict[str, bytes] = {}
-
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
-
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of pieces of letters, by the tokenizer's model: such pieces need no further split."""
-        lines = "\n".join(words).encode().decode("latin-1").translate(BYTE_LETTERS).split("\n") if words else []
-        tokenize = self.tokenizer.model.tokenize
-        return [array("I", [y.id for y in tokenize(x)]).tobytes() for x in lines]
-
-    def _learn(self, parts: set[str]) -> None:
-        """Remember the ids of ``parts``: directly for marks, else put together from their pieces."""
-        missing = parts.difference(self.young)
-        for x in [x for x in missing if x in self.old]:
-            self.young[x] = self.old[x]
-            missing.discard(x)
-        if not missing:
-            return
-        marked = [x for x in missing if any(m in x for m in self.marks)]
-        for x, ids in zip(marked, self._encode(marked)):
-            self.young[x] = ids
-        missing.difference_update(marked)
-        todo = list(missing)
-        # A word of letters behind its space is one piece.
-        cut = [(x,) if x[:1] == " " and x[1:].isalpha() else self.pieces(x) for x in todo]
-        wanted = set().union(*cut).difference(self.part_young)
-        for x in [x for x in wanted if x in self.part_old]:
-            self.part_young[x] = self.part_old[x]
-            wanted.discard(x)
-        words = [x for x in wanted if x.lstrip(" ").isalpha()]
-        for x, ids in zip(words, self._encode_words(words)):
-            self.part_young[x] = ids
-        fresh = list(wanted.difference(words))
-        for x, ids in zip(fresh, self._encode(fresh)):
-            self.part_young[x] = ids
-        known = self.part_young
-        for x, own in zip(todo, cut):
-            self.young[x] = known[own[0]] if len(own) == 1 else b"".join([known[y] for y in own])
-        if len(self.part_young) > self.remember:
-            self.part_old, self.part_young = self.part_young, {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.pieces: dict[str, bytes] = {}
+        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.places, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.pool = np.zeros(0, "<u4")
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one piece of the split; one of letters goes to the tokenizer's model at once."""
+        letters = piece[1:] if piece[:1] == " " else piece
+        if not letters.isalpha():
+            return self._whole(piece)
+        if letters.isascii():
+            spelt = "\u0120" + letters if letters is not piece else piece
+        else:
+            spelt = piece.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return array("I", [x.id for x in self.model.tokenize(spelt)]).tobytes()
+
+    def _known(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            if len(self.pieces) > 300_000:
+                self.pieces.clear()
+            ids = self.pieces[piece] = self._piece(piece)
+        return ids
+
+    def _part(self, part: str) -> bytes:
+        """Ids of a part, put together from known pieces where letters, a stop or a lone line end show them at once."""
+        word = part[1:] if part[:1] == " " else part
+        if word.isalpha():
+            return self._known(part)
+        if word[-1:] in (".", ",") and word[:-1].isalpha():
+            return self._known(part[:-1]) + self._known(part[-1])
+        a, line_end, b = part.partition("\n")
+        if line_end and (a[-1:].isalpha() or a[-1:] in (".", ",")) and b[:1].isalpha():
+            return self._part(a) + self._known("\n") + self._part(b)
+        return b"".join([self._known(x) for x in self.split(part)])
+
+    def _find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The entry of each part of ``data``; new ones are encoded and entered."""
+        up, down = power_tables(len(data) + 1)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+        keys = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        keys, first, entry = np.unique(keys, return_index=True, return_inverse=True)
+        a, b = starts[first], ends[first]
+        padded = np.concatenate((np.zeros(8, np.uint8), data, np.zeros(8, np.uint8)))
+        wide = np.lib.stride_tricks.sliding_window_view(padded, 8)
+        ahead = np.minimum(b - a, 8).astype(np.uint64) * np.uint64(8)
+        head = wide[a + 8].copy().view("<u8").ravel()
+        head = np.where(ahead < 64, head & ~(~np.uint64(0) << np.minimum(ahead, np.uint64(63))), head)
+        tail = wide[np.maximum(b, a)].copy().view(">u8").ravel()
+        tail = np.where(ahead < 64, tail & ~(~np.uint64(0) << np.minimum(ahead, np.uint64(63))), tail)
+        checks = mix(head) + mix(tail + np.uint64(0x51)) + (b - a).astype(np.uint64)
+        at = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        if len(self.keys):
+            near = np.minimum(at, len(self.keys) - 1)
+            known = (self.keys[near] == keys) & (self.checks[near] == checks)
+        if not known.all():
+            new = np.flatnonzero(~known)
+            raw = data.tobytes()
+            made = [self._part(raw[x:y].decode()) for x, y in zip(a[new].tolist(), b[new].tolist())]
+            sizes = np.fromiter(map(len, made), np.int64, len(made)) // 4
+            places = len(self.pool) + np.cumsum(sizes) - sizes
+            self.pool = np.concatenate((self.pool, np.frombuffer(b"".join(made), "<u4")))
+            where = at[new]
+            self.keys = np.insert(self.keys, where, keys[new])
+            self.checks = np.insert(self.checks, where, checks[new])
+            self.places = np.insert(self.places, where, places)
+            self.counts = np.insert(self.counts, where, sizes)
+            at = at + np.cumsum(~known) - ~known  # entries before it
+        return at[entry]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; None counts as empty."""
-        cut = []
-        for text in texts:
+        out: list[bytes | None] = [None] * len(texts)
+        rows, blobs = [], []
+        for i, text in enumerate(texts):
             if not text:
-                cut.append([])
-                continue
-            if any(m in text for m in self.marks) and " " in "".join(self.marks):
-                cut.append([text])  # a mark could hold an edge: take the text whole
-                continue
-            own = _EDGE.split(text) if _RUN.search(text) else text.split(" ")
-            cut.append([own[0], *[" " + x for x in own[1:]]])
-        self._learn(set().union(*cut))
-        known = self.young
-        out = [b"".join([known[x] for x in own]) for own in cut]
-        if len(known) > self.remember:
-            self.old, self.young = known, {}
+                out[i] = b""
+            elif _OTHER_SPACE.search(text) or (self.marks and any(m in text for m in self.marks)):
+                out[i] = self._whole(text)
+            else:
+                rows.append(i)
+                blobs.append(text.encode())
+        if not rows:
+            return out
+        data = np.frombuffer(b"\n".join(blobs), np.uint8)
+        sizes = np.fromiter(map(len, blobs), np.int64, len(blobs))
+        begins = np.cumsum(sizes + 1) - sizes - 1
+        ink = ~SPACES[data]
+        cuts = np.flatnonzero((data[1:-1] == 32) & ink[:-2] & ink[2:]) + 1 if len(data) > 2 else np.zeros(0, np.int64)
+        starts = np.sort(np.concatenate((begins, cuts)))
+        firsts = np.searchsorted(starts, begins)
+        ends = np.append(starts[1:], len(data))
+        ends[firsts[1:] - 1] -= 1  # what stands between two texts
+        long = np.flatnonzero(ends - starts > _LONG)
+        entry = self._find(data, starts, np.where(ends - starts > _LONG, starts, ends))
+        places, counts = self.places[entry].astype(np.int64), self.counts[entry].astype(np.int64)
+        if len(long):
+            raw = data.tobytes()
+            made = [self._part(raw[x:y].decode()) for x, y in zip(starts[long].tolist(), ends[long].tolist())]
+            counts[long] = np.fromiter(map(len, made), np.int64, len(made)) // 4
+            places[long] = len(self.pool) + np.cumsum(counts[long]) - counts[long]
+            pool = np.concatenate((self.pool, np.frombuffer(b"".join(made), "<u4")))
+        else:
+            pool = self.pool
+        upto = np.cumsum(counts)
+        ids = pool[np.repeat(places - (upto - counts), counts) + np.arange(upto[-1])]
+        bounds = np.append((upto - counts)[firsts], upto[-1])
+        for i, x, y in zip(rows, bounds[:-1].tolist(), bounds[1:].tolist()):
+            out[i] = ids[x:y].tobytes()
+        if len(self.keys) > self.remember:
+            self._forget()
         return out
 
 
