@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cueline.llm.ordering import running_total
 from cueline.llm.scratch import Scratch
@@ -13,7 +13,7 @@ from cueline.llm.scratch import Scratch
 WEIGHTS = (3.0, 1.0, 2.0)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def count_words(text: pd.Series) -> pd.Series:
     """Runs of bytes that are no ASCII white space; 0 for null."""
     return pd.Series([0 if x is None else len(x.encode().split()) for x in text], dtype="int64")
