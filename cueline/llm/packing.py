@@ -53,9 +53,9 @@ def best_fit(scratch: Scratch, items: DataFrame, size: int = 2048) -> DataFrame:
     down, a gap opens a bracket and an item closes the last open one: the least gap that holds it and that no
     longer item has taken. So each gap gets one item at most, and where several items reach for a gap the rank decides.
     The sweep is a running sum over the ranges (the depth of the brackets) and a window in each depth. Then the
-    gaps shrink, and the next round begins. Items over half a bin open one each; when the gaps can't hold what
-    is left, or nothing fits any more, the longest items left open as many bins as their tokens need at least. A bin has the number of
-    the item that opened it. Rounds stop when no item is left.
+    gaps shrink, and the next round begins, on the written table of the last. Items over half a bin open one each; when the
+    gaps can't hold what is left, or a round placed nothing, the longest items left open as many bins as their tokens need
+    at least. A bin has the number of the item that opened it. Rounds stop when no item is left.
     """
     length = F.col("length")
     left = items.select("item", length.cast("long").alias("length"))
@@ -63,45 +63,38 @@ def best_fit(scratch: Scratch, items: DataFrame, size: int = 2048) -> DataFrame:
     placed = [gaps.select(F.col("bin").alias("item"), "bin", F.lit(0).cast("long").alias("offset"))]
     left = scratch.save(left.where(2 * length <= size), "left")
     gaps = scratch.save(gaps.where("gap > 0"), "gaps")
+    before = None
     while True:
-        n, tokens = left.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+        both = left.select("length", F.lit(None).cast("long").alias("gap")).unionByName(gaps.select(F.lit(None).cast("long").alias("length"), "gap"))
+        n, tokens, least, room = both.agg(F.count("length"), F.coalesce(F.sum("length"), F.lit(0)), F.min("length"), F.coalesce(F.sum("gap"), F.lit(0))).first()
         if not n:
             break
-        least, room = left.agg(F.min("length")).first()[0], None
-        gaps = gaps.where(F.col("gap") >= least)  # a smaller gap never gets an item
-        room = gaps.agg(F.coalesce(F.sum("gap"), F.lit(0))).first()[0]
-        matched = 0
-        if room:
-            events = gaps.select("bin", F.col("gap").alias("size"), F.lit(1).cast("long").alias("step")).unionByName(
-                left.select(F.col("item").alias("bin"), length.alias("size"), F.lit(-1).cast("long").alias("step"))
-            )
-            keys = [F.col("size").desc(), F.col("step").desc(), F.col("bin")]
-            swept = running_total(scratch, events, keys, "step", "depth")
-            level = F.when(F.col("step") > 0, F.col("depth") + 1).otherwise(F.col("depth"))
-            by = Window.partitionBy("level").orderBy(*keys)
-            swept = swept.withColumn("level", level).select("*", F.lag(F.struct("bin", "size", "step")).over(by).alias("open"))
-            found = swept.where("step < 0 and open.step > 0").select(
-                F.col("bin").alias("item"), F.col("size").alias("length"), F.col("open.bin").alias("bin"), F.col("open.size").alias("gap")
-            )
-            found = scratch.save(found, "matches")
-            matched, taken = found.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
-            placed.append(found.select("item", "bin", (size - F.col("gap")).alias("offset")))
-            rest = left.join(found.select("item"), "item", "left_anti")
-            fitted = found.select("bin", (F.col("gap") - F.col("length")).alias("new"))
-            fresh = gaps.join(fitted, "bin", "left").select("bin", F.coalesce("new", "gap").alias("gap")).where("gap > 0")
-            tokens, room = tokens - taken, room - taken
-        else:
-            rest, fresh = left, gaps
-        lack = -(-(tokens - (room if matched else 0)) // size)
-        if lack > 0 and matched < n:
-            rest = scratch.save(rest, "rest")
+        stuck, before = n == before, n
+        lack = -(-(tokens - (0 if stuck else room)) // size)
+        if lack > 0:
             order = [F.col("length").desc(), F.col("item")]
-            first = running_total(scratch, rest.withColumn("one", F.lit(1).cast("long")), order, "one", "rank")
-            opened = scratch.save(first.where(F.col("rank") < lack).select("item", "length"), "opened")
+            first = running_total(scratch, left.withColumn("one", F.lit(1).cast("long")), order, "one", "rank")
+            ranked = scratch.save(first.select("item", "length", (F.col("rank") < lack).alias("opens")), "ranked")
+            opened = ranked.where("opens")
             placed.append(opened.select("item", F.col("item").alias("bin"), F.lit(0).cast("long").alias("offset")))
-            fresh = fresh.unionByName(opened.select(F.col("item").alias("bin"), (size - F.col("length")).alias("gap")))
-            rest = rest.join(opened.select("item"), "item", "left_anti")
-        left, gaps = scratch.save(rest, "left"), scratch.save(fresh, "gaps")
+            gaps = gaps.unionByName(opened.select(F.col("item").alias("bin"), (size - F.col("length")).alias("gap")))
+            left = ranked.where("not opens").select("item", "length")
+        gaps = gaps.where(F.col("gap") >= least)  # a smaller gap never gets an item
+        events = gaps.select("bin", F.col("gap").alias("size"), F.lit(1).cast("long").alias("step")).unionByName(
+            left.select(F.col("item").alias("bin"), length.alias("size"), F.lit(-1).cast("long").alias("step"))
+        )
+        keys = [F.col("size").desc(), F.col("step").desc(), F.col("bin")]
+        swept = running_total(scratch, events, keys, "step", "depth")
+        level = F.when(F.col("step") > 0, F.col("depth") + 1).otherwise(F.col("depth"))
+        by = Window.partitionBy("level").orderBy(*keys)
+        ahead, behind = F.lead(F.struct("bin", "size", "step")).over(by), F.lag(F.struct("bin", "size", "step")).over(by)
+        swept = swept.withColumn("level", level).select("bin", "size", "step", ahead.alias("close"), behind.alias("open"))
+        swept = scratch.save(swept, "swept")
+        # A gap that the next event of its level closes has an item; an item behind a gap has that gap.
+        placed.append(swept.where("step < 0 and open.step > 0").select(F.col("bin").alias("item"), F.col("open.bin").alias("bin"), (size - F.col("open.size")).alias("offset")))
+        left = swept.where("step < 0 and (open is null or open.step < 0)").select(F.col("bin").alias("item"), F.col("size").alias("length"))
+        taken = F.when(F.col("close.step") < 0, F.col("close.size")).otherwise(F.lit(0))
+        gaps = swept.where("step > 0").select("bin", (F.col("size") - taken).alias("gap")).where("gap > 0")
     out = placed[0]
     for x in placed[1:]:
         out = out.unionByName(x)
