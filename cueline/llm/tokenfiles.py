@@ -91,7 +91,8 @@ def token_starts(scratch: Scratch, table: DataFrame) -> DataFrame:
             )
 
     found = table.select("doc_id", "n_tokens", "ids").mapInArrow(digest, "doc_id long, n_tokens long, ids_crc32 long")
-    found = running_total(scratch, found, ["doc_id", "n_tokens", "ids_crc32"], "n_tokens", "start")
+    # Written once: a range partitioning reads its input twice.
+    found = running_total(scratch, scratch.save(found, "digests"), ["doc_id", "n_tokens", "ids_crc32"], "n_tokens", "start")
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
