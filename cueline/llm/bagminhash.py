@@ -74,7 +74,7 @@ def band_hashes(signature: np.ndarray, bands: int) -> np.ndarray:
 
 
 def _sign(docs: DataFrame, bands: int, size: int, words: int) -> DataFrame:
-    """id, key, bands: each text's checksum and band hashes (no bands for texts without words)."""
+    """id, key, bands, code: each text's checksum, band hashes (none for texts without words) and a byte of each component."""
 
     def run(batches):
         for batch in batches:
@@ -82,16 +82,19 @@ def _sign(docs: DataFrame, bands: int, size: int, words: int) -> DataFrame:
             for blobs in slices(batch.column(1)):
                 keys = [hashlib.blake2b(x, digest_size=16).digest() for x in blobs]
                 hashes, counts, begins = multisets(*shingle_hashes(blobs, words), len(blobs))
-                found = band_hashes(signatures(hashes, counts, begins, bands * size), bands)
+                signed = signatures(hashes, counts, begins, bands * size)
+                found = band_hashes(signed, bands)
+                codes = (mix(signed.view(_U)) >> _U(56)).astype(np.uint8)
                 sizes = np.where(np.diff(begins) > 0, bands, 0)
                 values = found[sizes > 0].ravel()
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(values))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(blobs)), pa.array(keys, pa.binary()), lists], names=["id", "key", "bands"]
+                    [batch.column(0).slice(at, len(blobs)), pa.array(keys, pa.binary()), lists, pa.array([c.tobytes() for c in codes], pa.binary())],
+                    names=["id", "key", "bands", "code"],
                 )
                 at += len(blobs)
 
-    return docs.select("id", "text").mapInArrow(run, "id long, key binary, bands array<long>")
+    return docs.select("id", "text").mapInArrow(run, "id long, key binary, bands array<long>, code binary")
 
 
 def _overlap(a, b) -> float:
@@ -130,6 +133,63 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, words: int)
     return checked.withColumn("linked", F.col("similarity") >= threshold)
 
 
+def _meetings(rows: DataFrame, threshold: float, size: int, block: int = 1000) -> DataFrame:
+    """a, b: pairs of a bucket, of different groups, whose signatures agree about as often as those of near copies.
+
+    ``rows`` are band, node, root, code. A bucket is cut into blocks by a hash, and pairs of blocks are compared as arrays in a stream, so
+    a large bucket is many tasks' work and only pairs that agree leave it. A pair at ``threshold`` agrees less often than the cut asks for with a
+    probability of 1e-7 (5.3 standard deviations).
+    """
+    least = (threshold - 5.3 * np.sqrt(threshold * (1 - threshold) / size)) * size
+
+    def compare(node, root, code, home):
+        left, right = np.flatnonzero(home == 0), np.flatnonzero(home == 1)
+        same = not len(right)
+        right = left if same else right
+        out = []
+        for i in range(0, len(left), 64):
+            rows = left[i : i + 64]
+            agree = (code[rows][:, None, :] == code[right][None, :, :]).sum(2)
+            near = (agree >= least) & (root[rows][:, None] != root[right])
+            if same:
+                near &= node[rows][:, None] < node[right]
+            x, y = np.nonzero(near)
+            out.append(np.stack((node[rows[x]], node[right[y]])))
+        found = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+        return np.minimum(*found), np.maximum(*found)
+
+    def run(batches):
+        key, held = None, []
+
+        def done():
+            cells = [np.concatenate(c) for c in zip(*held)]
+            a, b = compare(cells[0], cells[1], cells[2].reshape(-1, size), cells[3])
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            band, i, j, node, root, home = (batch.column(k).to_numpy() for k in range(6))
+            codes = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(-1, size)
+            cuts = np.flatnonzero((np.diff(band) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+            for x, y in zip([0, *cuts], [*cuts, len(band)]):
+                own = band[x], i[x], j[x]
+                if own != key and held:
+                    yield done()
+                    held = []
+                key = own
+                held.append((node[x:y], root[x:y], codes[x:y].ravel(), home[x:y]))
+        if held:
+            yield done()
+
+    sizes = rows.groupBy("band").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    i, j = F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
+    dealt = dealt.select("band", i, j, "node", "root", (F.col("own") > F.col("other")).cast("int").alias("home"), "code")
+    return dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(
     spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, band_size: int = BAND_SIZE, words: int = WORDS
 ) -> DataFrame:
@@ -139,8 +199,8 @@ def near_duplicates(
     of ``words`` words. Equal texts fall together first. Of the others, candidates share a band: with 40 bands of 5 a pair at 0.8 is missed
     with a probability of 1e-7. In each band's bucket all texts are compared with its hub, the one with the most
     companions over all its buckets (in a group of edited copies, the original), which links most groups with one comparison
-    for each text. Then all pairs of a bucket that are still in different groups, and were not compared, are compared too:
-    groups that are no near copies of each other rarely meet. So every candidate pair is compared, or its texts are in one group already.
+    for each text. Then all pairs of a bucket that are still in different groups, and were not compared, are tested too: first by how
+    many components of their signatures agree, in blocks, then by their texts. So every candidate pair is tested, or its texts are in one group already.
     A bucket is only ever grouped for its hub and its groups, with partial aggregation.
 
     class_id is the smallest doc_id of the group; kept is true for one row of it, the first with that id. Texts under ``words`` words are
@@ -151,7 +211,7 @@ def near_duplicates(
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     own = own.withColumn("id", F.coalesce("doc_id", F.xxhash64("text")))
     signed = scratch.save(_sign(own, bands, band_size, words), "signed")
-    classes = scratch.save(signed.groupBy("key").agg(F.min("id").alias("node"), F.first("bands").alias("bands")), "classes")
+    classes = scratch.save(signed.groupBy("key").agg(F.min("id").alias("node"), F.first("bands").alias("bands"), F.first("code").alias("code")), "classes")
 
     # Buckets with company, and each text's number of companions over all of them.
     banded = classes.select("node", F.explode("bands").alias("band"))
@@ -177,8 +237,7 @@ def near_duplicates(
     # Buckets where groups meet: all pairs across groups that were not compared.
     mixed = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("band")
     meeting = scratch.save(labelled.join(mixed, "band", "left_semi"), "meeting")
-    left, right = meeting.select("band", F.col("node").alias("a"), F.col("root").alias("ra")), meeting.select("band", F.col("node").alias("b"), F.col("root").alias("rb"))
-    across = left.join(right, "band").where("a < b and ra != rb").select("a", "b").distinct()
+    across = _meetings(meeting.join(classes.select("node", "code"), "node"), threshold, bands * band_size).distinct()
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     across = scratch.save(across.join(done, ["a", "b"], "left_anti"), "across")
     second = scratch.save(_verified(across, texts, threshold, words).where("linked").select("a", "b"), "found")
