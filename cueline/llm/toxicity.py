@@ -15,9 +15,10 @@ from cueline.llm.scratch import Scratch
 
 #: Labelled texts of each class in the index, at most.
 EXAMPLES = 4000
-#: Terms of the index, at most, by how well they tell the classes apart, and the least likelihood ratio of one.
-TERMS, LEAST_GAIN = 3000, 24.0
-NEIGHBOURS, BLOCK = 25, 128
+#: Terms of the index, at most, by how well they tell the classes apart; the least likelihood ratio statistic of one, and by
+#: which factor it must be more frequent in one of them.
+TERMS, LEAST_GAIN, LEAST_FACTOR = 3000, 24.0, 4.0
+NEIGHBOURS, BLOCK = 25, 512
 CUT = 0.3
 
 _WORD = re.compile(r"[^\W_]+")
@@ -173,7 +174,9 @@ def fit(spark: SparkSession, scratch: Scratch, docs: DataFrame, labelled: DataFr
     gain = part(a, F.col("t") * pos / all_) + part(b, F.col("t") * neg / all_)
     gain = gain + part(pos - a, (all_ - F.col("t")) * pos / all_) + part(neg - b, (all_ - F.col("t")) * neg / all_)
     counted = bags.groupBy("term").agg(F.sum("toxic").alias("p"), F.count("*").alias("t")).where("t >= 3")
-    best = counted.withColumn("gain", gain).where(F.col("gain") >= LEAST_GAIN).orderBy(F.desc("gain"), "term").limit(TERMS)
+    rate_1, rate_0 = (a + 0.5) / (pos + 1.0), (b + 0.5) / (neg + 1.0)
+    apart = F.greatest(rate_1 / rate_0, rate_0 / rate_1) >= LEAST_FACTOR
+    best = counted.withColumn("gain", gain).where(apart & (F.col("gain") >= LEAST_GAIN)).orderBy(F.desc("gain"), "term").limit(TERMS)
     terms = [r["term"] for r in best.collect()]
     known = {t: i for i, t in enumerate(terms)}
 
