@@ -15,6 +15,8 @@ from cueline.llm.texts import WORDS, mix, multisets, shingle_hashes, slices
 
 _U = np.uint64
 THRESHOLD, BANDS, BAND_SIZE = 0.8, 40, 5
+#: Texts in a bucket from which its pairs are verified in blocks.
+LARGE = 40
 
 
 def signatures(hashes: np.ndarray, counts: np.ndarray, begins: np.ndarray, size: int) -> np.ndarray:
@@ -133,44 +135,102 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, words: int)
     return checked.withColumn("linked", F.col("similarity") >= threshold)
 
 
-def _meetings(rows: DataFrame, threshold: float, size: int, block: int = 1000) -> DataFrame:
+def _overlaps(sets: list, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard similarities of the pairs (x, y) of multisets (hashes, counts).
+
+    A count is as many unit elements. Many pairs of few multisets are products of 0/1 matrices, a slice of the unit elements
+    that at least two of them share at a time.
+    """
+    rows = np.unique(np.concatenate((x, y)))
+    if len(x) <= 20 * len(rows):
+        return np.array([_overlap(sets[i], sets[j]) for i, j in zip(x, y)])
+    units, owner = [], []
+    for k, i in enumerate(rows):
+        hashes, counts = sets[i]
+        level = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        units.append(mix(np.repeat(hashes, counts) + mix(level.astype(_U))))
+        owner.append(np.full(len(level), k))
+    units, owner = np.concatenate(units), np.concatenate(owner)
+    _, column, times = np.unique(units, return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    place = np.cumsum(times > 1) - 1
+    column, owner = place[column[shared]], owner[shared]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    both, width = np.zeros((len(rows), len(rows)), np.float32), 2048
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        lo, hi = np.searchsorted(column, (start, start + width))
+        part = np.zeros((len(rows), width), np.float32)
+        part[owner[lo:hi], column[lo:hi] - start] = 1
+        both += part @ part.T
+    sizes = np.array([sets[i][1].sum() for i in rows], float)
+    i, j = np.searchsorted(rows, x), np.searchsorted(rows, y)
+    return both[i, j] / np.maximum(sizes[i] + sizes[j] - both[i, j], 1)
+
+
+def _meetings(rows: DataFrame, threshold: float, size: int, words: int, verify: bool, block: int) -> DataFrame:
     """a, b: pairs of a bucket, of different groups, whose signatures agree about as often as those of near copies.
 
-    ``rows`` are band, node, root, code. A bucket is cut into blocks by a hash, and pairs of blocks are compared as arrays in a stream, so
-    a large bucket is many tasks' work and only pairs that agree leave it. A pair at ``threshold`` agrees less often than the cut asks for with a
-    probability of 1e-7 (5.3 standard deviations).
+    ``rows`` are band, node, root, code, text. A bucket is cut into blocks by a hash, and pairs of blocks are compared as arrays in a stream, so
+    a large bucket is many tasks' work. A pair at ``threshold`` agrees less often than the cut asks for with a probability of 1e-7
+    (5.3 standard deviations). With ``verify`` the pairs that agree are compared by their multisets at once, and each text that is linked
+    comes with one text of its local group, so never more rows leave a block than it has texts; else the pairs that agree are given.
     """
     least = (threshold - 5.3 * np.sqrt(threshold * (1 - threshold) / size)) * size
 
-    def compare(node, root, code, home):
+    def near_pairs(root, code, home):
         left, right = np.flatnonzero(home == 0), np.flatnonzero(home == 1)
         same = not len(right)
         right = left if same else right
-        out = []
         for i in range(0, len(left), 64):
             rows = left[i : i + 64]
             agree = (code[rows][:, None, :] == code[right][None, :, :]).sum(2)
             near = (agree >= least) & (root[rows][:, None] != root[right])
             if same:
-                near &= node[rows][:, None] < node[right]
+                near &= rows[:, None] < right
             x, y = np.nonzero(near)
-            out.append(np.stack((node[rows[x]], node[right[y]])))
-        found = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-        return np.minimum(*found), np.maximum(*found)
+            yield np.stack((rows[x], right[y]))
+
+    def linked(x, y, texts, n):
+        """Stars of the groups that verified pairs make."""
+        involved = np.unique(np.concatenate((x, y)))
+        sets = {}
+        for i in range(0, len(involved), 200):
+            part = involved[i : i + 200]
+            hashes, counts, begins = multisets(*shingle_hashes([texts[k] for k in part], words), len(part))
+            sets |= {k: (hashes[p:q], counts[p:q]) for k, p, q in zip(part, begins, begins[1:])}
+        keep = _overlaps(sets, x, y) >= threshold
+        x, y, top = x[keep], y[keep], np.arange(n)
+        while True:  # the least row of each group spreads along its links
+            low = np.minimum(top[x], top[y])
+            fresh = top.copy()
+            np.minimum.at(fresh, x, low)
+            np.minimum.at(fresh, y, low)
+            fresh = fresh[fresh]
+            if (fresh == top).all():
+                break
+            top = fresh
+        moved = np.flatnonzero(top != np.arange(n))
+        return moved, top[moved]
 
     def run(batches):
         key, held = None, []
 
         def done():
-            cells = [np.concatenate(c) for c in zip(*held)]
-            a, b = compare(cells[0], cells[1], cells[2].reshape(-1, size), cells[3])
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            node, root, code, home = (np.concatenate([h[k] for h in held]) for k in range(4))
+            found = list(near_pairs(root, code.reshape(-1, size), home))
+            x, y = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+            if verify and len(x):
+                x, y = linked(x, y, [t for h in held for t in h[4]], len(node))
+            a, b = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             band, i, j, node, root, home = (batch.column(k).to_numpy() for k in range(6))
             codes = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(-1, size)
+            texts = [t.as_buffer().to_pybytes() for t in batch.column(7)] if verify else [b""] * len(band)
             cuts = np.flatnonzero((np.diff(band) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
             for x, y in zip([0, *cuts], [*cuts, len(band)]):
                 own = band[x], i[x], j[x]
@@ -178,15 +238,14 @@ def _meetings(rows: DataFrame, threshold: float, size: int, block: int = 1000) -
                     yield done()
                     held = []
                 key = own
-                held.append((node[x:y], root[x:y], codes[x:y].ravel(), home[x:y]))
+                held.append((node[x:y], root[x:y], codes[x:y].ravel(), home[x:y], texts[x:y]))
         if held:
             yield done()
 
-    sizes = rows.groupBy("band").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = rows.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = rows.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     i, j = F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
-    dealt = dealt.select("band", i, j, "node", "root", (F.col("own") > F.col("other")).cast("int").alias("home"), "code")
+    dealt = dealt.select("band", i, j, "node", "root", (F.col("own") > F.col("other")).cast("int").alias("home"), "code", *(["text"] if verify else []))
     return dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(run, "a long, b long")
 
 
@@ -200,7 +259,7 @@ def near_duplicates(
     with a probability of 1e-7. In each band's bucket all texts are compared with its hub, the one with the most
     companions over all its buckets (in a group of edited copies, the original), which links most groups with one comparison
     for each text. Then all pairs of a bucket that are still in different groups, and were not compared, are tested too: first by how
-    many components of their signatures agree, in blocks, then by their texts. So every candidate pair is tested, or its texts are in one group already.
+    many components of their signatures agree, in blocks, then by their texts (in large buckets in the same blocks, which return links by group, not by pair). So every candidate pair is tested, or its texts are in one group already.
     A bucket is only ever grouped for its hub and its groups, with partial aggregation.
 
     class_id is the smallest doc_id of the group; kept is true for one row of it, the first with that id. Texts under ``words`` words are
@@ -237,10 +296,16 @@ def near_duplicates(
     # Buckets where groups meet: all pairs across groups that were not compared.
     mixed = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("band")
     meeting = scratch.save(labelled.join(mixed, "band", "left_semi"), "meeting")
-    across = _meetings(meeting.join(classes.select("node", "code"), "node"), threshold, bands * band_size).distinct()
+    # In small buckets the pairs that agree are few for each text; in large ones they are verified where they meet.
+    sizes = meeting.groupBy("band").agg(F.count("*").alias("n"))
+    meeting = meeting.join(sizes, "band").join(classes.select("node", "code"), "node")
+    size = bands * band_size
+    across = _meetings(meeting.where(F.col("n") < LARGE), threshold, size, words, False, LARGE).distinct()
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     across = scratch.save(across.join(done, ["a", "b"], "left_anti"), "across")
     second = scratch.save(_verified(across, texts, threshold, words).where("linked").select("a", "b"), "found")
+    large = meeting.where(F.col("n") >= LARGE).join(texts, "node")
+    second = second.unionByName(scratch.save(_meetings(large, threshold, size, words, True, 500), "large"))
 
     groups = components(scratch, links.unionByName(second).unionByName(same))
     out = own.select("doc_id", "id").join(groups, F.col("id") == F.col("node"), "left").withColumn("class_id", F.coalesce("root", "id"))

@@ -49,6 +49,28 @@ def family(rng, n, copies, edits):
     return out
 
 
+def test_large_buckets_without_an_original(spark, monkeypatch):
+    import cueline.llm.bagminhash as own
+
+    monkeypatch.setattr(own, "LARGE", 6)
+    rng = random.Random(8)
+    texts = family(rng, 100, 60, 6)[1:] + family(rng, 80, 60, 3)[1:] + family(rng, 60, 10, 1)
+    rows = list(enumerate(texts))
+    found = near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in found} == by_hand(rows)
+
+
+def test_many_pairs_as_matrices():
+    rng = random.Random(9)
+    texts = [x * rng.choice([1, 2]) for x in family(rng, 40, 50, 12)]
+    hashes, counts, begins = multisets(*shingle_hashes([x.encode() for x in texts]), len(texts))
+    sets = [(hashes[a:b], counts[a:b]) for a, b in zip(begins, begins[1:])]
+    x, y = np.triu_indices(len(sets), 1)
+    from cueline.llm.bagminhash import _overlap, _overlaps
+
+    assert np.allclose(_overlaps(sets, x, y), [_overlap(sets[i], sets[j]) for i, j in zip(x, y)], atol=1e-6)
+
+
 def test_groups_equal_all_pairs(spark):
     rng = random.Random(2)
     texts = [None, "", " \n", "a b", "a b", "a  b", "a b c", "x " * 50, "x " * 49, "x " * 30]
