@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import lru_cache
 from itertools import groupby
 
 import pyarrow as pa
@@ -35,20 +36,25 @@ class Template:
     def unescape(self, text: str) -> str:
         return self._escaped.sub("", text)
 
+    def turn(self, role: str, text: str) -> str:
+        text = self.escape(text)
+        if role == "user":
+            return f"<s>[INST] {text} [/INST]"
+        if role == "assistant":
+            return f" {text} </s>"
+        if role == "system":
+            return f"<<SYS>> {text} <</SYS>>"
+        return f"<<TURN>>{self.escape(role)}\n{text}<</TURN>>"
+
     def __call__(self, turns: list[tuple[str, str]]) -> str:
         """The training text of (role, text) turns."""
-        out = []
-        for role, text in turns:
-            text = self.escape(text)
-            if role == "user":
-                out.append(f"<s>[INST] {text} [/INST]")
-            elif role == "assistant":
-                out.append(f" {text} </s>")
-            elif role == "system":
-                out.append(f"<<SYS>> {text} <</SYS>>")
-            else:
-                out.append(f"<<TURN>>{self.escape(role)}\n{text}<</TURN>>")
-        return "".join(out)
+        return "".join([_turn(*x) for x in turns])
+
+
+@lru_cache(maxsize=4096)
+def _turn(role: str, text: str) -> str:
+    """A turn's text, remembered while the prefixes of its conversation are rendered."""
+    return Template().turn(role, text)
 
 
 def _common(a: str, b: str) -> int:
@@ -79,7 +85,8 @@ def spans(render, turns: list[tuple[str, str]], loss_role: str = "assistant"):
             return render(turns), [], i
         at = len(before)
         one, two, none = (render([*upto, (role, x)]) for x in ("0", "1", ""))
-        head = _common(one, two)
+        skip = at if one.startswith(before) and two.startswith(before) else 0
+        head = skip + _common(one[skip:], two[skip:])
         tail = len(none) - head
         out.append((role, at, len(whole), head, len(whole) - tail, role == loss_role))
     return whole, out, None
