@@ -67,7 +67,8 @@ def with_follower(df: DataFrame, key: str, parts: int) -> DataFrame:
     least = -(2**63)
     ids = df.select(F.coalesce(F.col(key), F.lit(least)).alias("k"))
     shares = [i / parts for i in range(1, parts)]
-    cuts = np.array(sorted({int(x) for x in ids.approxQuantile("k", shares, 0.1 / parts)}), np.int64)
+    found = ids.approxQuantile("k", shares, 0.1 / parts) if shares else []
+    cuts = np.array(sorted({int(x) for x in found}), np.int64)
 
     @F.pandas_udf("int")
     def range_of(k: pd.Series) -> pd.Series:
