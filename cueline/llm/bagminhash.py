@@ -50,7 +50,8 @@ def signatures(hashes: np.ndarray, counts: np.ndarray, begins: np.ndarray, size:
         places = (step[live][:, None] + np.arange(1, points + 1)).astype(_U)
         first = mix(seed[live][:, None] + places * _U(0x9E3779B97F4A7C15))
         wait = -np.log1p(-((first >> _U(11)).astype(float) * 2.0**-53)) / width[live][:, None]
-        times = at[live][:, None] + np.cumsum(wait, axis=1)
+        # Waits are added one by one from the carried time: a point's bits don't depend on how many points a step has.
+        times = np.cumsum(np.concatenate((at[live][:, None], wait), axis=1), axis=1)[:, 1:]
         second = mix(first ^ _U(0xD6E8FEB86659FD93))
         component = ((second >> _U(32)) * _U(size)) >> _U(32)
         height = low[live][:, None] + (((second & _U(0xFFFFFFFF)) * width[live][:, None].astype(_U)) >> _U(32)).astype(np.int64)

@@ -105,3 +105,14 @@ def test_null_ids_and_no_rows(spark):
     same = [r["class_id"] for r in found if r["doc_id"] == 7]
     assert len(found) == 4 and sum(r["class_id"] == same[0] for r in found) == 3
     assert near_duplicates(spark, docs.where("false")).count() == 0
+
+
+def test_signatures_do_not_depend_on_the_slice():
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(9000)}" for _ in range(n)) * rng.choice([1, 3]) for n in [5, 16, 34, 64, 104] * 500]
+    texts[:5] = [" ".join(f"v{i % m}" for i in range(n)) for n, m in ((5, 9), (16, 7), (34, 34), (64, 20), (104, 104))]
+    blobs = [x.encode() for x in texts]
+    whole = signatures(*multisets(*shingle_hashes(blobs), len(blobs)), 200)
+    for part in ([0], [1], [2], [3], [4], range(5), range(40), range(300, 700)):
+        own = [blobs[i] for i in part]
+        assert np.array_equal(signatures(*multisets(*shingle_hashes(own), len(own)), 200), whole[list(part)])
