@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cueline.llm.ordering import running_total
-from cueline.llm.scratch import Scratch
+from cueline.llm.scratch import ROW, Scratch
 
 WEIGHTS = (3.0, 1.0, 2.0)
 
@@ -72,7 +72,7 @@ def balance(scratch: Scratch, cells: DataFrame, tolerance: float = 1e-9, rounds:
     return state.withColumn("rate", F.when(active, F.exp("m")).otherwise(0.0)).drop("m")
 
 
-def mix(spark: SparkSession, docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most: float = 2.0, repairs: int = 6) -> DataFrame:
+def mix(spark: SparkSession, docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most: float = 2.0, repairs: int = 6, row: str | None = None) -> DataFrame:
     """doc_id, row, size, source_size, target, rate, copies, taken for each row of ``docs`` (doc_id, text, source).
 
     Rates are rounded into copies: a document gets the whole part of its rate, and one more where its place among
@@ -81,11 +81,12 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple = WEIGHTS, share: f
     difference, ``repairs`` times as long as it helps. Copies never exceed ``most`` rounded up.
     Null text: size 0. Null source: a source of its own. Ties in size are ordered by doc_id and a hash of the
     text, so that reruns agree; equal rows are the same to the result. A document of size 0 has copies but takes 0.
-    An empty table gives no rows. Other columns are not read.
+    An empty table gives no rows. Other columns are not read. ``row`` names a column of distinct longs that is given back as row; else rows are numbered here.
     """
     scratch = Scratch(spark, "mixing")
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", count_words("text").alias("size"), F.xxhash64("text").alias("tie"))
-    sized = scratch.save(sized.withColumn("row", F.monotonically_increasing_id()), "sizes")
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", count_words("text").alias("size"), F.xxhash64("text").alias("tie"), number.alias("row"))
+    sized = scratch.save(sized, "sizes")
     cells = scratch.save(balance(scratch, source_targets(scratch, sized, weights, share, most)), "rates")
     # Ordered by source: each source's documents follow each other by size, and the place in the source is a difference.
     order = [F.col("source"), F.col("size").desc(), F.col("doc_id"), F.col("tie"), F.col("row")]
@@ -117,7 +118,8 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple = WEIGHTS, share: f
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with each document as many times as the mix takes it (doc_id must be distinct and not null)."""
-    copies = mix(spark, docs, **options).where("copies > 0").select("doc_id", "copies")
-    repeated = docs.join(copies, "doc_id")
+    """Each row of ``docs`` as many times as the mix takes it. Rows are told apart by their numbers, so ids may be null or repeated."""
+    numbered = Scratch(spark, "mixed").number(docs)
+    copies = mix(spark, numbered, row=ROW, **options).where("copies > 0").select(F.col("row").alias(ROW), "copies")
+    repeated = numbered.join(copies, ROW)
     return repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)

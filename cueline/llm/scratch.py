@@ -11,6 +11,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A row's number in its written table, where doc_id may be null or repeated.
+ROW = "_row"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,6 +49,10 @@ class Scratch:
         table.cueline_path = path
         return table
 
+    def number(self, df: DataFrame) -> DataFrame:
+        """``df`` with a distinct ``_row`` for each row, written, as numbers may differ when they are computed again."""
+        return self.save(df.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
     def drop(self, table: DataFrame | None) -> None:
         """Delete a saved table that no later step reads."""
         path = getattr(table, "cueline_path", None)
