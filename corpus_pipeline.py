@@ -3,24 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cueline.llm import bagminhash, mixing, packing, toxicity
-from cueline.llm.scratch import Scratch
+from cueline.llm.scratch import ROW, Scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the labelled examples' vote doesn't reject. Learns from all labels."""
+    """Rows whose text the labelled examples' vote doesn't reject, whatever their doc_id. Learns from all labels."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    scored = toxicity.score_toxicity(spark, docs, labels).where("predicted = 1").select(F.col("doc_id"))
-    return docs.join(scored.where("doc_id is not null").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    numbered = Scratch(spark, "toxic").number(docs)
+    rejected = toxicity.score_toxicity(spark, numbered, labels, keep=(ROW,)).where("predicted = 1").select(ROW)
+    return numbered.join(rejected, ROW, "left_anti").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest doc_id; documents without an id stay."""
-    found = bagminhash.near_duplicates(spark, docs)
-    others = found.where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near copies, the first with the smallest id; a row without an id has a hash of its text for it."""
+    numbered = Scratch(spark, "copies").number(docs)
+    others = bagminhash.near_duplicates(spark, numbered, row=ROW).where("not kept").select(ROW)
+    return numbered.join(others, ROW, "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

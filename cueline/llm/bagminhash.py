@@ -77,12 +77,12 @@ def band_hashes(signature: np.ndarray, bands: int) -> np.ndarray:
 
 
 def _sign(docs: DataFrame, bands: int, size: int, words: int) -> DataFrame:
-    """id, key, bands, code: each text's checksum, band hashes (none for texts without words) and a byte of each component."""
+    """row, doc_id, id, key, bands, code: each text's checksum, band hashes (none for texts without words) and a byte of each component."""
 
     def run(batches):
         for batch in batches:
             at = 0
-            for blobs in slices(batch.column(1)):
+            for blobs in slices(batch.column(3)):
                 keys = [hashlib.blake2b(x, digest_size=16).digest() for x in blobs]
                 hashes, counts, begins = multisets(*shingle_hashes(blobs, words), len(blobs))
                 signed = signatures(hashes, counts, begins, bands * size)
@@ -92,12 +92,12 @@ def _sign(docs: DataFrame, bands: int, size: int, words: int) -> DataFrame:
                 values = found[sizes > 0].ravel()
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(values))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(blobs)), pa.array(keys, pa.binary()), lists, pa.array([c.tobytes() for c in codes], pa.binary())],
-                    names=["id", "key", "bands", "code"],
+                    [*(batch.column(k).slice(at, len(blobs)) for k in range(3)), pa.array(keys, pa.binary()), lists, pa.array([c.tobytes() for c in codes], pa.binary())],
+                    names=["row", "doc_id", "id", "key", "bands", "code"],
                 )
                 at += len(blobs)
 
-    return docs.select("id", "text").mapInArrow(run, "id long, key binary, bands array<long>, code binary")
+    return docs.select("row", "doc_id", "id", "text").mapInArrow(run, "row long, doc_id long, id long, key binary, bands array<long>, code binary")
 
 
 def _overlap(a, b) -> float:
@@ -251,7 +251,8 @@ def _meetings(rows: DataFrame, threshold: float, size: int, words: int, verify:
 
 
 def near_duplicates(
-    spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, band_size: int = BAND_SIZE, words: int = WORDS
+    spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, band_size: int = BAND_SIZE, words: int = WORDS,
+    row: str | None = None,
 ) -> DataFrame:
     """doc_id, class_id, kept for each row of ``docs`` (doc_id, text): groups of documents joined by near copies.
 
@@ -263,12 +264,14 @@ def near_duplicates(
     many components of their signatures agree, in blocks, then by their texts (in large buckets in the same blocks, which return links by group, not by pair). So every candidate pair is tested, or its texts are in one group already.
     A bucket is only ever grouped for its hub and its groups, with partial aggregation.
 
-    class_id is the smallest doc_id of the group; kept is true for one row of it, the first with that id. Texts under ``words`` words are
+    class_id is the smallest doc_id of the group; kept is true for exactly one row of it, the first with that id, however many rows share it. Texts under ``words`` words are
     one shingle; texts without words are copies of texts equal to them only. A null text is empty. A null doc_id is replaced
     by a hash of the text within class_id. Rows that share a doc_id are in one group. An empty table gives no rows. Other columns are not read.
+    ``row`` names a column of distinct longs in a written table that is given back too, to tell rows apart.
     """
     scratch = Scratch(spark, "bagminhash")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    own = docs.select(number.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     own = own.withColumn("id", F.coalesce("doc_id", F.xxhash64("text")))
     signed = scratch.save(_sign(own, bands, band_size, words), "signed")
     classes = scratch.save(signed.groupBy("key").agg(F.min("id").alias("node"), F.first("bands").alias("bands"), F.first("code").alias("code")), "classes")
@@ -309,5 +312,9 @@ def near_duplicates(
     second = second.unionByName(scratch.save(_meetings(large, threshold, size, words, True, 500), "large"))
 
     groups = components(scratch, links.unionByName(second).unionByName(same))
-    out = own.select("doc_id", "id").join(groups, F.col("id") == F.col("node"), "left").withColumn("class_id", F.coalesce("root", "id"))
-    return out.select("doc_id", "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
+    # Of the rows with one id the first stands for it: one written number a row, joined by the number, so that no id is too large a key.
+    firsts = signed.groupBy("id").agg(F.min("row").alias("row")).select("row", F.lit(True).alias("first"))
+    out = signed.select("row", "doc_id", "id").join(firsts, "row", "left")
+    out = out.join(groups, F.col("id") == F.col("node"), "left").withColumn("class_id", F.coalesce("root", "id"))
+    kept = (F.col("id") == F.col("class_id")) & F.col("first").isNotNull()
+    return out.select(*([F.col("row").alias(row)] if row else []), "doc_id", "class_id", kept.alias("kept"))

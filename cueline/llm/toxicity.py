@@ -203,14 +203,15 @@ def fit(spark: SparkSession, scratch: Scratch, docs: DataFrame, labelled: DataFr
     return Model([r["doc_id"] for r in held], np.array([r["toxic"] for r in held], int), [r["bag"] or {} for r in held], idf, terms, weights)
 
 
-def score_toxicity(spark: SparkSession, docs: DataFrame, labelled: DataFrame, cut: float = CUT, examples: int = EXAMPLES) -> DataFrame:
+def score_toxicity(spark: SparkSession, docs: DataFrame, labelled: DataFrame, cut: float = CUT, examples: int = EXAMPLES, keep: tuple = ()) -> DataFrame:
     """doc_id, score, predicted, evidence for each row of ``docs`` (doc_id, text), learning from ``labelled`` (doc_id, toxic).
 
     A text's terms are compared with those of labelled examples by the cosine of TF-IDF vectors; the nearest vote, weighted
     by cosine and by how many labelled texts an example stands for. Left-out votes of the examples themselves calibrate the score. Only the text
     counts: equal texts have equal scores. Texts without any known term, empty and null ones too, get the share of label 1 among
     such examples. evidence lists the nearest examples (doc_id, toxic, cosine; three at most). Null labels and labels of unknown documents are ignored;
-    an id with both labels counts as toxic. Without usable labels all scores are 0. No rows give no rows. Other columns are not read.
+    an id with both labels counts as toxic. Without usable labels all scores are 0. No rows give no rows. Other columns are not read, except those
+    named in ``keep``, which come back with their row.
     """
     scratch = Scratch(spark, "toxicity")
     model = fit(spark, scratch, docs, labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic"), examples)
@@ -232,10 +233,11 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, labelled: DataFrame, cu
                 scores.append(score)
                 evidence.append(near)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= cut) for s in scores], pa.int32()), pa.array(evidence, kind)],
-                names=["doc_id", "score", "predicted", "evidence"],
+                [batch.column(0), *batch.columns[2:], pa.array(scores, pa.float64()), pa.array([int(s >= cut) for s in scores], pa.int32()), pa.array(evidence, kind)],
+                names=["doc_id", *keep, "score", "predicted", "evidence"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, score double, predicted int, evidence array<struct<doc_id:long,toxic:int,cosine:double>>"
+    kept = "".join(f"`{k}` {docs.schema[k].dataType.simpleString()}, " for k in keep)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text"), *keep).mapInArrow(
+        run, f"doc_id long, {kept}score double, predicted int, evidence array<struct<doc_id:long,toxic:int,cosine:double>>"
     )

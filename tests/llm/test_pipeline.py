@@ -1,6 +1,8 @@
+import random
 from collections import Counter
 
-from cueline.llm import mixing
+import corpus_pipeline
+from cueline.llm import bagminhash, mixing
 from cueline.llm.scratch import ROW, Scratch
 
 COLUMNS = "doc_id long, text string, source string"
@@ -25,3 +27,32 @@ def test_mixing_takes_rows_with_null_and_repeated_ids(spark):
         by_source[source] += n * len((text or "").split())
     targets = {r["source"]: r["target"] for r in mixing.mix(spark, docs).select("source", "target").distinct().collect()}
     assert all(abs(by_source[s] - t) <= 5 for s, t in targets.items())
+
+
+def test_each_group_of_near_copies_keeps_one_row(spark):
+    rng = random.Random(3)
+    family = [" ".join(f"w{rng.randrange(5000)}" for _ in range(100)) for _ in range(6)]
+    rows = [(k, t, "a") for k, t in enumerate(family)] + [(0, family[0], "again")] * 3 + [(0, family[0] + " more", "b")]
+    rows += [(None, family[1], "c")] * 4 + [(None, "only null ids here", "d")] * 5 + [(None, None, "e"), (None, "", "f"), (50, "", "g")]
+    rows += [(2, "another text of the same id", "h"), (60, family[3] + " end", "i"), (None, family[4] + " end", "j")]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    found = bagminhash.near_duplicates(spark, docs).collect()
+    kept = Counter(r["class_id"] for r in found if r["kept"])
+    assert len(found) == len(rows)
+    assert set(kept.values()) == {1} and set(kept) == {r["class_id"] for r in found}
+    left = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    # Six families (the second text of id 2 is in one), the text of null ids only, and the empty texts.
+    assert len(left) == len(kept) == 8
+    assert {t and next((k for k, f in enumerate(family) if t.startswith(f)), t) for _, t, _ in left} - {None, "", "another text of the same id"} >= {0, 1, 3, 4, 5}
+
+
+def test_toxic_rows_go_by_row(spark, tmp_path):
+    rng = random.Random(4)
+    clean = lambda: " ".join(f"c{rng.randrange(60)}" for _ in range(30))
+    toxic = lambda: clean() + " " + " ".join(f"vile{rng.randrange(4)}" for _ in range(8))
+    rows = [(i, toxic() if i % 2 else clean(), "t" if i % 2 else "c") for i in range(200)]
+    rows += [(None, toxic(), "t"), (None, clean(), "c"), (None, toxic(), "t"), (300, toxic(), "t"), (300, clean(), "c"), (None, None, "c")]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    left = Counter(map(tuple, corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()))
+    assert left == Counter(r for r in rows if r[2] == "c")
