@@ -87,14 +87,18 @@ class PieceEncoder:
 
     def _part(self, part: str) -> bytes:
         """Ids of a part, put together from known pieces where letters, a stop or a lone line end show them at once."""
+        made, at, end = [], 0, part.find("\n")
+        while end > at and (part[end - 1].isalpha() or part[end - 1] in ".,") and part[end + 1 : end + 2].isalpha():
+            made += [self._line(part[at:end]), self._known("\n")]
+            at, end = end + 1, part.find("\n", end + 1)
+        return b"".join([*made, self._line(part[at:])])
+
+    def _line(self, part: str) -> bytes:
         word = part[1:] if part[:1] == " " else part
         if word.isalpha():
             return self._known(part)
         if word[-1:] in (".", ",") and word[:-1].isalpha():
             return self._known(part[:-1]) + self._known(part[-1])
-        a, line_end, b = part.partition("\n")
-        if line_end and (a[-1:].isalpha() or a[-1:] in (".", ",")) and b[:1].isalpha():
-            return self._part(a) + self._known("\n") + self._part(b)
         return b"".join([self._known(x) for x in self.split(part)])
 
     def _find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

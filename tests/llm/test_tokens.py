@@ -29,3 +29,11 @@ def test_null_is_empty():
 def test_texts_in_slices(texts, n):
     texts = [*texts, "ab " * n + "x" * n]
     assert PLAIN.encode(texts) == [expected(PLAIN, t) if t else b"" for t in texts]
+
+
+def test_many_lines_without_spaces():
+    words = ["alpha", "Über", "stop.", "comma,", "x1", "", "don't"]
+    plain = "\n".join(words[i % 4] for i in range(100_000))
+    mixed = "\n".join(words[i % 7 if i % 5000 == 0 else i % 4] for i in range(100_000))
+    for text in (plain, mixed):
+        assert PLAIN.encode([text, "two words"]) == [expected(PLAIN, text), expected(PLAIN, "two words")]
