@@ -33,9 +33,6 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/cueline-{name}-{uuid.uuid4().hex[:12]}"
         self._tables = 0
-        # Texts may be long: a task holds few of them at once.
-        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
     def path(self, name: str) -> str:
         self._tables += 1
