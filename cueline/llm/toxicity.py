@@ -1,4 +1,4 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index."""
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine of whole texts over a block-max inverted index."""
 
 from __future__ import annotations
 
@@ -8,85 +8,175 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cueline.llm.scratch import Scratch
-
-#: Labelled texts of each class in the index, at most.
-EXAMPLES = 4000
-#: Terms of the index, at most, by how well they tell the classes apart; the least likelihood ratio statistic of one, and by
-#: which factor it must be more frequent in one of them.
-TERMS, LEAST_GAIN, LEAST_FACTOR = 3000, 24.0, 4.0
-NEIGHBOURS, BLOCK = 25, 512
+from cueline.llm.vectors import spherical_kmeans
+
+#: The bound of the sample that is learnt from: labelled texts of each class, bytes of a text, and bytes of a class, at most.
+EXAMPLES, TEXT_BYTES, CLASS_BYTES = 4000, 1 << 20, 64 << 20
+#: Letters of a term: words are cut behind them, so that the forms of a word meet.
+LETTERS = 4
+NEIGHBOURS, SHARPNESS = 25, 4.0
+#: Rows of a block, and how many of the most frequent terms have their postings as a full array.
+BLOCK, FULL = 256, 256
 CUT = 0.3
 
 _WORD = re.compile(r"[^\W_]+")
 
 
-def terms_of(word: str) -> list[str]:
-    """The terms of a lower-case word: itself, and its beginnings of 4 to 6 letters (marked, as they stand for many words)."""
-    return [word, *(word[:n] + "*" for n in (4, 5, 6) if len(word) > n)]
+def bag(text: str | None) -> Counter:
+    """How often a text has each term; empty for null."""
+    return Counter([w[:LETTERS] for w in _WORD.findall(text.lower())]) if text else Counter()
+
+
+class Rows:
+    """Sparse rows: terms and weights of row i stand at ``begins[i]`` to ``begins[i + 1]``."""
+
+    def __init__(self, terms: np.ndarray, weights: np.ndarray, begins: np.ndarray):
+        self.terms, self.weights, self.begins = terms, weights, begins
+
+    def __len__(self) -> int:
+        return len(self.begins) - 1
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in ``rows``, term, weight) of all entries of some rows."""
+        n = self.begins[rows + 1] - self.begins[rows]
+        at = np.repeat(self.begins[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.repeat(np.arange(len(rows)), n), self.terms[at], self.weights[at]
+
+
+class Vocabulary:
+    """Numbers and IDFs of the examples' terms."""
+
+    def __init__(self, terms: list[str], idf: np.ndarray):
+        self.number, self.idf = {t: i for i, t in enumerate(terms)}, idf
+
+    def vectors(self, bags: list) -> Rows:
+        """Unit vectors of term count times IDF. Terms that no example has are left out: they match nothing."""
+        find, terms, counts, begins = self.number.get, [], [], [0]
+        for own in bags:
+            for t, n in own.items():
+                k = find(t)
+                if k is not None:
+                    terms.append(k)
+                    counts.append(n)
+            begins.append(len(terms))
+        terms, begins = np.array(terms, np.int64), np.array(begins)
+        weights = np.array(counts, float) * self.idf[terms]
+        owner = np.repeat(np.arange(len(bags)), np.diff(begins))
+        norms = np.sqrt(np.bincount(owner, weights * weights, len(bags)))
+        return Rows(terms, weights / norms[owner], begins)
 
 
-def _bags(texts, known: dict[str, int] | None = None):
-    """Term counts of each text (None: empty), of the ``known`` terms by number if given. Remembers words while they are few."""
-    memo: dict[str, tuple] = {}
-    for text in texts:
-        bag = Counter()
-        for word, n in Counter(_WORD.findall(text.lower())).items() if text else ():
-            own = memo.get(word)
-            if own is None:
-                if len(memo) > 300_000:
-                    memo.clear()
-                own = memo[word] = tuple(terms_of(word) if known is None else [known[t] for t in terms_of(word) if t in known])
-            for t in own:
-                bag[t] += n
-        yield bag
+class _Postings:
+    """Entries by key: those of key k stand at ``begins[k]`` to ``begins[k + 1]``."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, weights: np.ndarray, n: int):
+        order = np.argsort(keys, kind="stable")
+        self.values, self.weights = values[order], weights[order]
+        self.begins = np.searchsorted(keys[order], np.arange(n + 1)).astype(np.int32)
+
+    def add(self, out: np.ndarray, rows: np.ndarray, keys: np.ndarray, weights: np.ndarray) -> None:
+        """out[row, value] += weight * posting's weight for all postings of the keys."""
+        first = self.begins[keys]
+        n = self.begins[keys + 1] - first
+        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        cell = np.repeat(rows * out.shape[1], n) + self.values[at]
+        out += np.bincount(cell, np.repeat(weights, n) * self.weights[at], out.size).reshape(out.shape)
 
 
 class BlockMaxIndex:
-    """Postings of unit vectors by term, in blocks of rows with the greatest weight of each block.
+    """Postings of unit vectors by term, in blocks of rows with the greatest weight of each term in each block.
 
-    A search sums each block's greatest weights to a bound of what its rows can reach, and reads blocks from the highest bound down
-    until no bound exceeds the least of the best ``k``; the result is that of comparing with every row.
+    Rows that are alike share a block. A search sums the greatest weights of a query's terms to a bound of what a block's
+    rows can reach, looks at the block with the highest bound first, and then at those whose bound is not below the least
+    of the best ``k`` so far. The result is that of comparing with every row. Queries are taken many at a time, as arrays. The most
+    frequent terms have their postings as full arrays, since most rows have them.
     """
 
-    def __init__(self, rows: list[dict[int, float]], block: int = BLOCK):
+    def __init__(self, rows: Rows, n_terms: int, block: int = BLOCK, full: int = FULL):
         self.block, self.n, self.searched = block, len(rows), 0
-        postings: dict[int, list[tuple[int, float]]] = {}
-        for i, row in enumerate(rows):
-            for t, w in row.items():
-                postings.setdefault(t, []).append((i, w))
-        self.blocks = -(-len(rows) // block)
-        self.terms = {}
-        for t, own in postings.items():
-            at, w = np.array([i for i, _ in own]), np.array([w for _, w in own])
-            bounds = np.searchsorted(at, np.arange(self.blocks + 1) * block)
-            most = np.array([w[a:b].max() if b > a else 0.0 for a, b in zip(bounds, bounds[1:])])
-            self.terms[t] = at, w, bounds, most
-
-    def search(self, query: dict[int, float], k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the ``k`` nearest with a cosine above 0; of equal ones those with the least numbers."""
-        own = [(q, *self.terms[t]) for t, q in query.items() if t in self.terms]
-        if not own:
-            return np.zeros(0, int), np.zeros(0)
-        bound = sum(q * most for q, _, _, _, most in own)
-        rows, cosines = np.zeros(0, int), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(rows) == k and bound[b] + 1e-9 < cosines[-1]):
-                break
-            self.searched += 1
-            score = np.zeros(self.block)
-            for q, at, w, bounds, _ in own:
-                a, z = bounds[b], bounds[b + 1]
-                score[at[a:z] - b * self.block] += q * w[a:z]
-            score = np.round(score, 12)
-            hit = np.flatnonzero(score > 0)
-            rows = np.concatenate((rows, hit + b * self.block))
-            cosines = np.concatenate((cosines, score[hit]))
-            best = np.lexsort((rows, -cosines))[:k]
-            rows, cosines = rows[best], cosines[best]
+        owner = np.repeat(np.arange(self.n), np.diff(rows.begins))
+        common = np.argsort(-np.bincount(rows.terms, minlength=n_terms), kind="stable")[:full]
+        self.place = np.full(n_terms, -1)
+        self.place[common] = np.arange(len(common))
+        dense = np.zeros((self.n, len(common)))
+        at = self.place[rows.terms]
+        dense[owner[at >= 0], at[at >= 0]] = rows.weights[at >= 0]
+        self.order = self._alike(dense)
+        rank = np.empty(self.n, np.int64)
+        rank[self.order] = np.arange(self.n)
+        self.blocks = max(1, -(-self.n // block))
+        padded = np.zeros((self.blocks * block, len(common)))
+        padded[: self.n] = dense[self.order]
+        self.dense = padded.reshape(self.blocks, block, -1)
+        self.dense_most = self.dense.max(1)
+        rare, n = at < 0, rank[owner]
+        terms, weights, own = rows.terms[rare], rows.weights[rare], n[rare] // block
+        self.sparse = []
+        for b in range(self.blocks):
+            mine = own == b
+            self.sparse.append(_Postings(terms[mine], n[rare][mine] % block, weights[mine], n_terms))
+        # Each term's greatest weight in each block that has it.
+        key = terms * self.blocks + own
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.diff(key[order], prepend=-1))
+        most = np.maximum.reduceat(weights[order], first) if len(first) else np.zeros(0)
+        self.most = _Postings(key[order][first] // self.blocks, key[order][first] % self.blocks, most, n_terms)
+
+    def _alike(self, dense: np.ndarray) -> np.ndarray:
+        """An order of rows in which those of one direction follow each other."""
+        norms = np.sqrt((dense * dense).sum(1))
+        if self.n < 4 * self.block or not (norms > 0).all():
+            first = dense.argmax(1) if dense.size else np.zeros(self.n)
+            return np.argsort(first, kind="stable")
+        unit = dense / norms[:, None]
+        centres = spherical_kmeans(unit, -(-self.n // self.block))
+        cos = unit @ centres.T
+        return np.lexsort((-cos.max(1), cos.argmax(1)))
+
+    def search(self, queries: Rows, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each query the rows and cosines of the ``k`` nearest; of equal ones those with the least numbers. Row -1 and cosine 0: none."""
+        m = len(queries)
+        rows, cosines = np.full((m, k), -1), np.zeros((m, k))
+        owner, terms, weights = queries.take(np.arange(m))
+        at = self.place[terms]
+        full, rare = at >= 0, at < 0
+        dense = np.zeros((m, self.dense.shape[2]))
+        dense[owner[full], at[full]] = weights[full]
+        bounds = dense @ self.dense_most.T
+        self.most.add(bounds, owner[rare], terms[rare], weights[rare])
+        rest = Rows(terms[rare], weights[rare], np.searchsorted(owner[rare], np.arange(m + 1)))
+        lead = bounds.argmax(1)
+        for first in (True, False):
+            for b in range(self.blocks):
+                if first:
+                    own = np.flatnonzero((lead == b) & (bounds[:, b] > 0))
+                else:
+                    own = np.flatnonzero((lead != b) & (bounds[:, b] > 0) & (bounds[:, b] + 1e-9 >= cosines[:, -1]))
+                if not len(own):
+                    continue
+                self.searched += len(own)
+                score = dense[own] @ self.dense[b].T
+                self.sparse[b].add(score, *rest.take(own))
+                score = np.round(score, 10)
+                better = (score >= cosines[own, -1:]) & (score > 0)
+                hit = better.any(1)
+                own, score, better = own[hit], score[hit], better[hit]
+                names = np.full(self.block, -1)
+                some = self.order[b * self.block : (b + 1) * self.block]
+                names[: len(some)] = some
+                # The candidates of this block, as many columns as the fullest query has.
+                width = min(self.block, max(k, int(better.sum(1).max(initial=0))))
+                cut = np.argpartition(-score, width - 1, axis=1)[:, :width] if width < self.block else np.tile(np.arange(self.block), (len(own), 1))
+                found = np.concatenate((rows[own], names[cut]), axis=1)
+                value = np.concatenate((cosines[own], np.take_along_axis(score, cut, axis=1)), axis=1)
+                value[found < 0] = 0
+                found[value <= 0] = -1
+                best = np.lexsort((np.where(found < 0, self.n, found), -value), axis=1)[:, :k]
+                rows[own], cosines[own] = np.take_along_axis(found, best, axis=1), np.take_along_axis(value, best, axis=1)
         return rows, cosines
 
 
@@ -104,138 +194,129 @@ def monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 
 class Model:
-    """Examples, their index, and the calibration of votes. Bounded by ``EXAMPLES`` and ``TERMS``, whatever the corpus."""
-
-    def __init__(self, names, toxic, bags, idf, terms, weights):
-        self.names, self.toxic, self.idf, self.known = names, toxic, idf, {t: i for i, t in enumerate(terms)}
-        self.weight = np.where(toxic == 1, weights[1], weights[0])
-        rows = [self.vector(b) for b in bags]
-        self.index = BlockMaxIndex(rows)
-        bare = np.array([not r for r in rows], bool)
-        self.prior = float((self.weight * toxic)[bare].sum() / max(self.weight[bare].sum(), 1e-9)) if bare.any() else 0.0
-        votes = np.array([self.vote(r, leave=i)[0] for i, r in enumerate(rows)])
-        self.knots = monotone(votes, toxic.astype(float), self.weight) if len(rows) else (np.zeros(1), np.zeros(1))
-
-    def vector(self, bag) -> dict[int, float]:
-        own = {t: (1 + math.log(n)) * self.idf[t] for t, n in sorted(bag.items())}
-        norm = math.sqrt(math.fsum(w * w for w in own.values()))
-        return {t: w / norm for t, w in own.items()} if norm else {}
-
-    def vote(self, query: dict[int, float], leave: int = -1):
-        """Cosine-weighted share of label 1 among the nearest, drawn to the share among texts without any term."""
-        rows, cosines = self.index.search(query, NEIGHBOURS + (leave >= 0))
-        keep = rows != leave
-        rows, cosines = rows[keep][:NEIGHBOURS], cosines[keep][:NEIGHBOURS]
-        w = cosines * self.weight[rows]
-        return float(((w * self.toxic[rows]).sum() + 0.5 * self.prior) / (w.sum() + 0.5)), rows, cosines
-
-    def score(self, query: dict[int, float]):
-        vote, rows, cosines = self.vote(query)
-        fitted = float(np.interp(vote, *self.knots))
-        return min(1.0, max(0.0, 0.99 * fitted + 0.01 * vote)), rows, cosines
-
-
-def _documents(batch: pa.RecordBatch, column: int):
-    return (x.as_py() for x in batch.column(column))
-
-
-def fit(spark: SparkSession, scratch: Scratch, docs: DataFrame, labelled: DataFrame, examples: int = EXAMPLES) -> Model:
+    """Examples, their index, and the calibration of votes. Its size is bounded by that of the sample, whatever the corpus."""
+
+    def __init__(self, names: list, toxic: np.ndarray, bags: list, vocabulary: Vocabulary, weights: list[float]):
+        self.names, self.toxic, self.vocabulary = names, toxic, vocabulary
+        weight = np.where(toxic == 1, weights[1], weights[0])
+        rows = vocabulary.vectors(bags)
+        self.index = BlockMaxIndex(rows, len(vocabulary.number))
+        bare = np.diff(rows.begins) == 0
+        self.prior = float((weight * toxic)[bare].sum() / weight[bare].sum()) if bare.any() else 0.0
+        self.knots = np.zeros(1), np.zeros(1)
+        if len(names):
+            found = [self._nearest(rows, np.arange(a, min(a + 500, len(names))), True) for a in range(0, len(names), 500)]
+            self.knots = monotone(np.concatenate([self._vote(*f) for f in found]), toxic.astype(float), weight)
+
+    def _nearest(self, rows: Rows, own: np.ndarray, leave: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest examples of some rows, with ``leave`` without the row of the same number."""
+        owner, terms, weights = rows.take(own)
+        part = Rows(terms, weights, np.searchsorted(owner, np.arange(len(own) + 1)))
+        found, cosines = self.index.search(part, NEIGHBOURS + leave)
+        if leave:
+            self_ = found == own[:, None]
+            self_[~self_.any(1), -1] = True
+            found, cosines = (x[~self_].reshape(len(own), NEIGHBOURS) for x in (found, cosines))
+        return found, cosines
+
+    def _vote(self, found: np.ndarray, cosines: np.ndarray) -> np.ndarray:
+        """Share of label 1 among the nearest, weighted by a power of the cosine; without any the share among texts without terms."""
+        w = cosines**SHARPNESS
+        total = w.sum(1)
+        share = (w * np.where(found >= 0, self.toxic[found], 0)).sum(1) / np.maximum(total, 1e-300)
+        return np.where(total > 0, share, self.prior)
+
+    def score(self, bags: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores, nearest examples and cosines."""
+        if not self.names:
+            return np.zeros(len(bags)), np.full((len(bags), NEIGHBOURS), -1), np.zeros((len(bags), NEIGHBOURS))
+        rows = self.vocabulary.vectors(bags)
+        found, cosines = self._nearest(rows, np.arange(len(bags)), False)
+        vote = self._vote(found, cosines)
+        score = 0.99 * np.interp(vote, *self.knots) + 0.01 * vote
+        bare = np.diff(rows.begins) == 0
+        return np.clip(np.where(bare, self.prior, np.round(score, 9)), 0, 1), found, cosines
+
+
+def _chosen(scratch: Scratch, docs: DataFrame, labelled: DataFrame, examples: int) -> tuple[DataFrame, list[int]]:
+    """The examples (doc_id, toxic, text) and how many labelled documents there are of each class."""
+    marked = labelled.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    marked = scratch.save(marked.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), "labelled")
+    count = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    first = [marked.where(F.col("toxic") == y).orderBy(*order).limit(examples) for y in (0, 1)]
+    first = scratch.save(first[0].unionByName(first[1]), "first")
+    # At most 2 * examples ids. Of rows that share an id one text stands for it, whatever their order.
+    texts = docs.select("doc_id", "text").join(F.broadcast(first), "doc_id").withColumn("h", F.xxhash64("text"))
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct("h", "text")).alias("text"))
+    texts = texts.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0))).where(F.col("size") <= TEXT_BYTES)
+    upto = F.sum("size").over(Window.partitionBy("toxic").orderBy(*order))
+    return scratch.save(texts.withColumn("upto", upto).where(F.col("upto") <= CLASS_BYTES).select("doc_id", "toxic", "text"), "examples"), [count.get(0, 0), count.get(1, 0)]
+
+
+def fit(scratch: Scratch, docs: DataFrame, labelled: DataFrame, examples: int = EXAMPLES) -> Model:
     """The model of ``labelled`` (doc_id, toxic 0 or 1); document frequencies are those of all ``docs`` (doc_id, text).
 
-    The examples are those of each class with the least hashes of doc_id. Terms are kept that tell the classes
-    apart by their likelihood ratio among the examples.
+    The examples are those of each class with the least hashes of doc_id, up to ``examples`` of them and ``CLASS_BYTES``. All
+    their terms are indexed. Driver and workers hold the examples and one number a term.
     """
-    marked = labelled.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen, weights = None, [0.0, 0.0]
-    for label in (0, 1):
-        own = marked.where(F.col("toxic") == label)
-        weights[label] = own.count()
-        own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
-        chosen = own if chosen is None else chosen.unionByName(own)
-    chosen = scratch.save(chosen, "chosen")
-    weights = [n / max(1, min(n, examples)) for n in weights]
-    texts = scratch.save(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]), "examples")
-
-    def rows(batches):
-        for batch in batches:
-            ids, toxic = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for i, y, bag in zip(ids, toxic, _bags(_documents(batch, 1))):
-                yield pa.RecordBatch.from_pydict(
-                    {"doc_id": [i] * len(bag), "toxic": pa.array([y] * len(bag), pa.int32()), "term": pa.array(list(bag), pa.string()), "n": pa.array(list(bag.values()), pa.int64())}
-                )
-
-    bags = texts.select("doc_id", "text", "toxic").mapInArrow(rows, "doc_id long, toxic int, term string, n long")
-    bags = scratch.save(bags, "bags")
-    size = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
-    pos, neg = size.get(1, 0), size.get(0, 0)
-    a, b = F.col("p"), F.col("t") - F.col("p")
-    part = lambda o, e: F.when(o > 0, 2 * o * F.log(o / e)).otherwise(0.0)
-    all_ = float(max(1, pos + neg))
-    gain = part(a, F.col("t") * pos / all_) + part(b, F.col("t") * neg / all_)
-    gain = gain + part(pos - a, (all_ - F.col("t")) * pos / all_) + part(neg - b, (all_ - F.col("t")) * neg / all_)
-    counted = bags.groupBy("term").agg(F.sum("toxic").alias("p"), F.count("*").alias("t")).where("t >= 3")
-    rate_1, rate_0 = (a + 0.5) / (pos + 1.0), (b + 0.5) / (neg + 1.0)
-    apart = F.greatest(rate_1 / rate_0, rate_0 / rate_1) >= LEAST_FACTOR
-    best = counted.withColumn("gain", gain).where(apart & (F.col("gain") >= LEAST_GAIN)).orderBy(F.desc("gain"), "term").limit(TERMS)
-    terms = [r["term"] for r in best.collect()]
-    known = {t: i for i, t in enumerate(terms)}
+    chosen, counts = _chosen(scratch, docs, labelled, examples)
+    # Ordered by their texts, not by their ids.
+    held = sorted(((r["text"] or "", r["toxic"], r["doc_id"]) for r in chosen.collect()))
+    bags = [bag(t) for t, _, _ in held]
+    terms = sorted(set().union(*bags)) if bags else []
+    number = {t: i for i, t in enumerate(terms)}
 
     def frequencies(batches):
-        found, n = np.zeros(len(terms), np.int64), 0
+        found, n, find = np.zeros(len(number), np.int64), 0, number.get
         for batch in batches:
             n += batch.num_rows
-            for bag in _bags(_documents(batch, 0), known):
-                for t in bag:
-                    found[t] += 1
+            for text in batch.column(0):
+                known = [k for k in map(find, bag(text.as_py())) if k is not None]
+                found[known] += 1
         seen = np.flatnonzero(found)
         yield pa.RecordBatch.from_pydict({"term": pa.array(np.append(seen, -1)), "n": pa.array(np.append(found[seen], n))})
 
-    counts = docs.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    counts = {r["term"]: r["n"] for r in counts.collect()}  # one number a term
-    n_docs = counts.get(-1, 0)
-    idf = [math.log((n_docs + 1) / (counts.get(i, 0) + 0.5)) for i in range(len(terms))]
-
-    words = spark.createDataFrame([(t, i) for i, t in enumerate(terms)], "term string, k int")
-    own = bags.join(F.broadcast(words), "term").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("bag"))
-    held = texts.select("doc_id", "toxic", F.xxhash64("text").alias("h")).join(own, "doc_id", "left")
-    # At most 2 * examples rows with at most TERMS numbers; ordered by the texts, not by their ids.
-    held = sorted(held.collect(), key=lambda r: (r["h"], r["toxic"], r["doc_id"]))
-    return Model([r["doc_id"] for r in held], np.array([r["toxic"] for r in held], int), [r["bag"] or {} for r in held], idf, terms, weights)
+    df = docs.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    df = {r["term"]: r["n"] for r in df.collect()}  # one number a term
+    n_docs = df.get(-1, 0)
+    idf = np.array([math.log((n_docs + 1) / (df.get(i, 0) + 0.5)) for i in range(len(terms))])
+    toxic = np.array([y for _, y, _ in held], int)
+    weights = [counts[y] / max(1, int((toxic == y).sum())) for y in (0, 1)]
+    return Model([i for _, _, i in held], toxic, bags, Vocabulary(terms, np.maximum(idf, 1e-9)), weights)
 
 
 def score_toxicity(spark: SparkSession, docs: DataFrame, labelled: DataFrame, cut: float = CUT, examples: int = EXAMPLES, keep: tuple = ()) -> DataFrame:
     """doc_id, score, predicted, evidence for each row of ``docs`` (doc_id, text), learning from ``labelled`` (doc_id, toxic).
 
-    A text's terms are compared with those of labelled examples by the cosine of TF-IDF vectors; the nearest vote, weighted
-    by cosine and by how many labelled texts an example stands for. Left-out votes of the examples themselves calibrate the score. Only the text
-    counts: equal texts have equal scores. Texts without any known term, empty and null ones too, get the share of label 1 among
-    such examples. evidence lists the nearest examples (doc_id, toxic, cosine; three at most). Null labels and labels of unknown documents are ignored;
+    A whole text is the vector of its terms' counts times their IDF among all documents; a term is a word's first ``LETTERS`` letters. It is compared with the
+    labelled examples by the cosine; the nearest vote, weighted by a power of the cosine. Left-out votes of the examples themselves,
+    each weighted by how many labelled documents it stands for, calibrate the score. Only the text counts: equal texts have equal
+    scores. Texts without any known term, empty and null ones too, get the share of label 1 among such examples. evidence lists the
+    nearest examples (doc_id, toxic, cosine; three at most). Null labels and labels of unknown documents are ignored;
     an id with both labels counts as toxic. Without usable labels all scores are 0. No rows give no rows. Other columns are not read, except those
     named in ``keep``, which come back with their row.
     """
     scratch = Scratch(spark, "toxicity")
-    model = fit(spark, scratch, docs, labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic"), examples)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    model = fit(scratch, own, labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic"), examples)
     shared = spark.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
 
     def run(batches):
-        own, memo = shared.value, {}
+        own = shared.value
         for batch in batches:
-            scores, evidence = [], []
-            for bag in _bags(_documents(batch, 1), own.known):
-                key = tuple(sorted(bag.items()))
-                if key not in memo:
-                    if len(memo) > 50_000:
-                        memo.clear()
-                    score, rows, cosines = own.score(own.vector(bag))
-                    memo[key] = score, [{"doc_id": own.names[i], "toxic": int(own.toxic[i]), "cosine": float(c)} for i, c in zip(rows[:3], cosines[:3])]
-                score, near = memo[key]
-                scores.append(score)
-                evidence.append(near)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *batch.columns[2:], pa.array(scores, pa.float64()), pa.array([int(s >= cut) for s in scores], pa.int32()), pa.array(evidence, kind)],
-                names=["doc_id", *keep, "score", "predicted", "evidence"],
-            )
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                scores, found, cosines = own.score([bag(x.as_py()) for x in part.column(1)])
+                evidence = [
+                    [{"doc_id": own.names[i], "toxic": int(own.toxic[i]), "cosine": c} for i, c in zip(rows, cos) if i >= 0]
+                    for rows, cos in zip(found[:, :3].tolist(), cosines[:, :3].tolist())
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), *part.columns[2:], pa.array(scores), pa.array((scores >= cut).astype(np.int32)), pa.array(evidence, kind)],
+                    names=["doc_id", *keep, "score", "predicted", "evidence"],
+                )
 
     kept = "".join(f"`{k}` {docs.schema[k].dataType.simpleString()}, " for k in keep)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text"), *keep).mapInArrow(

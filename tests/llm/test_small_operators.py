@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cueline.llm import chat, mixing, sketch, tokencounts, tokenfiles, toxicity, vectors
+from cueline.llm import chat, mixing, sketch, tokencounts, tokenfiles, vectors
 from cueline.llm.components import components
 from cueline.llm.scratch import Scratch
 from cueline.llm.tokens import vocabulary
@@ -214,39 +214,3 @@ def test_components(spark):
         parent[max(root(a), root(b))] = min(root(a), root(b))
     linked = {x for a, b in pairs if a != b for x in (a, b)}
     assert found == {x: root(x) for x in linked}
-
-
-# Toxicity
-
-
-def test_block_max_search_is_exact():
-    rng = random.Random(2)
-    rows = [{t: rng.random() for t in rng.sample(range(30), rng.randrange(6))} for _ in range(500)]
-    index = toxicity.BlockMaxIndex(rows, block=16)
-    for _ in range(40):
-        query = {t: rng.random() for t in rng.sample(range(30), 3)}
-        scores = [round(sum(q * r.get(t, 0) for t, q in query.items()), 12) for r in rows]
-        best = sorted((i for i in range(500) if scores[i] > 0), key=lambda i: (-scores[i], i))[:10]
-        found, cosines = index.search(query, 10)
-        assert np.allclose(sorted(cosines), sorted(scores[i] for i in best)) and set(found) == set(best)
-    assert index.searched < 40 * index.blocks
-
-
-def test_toxic_texts_are_found(spark):
-    rng = random.Random(5)
-    rows, labels = [], []
-    for i in range(400):
-        words = [f"w{rng.randrange(200)}" for _ in range(40)]
-        if i % 5 == 0:
-            words[rng.randrange(40)] = rng.choice(["grumble", "blastfoo", "blastbar"])
-        rows.append((i, " ".join(words)))
-        if i < 300:
-            labels.append((i, int(i % 5 == 0)))
-    rows += [(900, None), (901, ""), (None, "the Blastfoo")]
-    docs = docs_of(spark, rows)
-    found = {r["doc_id"]: r for r in toxicity.score_toxicity(spark, docs, spark.createDataFrame(labels + [(5000, 1), (3, None)], "doc_id long, toxic int")).collect()}
-    assert all(found[i]["predicted"] == int(i % 5 == 0) for i in range(400))
-    assert found[None]["predicted"] == 1 and found[900]["score"] == found[901]["score"] < 0.3
-    assert all(0 <= r["score"] <= 1 for r in found.values()) and found[0]["evidence"][0]["toxic"] == 1
-    none = toxicity.score_toxicity(spark, docs, spark.createDataFrame([], "doc_id long, toxic int"))
-    assert none.agg(F.max("score")).first()[0] == 0
