@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from cueline.llm.ordering import running_total
 from cueline.llm.scratch import ROW, Scratch
 
 WEIGHTS = (3.0, 1.0, 2.0)
+#: Parts of a copy in which rates are added up.
+UNIT = 1_000_000
 
 
 @F.pandas_udf(T.LongType())
@@ -48,78 +52,123 @@ def source_targets(scratch: Scratch, sizes: DataFrame, weights: tuple = WEIGHTS,
     return ranked.select("source", "source_size", F.least("top", reached).alias("target"))
 
 
-def balance(scratch: Scratch, cells: DataFrame, tolerance: float = 1e-9, rounds: int = 60) -> DataFrame:
-    """``cells`` (source, source_size, target) with ``rate``, the tilt of entropy balancing.
+def balance(scratch: Scratch, cells: DataFrame, targets: DataFrame, most: float = 2.0, tolerance: float = 1e-10, rounds: int = 60) -> DataFrame:
+    """source, tilt, full for each source of ``targets`` (source, source_size, target): the multipliers of entropy balancing.
 
-    The rates r of documents with sizes x minimise sum(x * (r log r - r)) while each source's x * r reach its
-    target. The dual is convex in one multiplier for each source: sum(x * exp(m)) - m * target, and r = exp(m).
-    As all documents of a source have the same tilt, a source's sum of sizes is all a Newton step needs,
-    m -= 1 - target / (x * exp(m)); the step is bounded upwards, where the model overshoots. The sources stay a
-    distributed table: a step is a projection, and one maximum a round tells when the gradient has vanished.
-    A target of 0 has the rate 0.
+    The rates r of documents with sizes x minimise the sum of r log r - r over all documents, from a rate of 1 each, while the x * r of each
+    source add up to its target and no rate is above ``most``. The dual is convex, with one multiplier a source, and the rates are exponential
+    tilts, r = min(most, exp(tilt * x)). A Newton step needs, over all documents of a source, the sum of x * r
+    (the gradient) and of x * x * r where r is below ``most`` (the Hessian). ``cells`` (source, size, n) are the documents with equal sizes
+    counted, which have equal rates; sums are decimal, so that reruns agree. A step that leaves the bracket in which the solution lies is replaced by its middle.
+    A source whose target is ``most`` times its size is full: all its rates are ``most``. Without words, or with a target of 0, a source has no tilt.
+    """
+    size, target = F.col("source_size").cast("double"), F.col("target")
+    share = F.try_divide(target, size)
+    state = targets.select(
+        F.col("source").alias("s"), "source_size", "target",
+        ((size > 0) & (target >= most * size * (1 - 1e-12))).alias("full"),
+        F.lit(0.0).alias("tilt"),
+        F.when(share > 0, F.least(F.log(share), F.lit(0.0))).alias("low"),
+        F.lit(math.log(most)).alias("high"),
+        F.lit(False).alias("done"),
+    )
+    state = state.withColumn("done", F.col("full") | F.col("low").isNull())
+    state = scratch.save(state, "dual")
+    for _ in range(rounds):
+        if state.where("not done").isEmpty():
+            break
+        x, rate = F.col("size").cast("double"), F.exp(F.col("tilt") * F.col("size"))
+        open_ = state.where("not done").select("s", "tilt")
+        sums = cells.join(open_, F.col("source").eqNullSafe(F.col("s"))).groupBy("s").agg(
+            F.sum(F.col("n") * F.col("size") * F.least(rate, F.lit(most)).cast("decimal(14,12)")).cast("double").alias("reached"),
+            F.sum(F.when(rate < most, F.col("n") * x * x * rate).otherwise(0.0).cast("decimal(38,0)")).cast("double").alias("slope"),
+        )
+        sums = sums.select(F.col("s").alias("_s"), "reached", "slope")
+        joined = state.join(sums, F.col("s").eqNullSafe(F.col("_s")), "left")
+        off = F.col("reached") - F.col("target")
+        low, high = F.when(off < 0, F.col("tilt")).otherwise(F.col("low")), F.when(off >= 0, F.col("tilt")).otherwise(F.col("high"))
+        newton = F.col("tilt") - off / F.greatest("slope", F.lit(1e-300))
+        inside = (F.col("slope") > 0) & (newton > low) & (newton < high)
+        step = F.when(inside, newton).otherwise((low + high) / 2)
+        settled = F.col("done") | (F.abs(off) <= tolerance * F.col("target")) | (high - low <= 1e-15)
+        joined = joined.select(
+            "s", "source_size", "target", "full", F.when(settled, F.col("tilt")).otherwise(step).alias("tilt"),
+            F.when(F.col("done"), F.col("low")).otherwise(low).alias("low"), F.when(F.col("done"), F.col("high")).otherwise(high).alias("high"), settled.alias("done"),
+        )
+        state = scratch.save(joined, "dual")
+    return state.select(F.col("s").alias("source"), "source_size", "target", "full", "tilt")
+
+
+def _repairs(scratch: Scratch, cells: DataFrame, most: int, repairs: int) -> DataFrame:
+    """row, change: documents that get or lose one copy, so that their source comes nearer to its target.
+
+    ``cells`` (source, size, copies, target, n, who) are the documents with equal sizes and copies, one of which may change. In each round each source
+    changes the one that brings it nearest, as long as that helps.
     """
-    state = cells.withColumn("m", F.lit(0.0))
-    x, m = F.col("source_size").cast("double"), F.col("m")
-    active = (F.col("target") > 0) & (F.col("source_size") > 0)
-    for k in range(rounds):
-        off = state.where(active).agg(F.max(F.abs(x * F.exp(m) / F.col("target") - 1))).first()[0]
-        if off is None or off <= tolerance:
+    gaps = cells.groupBy("source").agg((F.first("target") - F.sum(F.col("n") * F.col("copies") * F.col("size"))).alias("gap"))
+    gaps = scratch.save(gaps.select(F.col("source").alias("s"), "gap"), "gaps")
+    options = cells.where("size > 0").withColumn("change", F.explode(F.array(F.lit(1), F.lit(-1))))
+    options = options.where(F.col("copies") + F.col("change") <= most).where(F.col("copies") + F.col("change") >= 0)
+    found = None
+    for _ in range(repairs):
+        after = F.abs(F.col("gap") - F.col("change") * F.col("size"))
+        able = options.join(gaps, F.col("source").eqNullSafe(F.col("s"))).where(after < F.abs("gap"))
+        best = able.groupBy("source").agg(F.min(F.struct(after.alias("after"), "who", "size", "change")).alias("b"))
+        best = scratch.save(best.select("source", "b.who.row", "b.who", "b.size", "b.change"), "repair")
+        if best.isEmpty():
             break
-        step = F.col("target") / (x * F.exp(m)) - 1
-        state = state.withColumn("m", F.when(active, m + F.least(step, F.lit(1.0))).otherwise(m))
-        if k % 5 == 4:
-            state = scratch.save(state, "dual")
-    return state.withColumn("rate", F.when(active, F.exp("m")).otherwise(0.0)).drop("m")
+        found = best if found is None else found.unionByName(best)
+        options = options.join(best.select("row"), F.col("who.row") == F.col("row"), "left_anti")
+        moved = best.select(F.col("source").alias("_s"), (F.col("change") * F.col("size")).alias("moved"))
+        gaps = gaps.join(moved, F.col("s").eqNullSafe(F.col("_s")), "left").select("s", (F.col("gap") - F.coalesce("moved", F.lit(0))).alias("gap"))
+        gaps = scratch.save(gaps, "gaps")
+    return found.select("row", "change") if found is not None else None
 
 
-def mix(spark: SparkSession, docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most: float = 2.0, repairs: int = 6, row: str | None = None) -> DataFrame:
-    """doc_id, row, size, source_size, target, rate, copies, taken for each row of ``docs`` (doc_id, text, source).
+def mix(spark: SparkSession, docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most: int = 2, repairs: int = 6, row: str | None = None) -> DataFrame:
+    """doc_id, row, source, size, source_size, target, rate, copies, taken for each row of ``docs`` (doc_id, text, source).
 
-    Rates are rounded into copies: a document gets the whole part of its rate, and one more where its place among
-    the documents of its source, ordered by size, passes the next whole number of due copies. What then lacks or
-    exceeds is repaired by adding or taking the extra copy of one document of each source, the one nearest to the
-    difference, ``repairs`` times as long as it helps. Copies never exceed ``most`` rounded up.
+    Rates are those of ``balance``; they depend on source and size. They are rounded into copies: with the documents of a source in the order of their
+    sizes, a document gets the whole numbers that the running sum of rates passes, so neighbours share what is due and no document gets more
+    than its rate rounded up. What a source then lacks or exceeds is repaired by one copy more or less of at most ``repairs`` documents a
+    source, found among the distinct sizes and applied at once. Copies never exceed ``most``.
     Null text: size 0. Null source: a source of its own. Ties in size are ordered by doc_id and a hash of the
-    text, so that reruns agree; equal rows are the same to the result. A document of size 0 has copies but takes 0.
+    text, so that reruns agree; equal rows are the same to the result. Documents of size 0 bear on no target: rate 1, one copy.
     An empty table gives no rows. Other columns are not read. ``row`` names a column of distinct longs that is given back as row; else rows are numbered here.
     """
     scratch = Scratch(spark, "mixing")
     number = F.col(row) if row else F.monotonically_increasing_id()
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", count_words("text").alias("size"), F.xxhash64("text").alias("tie"), number.alias("row"))
     sized = scratch.save(sized, "sizes")
-    cells = scratch.save(balance(scratch, source_targets(scratch, sized, weights, share, most)), "rates")
-    # Ordered by source: each source's documents follow each other by size, and the place in the source is a difference.
+    targets = source_targets(scratch, sized, weights, share, most)
+    cells = scratch.save(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "cells")
+    tilts = balance(scratch, cells, targets, most).withColumnRenamed("source", "s")
+    tilt = F.when(F.col("full"), F.lit(float(most))).otherwise(F.least(F.exp(F.col("tilt") * F.col("size")), F.lit(float(most))))
+    nothing = (F.col("target") <= 0) & (F.col("size") > 0)
+    rated = cells.join(tilts, F.col("source").eqNullSafe(F.col("s"))).withColumn("rate", F.round(F.when(nothing, 0.0).when(F.col("size") == 0, 1.0).otherwise(tilt), 9))
+    # Whole millionths, so that running sums don't depend on how the rows are dealt.
+    rated = rated.select("s", F.col("size").alias("x"), "source_size", "target", "rate", F.round(F.col("rate") * UNIT).cast("long").alias("due"))
+    rated = scratch.save(rated, "rates")
+    known = sized.join(rated, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("x"))).drop("s", "x")
+    # Ordered by source: each source's documents follow each other by size, and the sum in the source is a difference.
     order = [F.col("source"), F.col("size").desc(), F.col("doc_id"), F.col("tie"), F.col("row")]
-    placed = running_total(scratch, sized.withColumn("one", F.lit(1).cast("long")), order, "one", "place")
-    base = placed.groupBy("source").agg(F.min("place").alias("first"))
-    joined = placed.join(base.join(cells, base["source"].eqNullSafe(cells["source"])).select(cells["source"].alias("s"), "first", "source_size", "target", "rate"), F.col("source").eqNullSafe(F.col("s")))
-    part = F.col("rate") - F.floor("rate")
-    k = F.col("place") - F.col("first")
-    extra = F.floor((k + 1) * part + 0.5) - F.floor(k * part + 0.5)
-    chosen = joined.select("doc_id", "row", "source", "size", "tie", "source_size", "target", "rate", extra.cast("long").alias("extra"))
+    placed = running_total(scratch, scratch.save(known, "known"), order, "due", "before")
+    first = placed.groupBy(F.col("source").alias("s")).agg(F.min("before").alias("first"))
+    placed = placed.join(first, F.col("source").eqNullSafe(F.col("s")))
+    before = F.col("before") - F.col("first") + UNIT // 2
+    copies = F.floor((before + F.col("due")) / UNIT) - F.floor(before / UNIT)
+    chosen = placed.select("doc_id", "row", "source", "size", "tie", "source_size", "target", "rate", copies.cast("int").alias("copies"))
     chosen = scratch.save(chosen, "chosen")
-    due = F.floor("rate") * F.col("size") + F.col("extra") * F.col("size")
-    for _ in range(repairs):
-        gap = chosen.groupBy("source").agg((F.first("target") - F.sum(due)).alias("gap"))
-        gap = gap.select(F.col("source").alias("s"), "gap")
-        change = F.when(F.col("extra") > 0, -F.col("size")).otherwise(F.col("size"))
-        after = F.abs(F.col("gap") - change)
-        able = (F.col("size") > 0) & (after < F.abs(F.col("gap"))) & (F.floor("rate") + 1 <= F.ceil(F.lit(most)))
-        near = chosen.join(gap, F.col("source").eqNullSafe(F.col("s"))).where(able & (F.col("rate") > 0))
-        flips = near.groupBy("source").agg(F.min_by("row", F.struct(after, "doc_id", "tie", "row")).alias("row")).select("row")
-        flips = scratch.save(flips, "flips")
-        if flips.isEmpty():
-            break
-        flag = chosen.join(flips.withColumn("flip", F.lit(1)), "row", "left")
-        flipped = F.when(F.col("flip").isNotNull(), 1 - F.col("extra")).otherwise(F.col("extra"))
-        chosen = scratch.save(flag.withColumn("extra", flipped).drop("flip"), "chosen")
-    copies = (F.floor("rate") + F.col("extra")).cast("int")
-    return chosen.select("doc_id", "row", "source", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    equal = chosen.groupBy("source", "size", "copies", "target").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tie", "row")).alias("who"))
+    changes = _repairs(scratch, scratch.save(equal, "equal"), most, repairs)
+    if changes is not None:
+        chosen = chosen.join(changes, "row", "left").withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0)))
+    return chosen.select("doc_id", "row", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """Each row of ``docs`` as many times as the mix takes it. Rows are told apart by their numbers, so ids may be null or repeated."""
+    """Each row of ``docs`` as many times as the mix takes it. Rows are told apart by their numbers, so ids may be null or repeated, and other columns may have any names."""
     numbered = Scratch(spark, "mixed").number(docs)
     copies = mix(spark, numbered, row=ROW, **options).where("copies > 0").select(F.col("row").alias(ROW), "copies")
-    repeated = numbered.join(copies, ROW)
-    return repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    whole = numbered.select(ROW, F.struct(*docs.columns).alias("_whole"))
+    return whole.join(copies, ROW).select("_whole", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_whole.*")

@@ -13,8 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A row's number in its written table, where doc_id may be null or repeated.
-ROW = "_row"
+#: A row's number in its written table, where doc_id may be null or repeated. No input column may have this name.
+ROW = "_cueline_row"
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cueline.llm import chat, mixing, sketch, tokencounts, tokenfiles, vectors
+from cueline.llm import chat, sketch, tokencounts, tokenfiles, vectors
 from cueline.llm.components import components
 from cueline.llm.scratch import Scratch
 from cueline.llm.tokens import vocabulary
@@ -103,41 +103,6 @@ def test_digests(spark):
     assert len(found) == 2
 
 
-# Mixing
-
-
-def test_mix_reaches_targets(spark):
-    rng = random.Random(3)
-    rows = [(i, " ".join(["w"] * rng.randrange(0, 200)), rng.choice(["a", "b", "Z", "é", None]) if i % 3 else "a") for i in range(900)] + [(5, "w w", "only"), (None, None, "none")]
-    docs = docs_of(spark, rows, ", source string")
-    first, again = (sorted(mixing.mix(spark, docs).select("doc_id", "source", "size", "source_size", "target", "taken").collect(), key=str) for _ in range(2))
-    assert first == again and len(first) == len(rows)
-    sizes = defaultdict(int)
-    for _, t, s in rows:
-        sizes[s] += len((t or "").split())
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
-    goal, free, target = 1.5 * sum(sizes.values()), set(order), {}
-    while True:
-        level = goal / sum(weight[s] for s in free)
-        over = [s for s in free if weight[s] * level > 2 * sizes[s]]
-        if not over:
-            break
-        for s in over:
-            target[s] = 2 * sizes[s]
-            goal -= target[s]
-            free.discard(s)
-    target |= {s: weight[s] * level for s in free}
-    taken = defaultdict(int)
-    for r in first:
-        assert r["target"] == pytest.approx(target[r["source"]]) and r["source_size"] == sizes[r["source"]]
-        assert r["taken"] % max(r["size"], 1) == 0 and r["taken"] <= 2 * r["size"]
-        taken[r["source"]] += r["taken"]
-    for s in order:
-        assert abs(taken[s] - target[s]) <= max(3, 0.01 * target[s])
-    assert mixing.mix(spark, docs.where("false")).count() == 0
-
-
 # Sketches
 
 
