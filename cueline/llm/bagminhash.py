@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cueline.llm.components import components
-from cueline.llm.scratch import Scratch
+from cueline.llm.scratch import ROW, Scratch
 from cueline.llm.texts import WORDS, mix, multisets, shingle_hashes, slices
 
 _U = np.uint64
 THRESHOLD, BANDS, BAND_SIZE = 0.8, 40, 5
 #: Texts in a bucket from which its pairs are verified in blocks.
 LARGE = 40
+#: Bytes of text in a block of such a bucket, about and beyond one text.
+MEETING_BYTES = 32 << 20
 
 
 def signatures(hashes: np.ndarray, counts: np.ndarray, begins: np.ndarray, size: int) -> np.ndarray:
@@ -77,12 +79,12 @@ def band_hashes(signature: np.ndarray, bands: int) -> np.ndarray:
 
 
 def _sign(docs: DataFrame, bands: int, size: int, words: int) -> DataFrame:
-    """row, doc_id, id, key, bands, code: each text's checksum, band hashes (none for texts without words) and a byte of each component."""
+    """row, doc_id, key, bands, code: each text's checksum, band hashes (none for texts without words) and a byte of each component."""
 
     def run(batches):
         for batch in batches:
             at = 0
-            for blobs in slices(batch.column(3)):
+            for blobs in slices(batch.column(2)):
                 keys = [hashlib.blake2b(x, digest_size=16).digest() for x in blobs]
                 hashes, counts, begins = multisets(*shingle_hashes(blobs, words), len(blobs))
                 signed = signatures(hashes, counts, begins, bands * size)
@@ -92,12 +94,12 @@ def _sign(docs: DataFrame, bands: int, size: int, words: int) -> DataFrame:
                 values = found[sizes > 0].ravel()
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(values))
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k).slice(at, len(blobs)) for k in range(3)), pa.array(keys, pa.binary()), lists, pa.array([c.tobytes() for c in codes], pa.binary())],
-                    names=["row", "doc_id", "id", "key", "bands", "code"],
+                    [*(batch.column(k).slice(at, len(blobs)) for k in range(2)), pa.array(keys, pa.binary()), lists, pa.array([c.tobytes() for c in codes], pa.binary())],
+                    names=["row", "doc_id", "key", "bands", "code"],
                 )
                 at += len(blobs)
 
-    return docs.select("row", "doc_id", "id", "text").mapInArrow(run, "row long, doc_id long, id long, key binary, bands array<long>, code binary")
+    return docs.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, key binary, bands array<long>, code binary")
 
 
 def _overlap(a, b) -> float:
@@ -172,7 +174,7 @@ def _overlaps(sets: list, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _meetings(rows: DataFrame, threshold: float, size: int, words: int, verify: bool, block: int) -> DataFrame:
     """a, b: pairs of a bucket, of different groups, whose signatures agree about as often as those of near copies.
 
-    ``rows`` are band, node, root, code, text. A bucket is cut into blocks by a hash, and pairs of blocks are compared as arrays in a stream, so
+    ``rows`` are band, node, root, code, n and bytes of the bucket, text. A bucket is cut into blocks of bounded rows and bytes by a hash, and pairs of blocks are compared as arrays in a stream, so
     a large bucket is many tasks' work. A pair at ``threshold`` agrees less often than the cut asks for with a probability of 1e-7
     (5.3 standard deviations). With ``verify`` the pairs that agree are compared by their multisets at once, and each text that is linked
     comes with one text of its local group, so never more rows leave a block than it has texts; else the pairs that agree are given.
@@ -243,7 +245,8 @@ def _meetings(rows: DataFrame, threshold: float, size: int, words: int, verify:
         if held:
             yield done()
 
-    dealt = rows.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    needed = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / MEETING_BYTES))
+    dealt = rows.withColumn("blocks", needed.cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     i, j = F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
     dealt = dealt.select("band", i, j, "node", "root", (F.col("own") > F.col("other")).cast("int").alias("home"), "code", *(["text"] if verify else []))
@@ -264,17 +267,18 @@ def near_duplicates(
     many components of their signatures agree, in blocks, then by their texts (in large buckets in the same blocks, which return links by group, not by pair). So every candidate pair is tested, or its texts are in one group already.
     A bucket is only ever grouped for its hub and its groups, with partial aggregation.
 
-    class_id is the smallest doc_id of the group; kept is true for exactly one row of it, the first with that id, however many rows share it. Texts under ``words`` words are
-    one shingle; texts without words are copies of texts equal to them only. A null text is empty. A null doc_id is replaced
-    by a hash of the text within class_id. Rows that share a doc_id are in one group. An empty table gives no rows. Other columns are not read.
-    ``row`` names a column of distinct longs in a written table that is given back too, to tell rows apart.
+    class_id is the smallest doc_id of the group, null if no row of it has one; kept is true for exactly one row of each group, the first with that id. Rows
+    are told apart by their number, never by doc_id: rows that share an id are in one group only if their texts are, and rows without an id are
+    like others. Texts under ``words`` words are one shingle; texts without words are copies of texts equal to them only. A null text is empty.
+    An empty table gives no rows. Other columns are not read.
+    ``row`` names a column of distinct longs in a written table that is given back too, to tell rows apart; else the rows are numbered in a written table here.
     """
     scratch = Scratch(spark, "bagminhash")
-    number = F.col(row) if row else F.monotonically_increasing_id()
-    own = docs.select(number.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    own = own.withColumn("id", F.coalesce("doc_id", F.xxhash64("text")))
+    numbered = docs if row else scratch.number(docs.select("doc_id", "text"))
+    own = numbered.select(F.col(row or ROW).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     signed = scratch.save(_sign(own, bands, band_size, words), "signed")
-    classes = scratch.save(signed.groupBy("key").agg(F.min("id").alias("node"), F.first("bands").alias("bands"), F.first("code").alias("code")), "classes")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")
+    classes = scratch.save(signed.groupBy("key").agg(F.min("row").alias("node"), F.first("bands").alias("bands"), F.first("code").alias("code"), least), "classes")
 
     # Buckets with company, and each text's number of companions over all of them.
     banded = classes.select("node", F.explode("bands").alias("band"))
@@ -289,11 +293,10 @@ def near_duplicates(
     stars = scratch.save(stars.groupBy("low", "high").agg(F.min_by("a", "a").alias("a"), F.min_by("b", "a").alias("b")).select("a", "b"), "stars")
 
     nodes = shared.select("node").distinct()
-    texts = own.join(nodes, own["id"] == nodes["node"], "left_semi").select(F.col("id").alias("node"), "text")
+    texts = own.join(nodes, own["row"] == nodes["node"], "left_semi").select(F.col("row").alias("node"), "text", F.octet_length("text").alias("size"))
     texts = scratch.save(texts, "texts")
     first = scratch.save(_verified(stars, texts, threshold, words).select("a", "b", "linked"), "compared")
 
-    same = signed.join(classes.select("key", "node"), "key").where("id != node").select(F.col("id").alias("a"), F.col("node").alias("b"))
     links = first.where("linked").select("a", "b")
     groups = scratch.save(components(scratch, links), "groups")
     labelled = ranked.select("band", "node").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -304,17 +307,20 @@ def near_duplicates(
     sizes = meeting.groupBy("band").agg(F.count("*").alias("n"))
     meeting = meeting.join(sizes, "band").join(classes.select("node", "code"), "node")
     size = bands * band_size
-    across = _meetings(meeting.where(F.col("n") < LARGE), threshold, size, words, False, LARGE).distinct()
+    few = meeting.where(F.col("n") < LARGE).withColumn("bytes", F.lit(0))
+    across = _meetings(few, threshold, size, words, False, LARGE).distinct()
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     across = scratch.save(across.join(done, ["a", "b"], "left_anti"), "across")
     second = scratch.save(_verified(across, texts, threshold, words).where("linked").select("a", "b"), "found")
-    large = meeting.where(F.col("n") >= LARGE).join(texts, "node")
+    many = meeting.where(F.col("n") >= LARGE)
+    held = many.select("band", "node").join(texts.select("node", "size"), "node").groupBy("band").agg(F.sum("size").alias("bytes"))
+    large = many.join(held, "band").join(texts.select("node", "text"), "node")
     second = second.unionByName(scratch.save(_meetings(large, threshold, size, words, True, 500), "large"))
 
-    groups = components(scratch, links.unionByName(second).unionByName(same))
-    # Of the rows with one id the first stands for it: one written number a row, joined by the number, so that no id is too large a key.
-    firsts = signed.groupBy("id").agg(F.min("row").alias("row")).select("row", F.lit(True).alias("first"))
-    out = signed.select("row", "doc_id", "id").join(firsts, "row", "left")
-    out = out.join(groups, F.col("id") == F.col("node"), "left").withColumn("class_id", F.coalesce("root", "id"))
-    kept = (F.col("id") == F.col("class_id")) & F.col("first").isNotNull()
-    return out.select(*([F.col("row").alias(row)] if row else []), "doc_id", "class_id", kept.alias("kept"))
+    groups = components(scratch, links.unionByName(second))
+    tops = classes.select("key", "node", "least").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    tops = scratch.save(tops.select("key", "root", "least"), "tops")
+    best = tops.groupBy("root").agg(F.min("least").alias("best"))
+    named = tops.join(best, "root").select("key", F.col("best.doc_id").alias("class_id"), F.col("best.row").alias("first"))
+    out = signed.select("row", "doc_id", "key").join(named, "key")
+    return out.select(*([F.col("row").alias(row)] if row else []), "doc_id", "class_id", (F.col("row") == F.col("first")).alias("kept"))

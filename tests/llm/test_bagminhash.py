@@ -17,8 +17,7 @@ def bag(text):
 
 
 def by_hand(rows):
-    """Groups of rows by weighted Jaccard of 0.8 or more, or equal text, or equal id."""
-    ids = [r[0] for r in rows]
+    """Groups of rows by weighted Jaccard of 0.8 or more, or equal text: lists of places in ``rows``."""
     bags = [bag(t) for _, t in rows]
     parent = list(range(len(rows)))
 
@@ -30,12 +29,23 @@ def by_hand(rows):
     for i in range(len(rows)):
         for j in range(i):
             low, high = sum((bags[i] & bags[j]).values()), sum((bags[i] | bags[j]).values())
-            if (rows[i][1] or "") == (rows[j][1] or "") or ids[i] == ids[j] or (low and low >= 0.8 * high):
+            if (rows[i][1] or "") == (rows[j][1] or "") or (low and low >= 0.8 * high):
                 parent[root(i)] = root(j)
     groups = defaultdict(list)
     for i in range(len(rows)):
-        groups[root(i)].append(ids[i])
-    return {i: min(g) for g in groups.values() for i in g}
+        groups[root(i)].append(i)
+    return list(groups.values())
+
+
+def expected(rows):
+    """(doc_id, class_id, kept) of all rows; of rows with equal id and text any one may be the kept one."""
+    out = []
+    for group in by_hand(rows):
+        ids = [rows[i][0] for i in group]
+        least = min((i for i in ids if i is not None), default=None)
+        kept = ids.index(least)
+        out += [(i, least, k == kept) for k, i in enumerate(ids)]
+    return sorted(out, key=str)
 
 
 def family(rng, n, copies, edits):
@@ -57,7 +67,7 @@ def test_large_buckets_without_an_original(spark, monkeypatch):
     texts = family(rng, 100, 60, 6)[1:] + family(rng, 80, 60, 3)[1:] + family(rng, 60, 10, 1)
     rows = list(enumerate(texts))
     found = near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r["doc_id"]: r["class_id"] for r in found} == by_hand(rows)
+    assert sorted(map(tuple, found), key=str) == expected(rows)
 
 
 def test_many_pairs_as_matrices():
@@ -78,11 +88,10 @@ def test_groups_equal_all_pairs(spark):
         texts += family(rng, n, copies, edits)
     rng.shuffle(texts)
     rows = list(enumerate(texts)) + [(3, texts[3]), (5000, "tail " * 7), (5000, "other words that are quite different")]
-    docs = spark.createDataFrame([(*r, "n") for r in rows], "doc_id long, text string, node string")
+    rows += [(None, texts[20]), (None, texts[40]), (None, "no id at all here"), (None, "no id at all here")]
+    docs = spark.createDataFrame([(*r, "n", 1) for r in rows], "doc_id long, text string, node string, row int")
     found = near_duplicates(spark, docs).collect()
-    assert len(found) == len(rows)
-    assert {r["doc_id"]: r["class_id"] for r in found} == by_hand(rows)
-    assert {r["doc_id"] for r in found if r["kept"]} == set(by_hand(rows).values())
+    assert sorted(map(tuple, found), key=str) == expected(rows)
 
 
 def test_signatures_estimate_weighted_jaccard():
@@ -99,14 +108,20 @@ def test_signatures_estimate_weighted_jaccard():
 
 
 def test_null_ids_and_no_rows(spark):
-    rows = [(None, "one two three four five six"), (None, "one two three four five six"), (7, "one two three four five six"), (None, "alone")]
+    text = "one two three four five six"
+    rows = [(None, text), (None, text), (7, text), (None, "alone")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = near_duplicates(spark, docs).collect()
-    same = [r["class_id"] for r in found if r["doc_id"] == 7]
-    assert len(found) == 4 and sum(r["class_id"] == same[0] for r in found) == 3
+    assert sorted(map(tuple, near_duplicates(spark, docs).collect()), key=str) == sorted([(None, 7, False), (None, 7, False), (7, 7, True), (None, None, True)], key=str)
     assert near_duplicates(spark, docs.where("false")).count() == 0
 
 
+def test_a_very_long_text_and_its_copy(spark):
+    text = " ".join(f"w{i * i % 9973}" for i in range(200_000))
+    rows = [(1, text), (2, text + " end"), (3, text[: len(text) // 3])]
+    found = near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, found)) == [(1, 1, True), (2, 1, False), (3, 3, True)]
+
+
 def test_signatures_do_not_depend_on_the_slice():
     rng = random.Random(5)
     texts = [" ".join(f"w{rng.randrange(9000)}" for _ in range(n)) * rng.choice([1, 3]) for n in [5, 16, 34, 64, 104] * 500]

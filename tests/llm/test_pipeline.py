@@ -2,7 +2,7 @@ import random
 from collections import Counter
 
 import corpus_pipeline
-from cueline.llm import bagminhash, mixing
+from cueline.llm import mixing
 from cueline.llm.scratch import ROW, Scratch
 
 COLUMNS = "doc_id long, text string, source string"
@@ -36,14 +36,45 @@ def test_each_group_of_near_copies_keeps_one_row(spark):
     rows += [(None, family[1], "c")] * 4 + [(None, "only null ids here", "d")] * 5 + [(None, None, "e"), (None, "", "f"), (50, "", "g")]
     rows += [(2, "another text of the same id", "h"), (60, family[3] + " end", "i"), (None, family[4] + " end", "j")]
     docs = spark.createDataFrame(rows, COLUMNS)
-    found = bagminhash.near_duplicates(spark, docs).collect()
-    kept = Counter(r["class_id"] for r in found if r["kept"])
-    assert len(found) == len(rows)
-    assert set(kept.values()) == {1} and set(kept) == {r["class_id"] for r in found}
     left = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
-    # Six families (the second text of id 2 is in one), the text of null ids only, and the empty texts.
-    assert len(left) == len(kept) == 8
-    assert {t and next((k for k, f in enumerate(family) if t.startswith(f)), t) for _, t, _ in left} - {None, "", "another text of the same id"} >= {0, 1, 3, 4, 5}
+    # Six families, the other text of id 2, the text of null ids only, and the empty texts.
+    groups = Counter(next((k for k, f in enumerate(family) if (t or "").startswith(f)), t or "") for _, t, _ in left)
+    assert groups == Counter([*range(6), "another text of the same id", "only null ids here", ""])
+    assert {r[0] for r in left} == {*range(6), None, 50}
+
+
+def test_the_whole_pipeline(spark, tmp_path):
+    """Rows of each stage, with null and repeated ids, clashing columns, null, empty and very long texts."""
+    rng = random.Random(9)
+    prose = lambda n: " ".join(f"c{rng.randrange(400)}x" for _ in range(n))
+    rows = [(i, prose(30 + i % 50) + (" vilest" * 6 if i % 6 == 0 else ""), f"s{i % 3}" if i % 7 else None) for i in range(240)]
+    rows += [(5, rows[5][1], "s0")] * 4 + [(None, rows[7][1] + " more", "s1"), (5, "a text of its own with a repeated id", "s2"), (None, "no id but a text of its own here", None)]
+    rows += [(None, None, "s1"), (900, "", "s1"), (901, prose(120_000), "s0")]
+    docs = spark.createDataFrame([(*r, k, "x") for k, r in enumerate(rows)], COLUMNS + ", copies int, row string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(200)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    own, counts = docs, []
+    for name, stage in corpus_pipeline.STAGES:
+        own = Scratch(spark, "test").save(stage(spark, own, str(tmp_path)), name)
+        counts.append(own.count())
+        if name != "packing":
+            assert own.columns == docs.columns
+    clean = [r for r in rows if "vilest" not in (r[1] or "")]
+    assert counts[0] == len(clean)
+    # Four repeats, one near copy, and one of the two empty texts go.
+    assert counts[1] == len(clean) - 6
+    assert {r["doc_id"] for r in own.select("doc_id").distinct().collect()} <= {r[0] for r in clean}
+    bins = own.groupBy("sequence_id").agg({"length": "sum"}).collect()
+    assert all(r[1] <= 2048 for r in bins) and len(bins) <= sum(r[1] for r in bins) / 2048 * 1.1 + 1
+    assert own.where("doc_id is null").count() >= 1
+    whole = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted(map(str, whole.drop("sequence_id", "offset").collect())) == sorted(map(str, own.drop("sequence_id", "offset").collect()))
+
+
+def test_the_pipeline_of_no_rows(spark, tmp_path):
+    spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def test_toxic_rows_go_by_row(spark, tmp_path):
