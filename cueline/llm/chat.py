@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from functools import lru_cache
-from itertools import groupby
+from itertools import count, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -96,7 +96,7 @@ def format_conversations(turns: DataFrame, render=None) -> DataFrame:
     """conv_id, text, spans, rewrites: one row for each conversation of ``turns`` (conv_id, turn, role, text).
 
     Turns are ordered by turn (null first), role and text; null texts and roles are empty; repeated turns are kept.
-    Rows without conv_id are one conversation. No rows: no conversations. Other columns are not read.
+    Each row without conv_id is a conversation of its own. No rows: no conversations. Other columns are not read.
     A task streams over its conversations and holds one of them; its text is one string in any case.
     """
     render = render or Template()
@@ -110,7 +110,8 @@ def format_conversations(turns: DataFrame, render=None) -> DataFrame:
         own, held = [[], [], [], []], 0
         names = ["conv_id", "text", "spans", "rewrites"]
         pack = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(own, (pa.int64(), pa.string(), kind, pa.int32()))], names=names)
-        for conv, part in groupby(rows(batches), key=lambda r: r[0]):
+        loose = count()
+        for (conv, _), part in groupby(rows(batches), key=lambda r: (r[0], next(loose) if r[0] is None else None)):
             text, found, rewrites = spans(render, [(r, t) for _, r, t in part])
             found = [dict(zip(("role", "start", "end", "text_start", "text_end", "loss"), x)) for x in found]
             for column, x in zip(own, (conv, text, found, rewrites)):
@@ -124,18 +125,21 @@ def format_conversations(turns: DataFrame, render=None) -> DataFrame:
     dealt = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
-    dealt = dealt.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    dealt = dealt.repartition(F.coalesce("conv_id", F.xxhash64("turn", "role", "text"))).sortWithinPartitions("conv_id", "turn", "role", "text")
     return dealt.select("conv_id", "role", "text").mapInArrow(run, FORMATTED)
 
 
 def digests(formatted: DataFrame, unescape=None) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read from formatted conversations."""
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, rewrites, read from formatted conversations.
+
+    A conversation whose template rewrites history has no turns; rewrites is the first turn that does so.
+    """
     unescape = unescape or Template().unescape
 
     def run(batches):
         for batch in batches:
             out = []
-            for conv, text, found in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for conv, text, found, rewrites in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 turns, loss, chars = hashlib.sha256(), hashlib.sha256(), 0
                 for s in found:
                     own = unescape(text[s["text_start"] : s["text_end"]])
@@ -143,14 +147,14 @@ def digests(formatted: DataFrame, unescape=None) -> DataFrame:
                     if s["loss"]:
                         loss.update(own.encode())
                         chars += len(own)
-                out.append((conv, len(found), turns.hexdigest(), chars, loss.hexdigest(), len(text)))
-            columns = list(zip(*out)) or [[]] * 6
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-            names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+                out.append((conv, len(found), turns.hexdigest(), chars, loss.hexdigest(), len(text), rewrites))
+            columns = list(zip(*out)) or [[]] * 7
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int32())
+            names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "rewrites"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
-    return formatted.select("conv_id", "text", "spans").mapInArrow(
-        run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    return formatted.select("conv_id", "text", "spans", "rewrites").mapInArrow(
+        run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites int"
     )
 
 

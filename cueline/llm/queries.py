@@ -81,5 +81,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 
-#: Operators whose whole result DuckDB can state; the others are tested against brute force.
-ORACLES: dict[str, str] = {}
+_LINKED = (
+    "WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings), "
+    "f AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 "
+    "AND len(list_filter(x, lambda c: c <> 0)) > 0), "
+    "p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM f a JOIN f b ON a.label = b.label AND len(a.x) = len(b.x) AND a.vec_id <> b.vec_id "
+    "WHERE list_dot_product(a.x, b.x) / (sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))) >= 0.98), "
+    "reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, p.b FROM reach r JOIN p ON r.b = p.a), "
+    "c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a), n AS (SELECT a AS vec_id, count(*) AS n_links FROM p GROUP BY a) "
+    "SELECT v.vec_id, coalesce(n.n_links, 0) AS n_links, coalesce(c.component_id, v.vec_id) AS component_id, coalesce(v.vec_id = c.component_id, false) AS kept "
+    "FROM v LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)"
+)
+
+#: Operators whose whole result DuckDB can state (op6: of distinct vec_ids); the others are tested against brute force.
+ORACLES: dict[str, str] = {"op6_near_vectors": _LINKED}

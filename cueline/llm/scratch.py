@@ -18,9 +18,11 @@ ROW = "_cueline_row"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``. Only a local session may go without: it gets a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="cueline-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cueline.llm.ordering import with_follower
-from cueline.llm.scratch import Scratch
 from cueline.llm.texts import HASH_BITS, WORDS, multisets, shingle_hashes
 
 FRACTION = 0.25
+#: Bytes of text in a range of documents, about.
+RANGE_BYTES = 16 << 20
 
 
 def sketches(blobs: list[bytes], fraction: float = FRACTION, words: int = WORDS) -> list[np.ndarray]:
@@ -85,11 +86,9 @@ def fingerprints(spark: SparkSession, docs: DataFrame, fraction: float = FRACTIO
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next (containment of the
     document in its edited text and in the next document) and resemblance_edited, resemblance_next. In the edited text the last half of the
     code points gives way to the first as many of the next document in ascending doc_id (null first, ties by text; after the last: the first).
-    Texts are dealt by ranges of doc_id, each followed by the first document of the next, and streamed. Null texts are
+    Texts are dealt by ranges of doc_id of about ``RANGE_BYTES`` (or ``parts`` ranges), a task each, each followed by the first document of the next, and streamed. Null texts are
     empty, with an empty fingerprint. Repeated rows follow each other. No rows give no rows. Other columns are not read.
     """
-    Scratch(spark, "sketch")
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "resemblance_edited", "resemblance_next"]
 
     def run(batches):
@@ -134,7 +133,9 @@ def fingerprints(spark: SparkSession, docs: DataFrame, fraction: float = FRACTIO
                 ids.append(i.as_py())
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    if parts is None:
+        parts = max(8, -(-(own.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES))
     ranges = with_follower(own, "doc_id", parts).select("_part", "_ahead", "doc_id", "text")
-    ranges = ranges.repartition("_part").sortWithinPartitions("_part", "_ahead", "doc_id", "text")
+    ranges = ranges.repartitionById(parts, F.col("_part")).sortWithinPartitions("_part", "_ahead", "doc_id", "text")
     kinds = ["long", "long", "string", "string", "string", "double", "double", "double", "double"]
     return ranges.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))

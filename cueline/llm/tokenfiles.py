@@ -63,7 +63,6 @@ def write_tokens(
         "parquet.page.row.count.limit": page_rows,
         "parquet.enable.dictionary": "true" if encoding == "dictionary" else "false",
         "parquet.writer.version": "v1" if encoding == "dictionary" else "v2",
-        "parquet.column.index.access": "true",
     }
     for k, v in options.items():
         writer = writer.option(k, str(v))
@@ -76,8 +75,8 @@ def read_tokens(spark: SparkSession, path: str, columns: list[str] | None = None
     return table.select(*columns) if columns else table
 
 
-def token_starts(scratch: Scratch, table: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 from token files: ids before each document, and their checksum."""
+def token_starts(spark: SparkSession, scratch: Scratch, path: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 from the token files at ``path``: ids before each document as the files have it, and their checksum."""
 
     def digest(batches):
         for batch in batches:
@@ -87,22 +86,25 @@ def token_starts(scratch: Scratch, table: DataFrame) -> DataFrame:
             sums = [crc32(data[a:b].tobytes()) for a, b in zip(offsets, offsets[1:])]
             sizes = np.diff(offsets).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes), pa.array(sums, pa.int64())], names=["doc_id", "n_tokens", "ids_crc32"]
+                [*batch.columns[:2], batch.column(3), pa.array(sizes), pa.array(sums, pa.int64())], names=["file", "place", "doc_id", "n_tokens", "ids_crc32"]
             )
 
-    found = table.select("doc_id", "n_tokens", "ids").mapInArrow(digest, "doc_id long, n_tokens long, ids_crc32 long")
+    # Files are numbered in the order of their ranges; a row's place is its place in the file.
+    number = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int").alias("file")
+    table = read_tokens(spark, path).select(number, F.col("_metadata.row_index").alias("place"), "ids", "doc_id")
+    found = table.mapInArrow(digest, "file int, place long, doc_id long, n_tokens long, ids_crc32 long")
     # Written once: a range partitioning reads its input twice.
-    found = running_total(scratch, scratch.save(found, "digests"), ["doc_id", "n_tokens", "ids_crc32"], "n_tokens", "start")
+    found = running_total(scratch, scratch.save(found, "digests"), ["file", "place"], "n_tokens", "start")
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def token_digests(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """Write ``docs`` as token files in the shared folder, read them back, and return doc_id, start, n_tokens, ids_crc32.
 
-    Null and empty texts have their end id alone; repeated ids follow each other in the order of length and checksum;
-    a null id comes first. No rows: no files with rows, no result rows. Other columns are not read.
+    Null and empty texts have their end id alone; repeated ids follow each other in the order of their texts, by range of a hash of them;
+    a null id comes first. start is where the files have the document. No rows: no files with rows, no result rows. Other columns are not read.
     """
     scratch = Scratch(spark, "tokenfiles")
     path = scratch.path("tokens")
     write_tokens(docs, path, **options)
-    return token_starts(scratch, read_tokens(spark, path))
+    return token_starts(spark, scratch, path)

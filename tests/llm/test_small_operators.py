@@ -179,3 +179,78 @@ def test_components(spark):
         parent[max(root(a), root(b))] = min(root(a), root(b))
     linked = {x for a, b in pairs if a != b for x in (a, b)}
     assert found == {x: root(x) for x in linked}
+
+
+# Tables of one file
+
+
+def test_vectors_sql_states_the_operator(spark, tmp_path):
+    import duckdb
+
+    from cueline.llm import queries
+
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(12, 6))
+    rows = [(i, [float(x) for x in base[i % 12] + rng.normal(size=6) * (i % 4) * 0.05], int(i % 12 % 3)) for i in range(160)]
+    rows += [(200, None, 1), (201, [0.0] * 6, 1), (202, [float("inf")] * 6, 1), (203, rows[3][1], None), (204, rows[3][1], 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    duckdb.sql(f"CREATE OR REPLACE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    found = sorted(map(tuple, queries.near_vectors(spark, str(tmp_path)).collect()))
+    assert found == sorted(duckdb.sql(queries.ORACLES["op6_near_vectors"]).fetchall()) and max(r[1] for r in found) > 3
+
+
+def test_files_have_indexes_encodings_and_bounded_groups(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    docs = docs_of(spark, [(i, " ".join(f"w{(i * 31 + k) * 7919 % 100_003}" for k in range(i % 50))) for i in range(6000)]).coalesce(1)
+    for encoding, name in (("dictionary", "RLE_DICTIONARY"), ("delta", "DELTA_BINARY_PACKED")):
+        path = Scratch(spark, "test").path("tokens")
+        tokenfiles.write_tokens(docs, path, encoding=encoding, row_group_bytes=1 << 18)
+        groups = 0
+        for file in glob.glob(path.removeprefix("file://") + "/*.parquet"):
+            meta = pq.ParquetFile(file).metadata
+            for g in range(meta.num_row_groups):
+                groups += 1
+                assert meta.row_group(g).total_byte_size < 4 << 20
+                for c in range(3):
+                    column = meta.row_group(g).column(c)
+                    assert column.has_column_index and column.has_offset_index
+                    assert c < 2 or {name, name.replace("RLE_", "PLAIN_")} & set(column.encodings)
+        assert groups > 1
+
+
+def test_starts_are_where_the_files_have_repeated_ids(spark):
+    rows = [(i % 3 if i % 4 else None, f"t{i} " * (i % 7)) for i in range(60)] + [(1, "same"), (1, "same")]
+    scratch = Scratch(spark, "test")
+    path = scratch.path("tokens")
+    tokenfiles.write_tokens(docs_of(spark, rows), path)
+    start, expected = 0, []
+    for r in sorted(tokenfiles.read_tokens(spark, path).selectExpr("_metadata.file_name as f", "_metadata.row_index as k", "*").collect()):
+        expected.append((r["doc_id"], start, r["n_tokens"]))
+        start += r["n_tokens"]
+    assert len(expected) == len(rows)
+    assert sorted(map(str, expected)) == sorted(str(tuple(r)[:3]) for r in tokenfiles.token_starts(spark, scratch, path).collect())
+
+
+def test_conversations_without_id_and_clashing_columns(spark):
+    rows = [(None, 0, "user", "a", 1, "x"), (None, 1, "assistant", "a", 1, "x"), (None, 1, "assistant", "a", 1, "x"), (4, None, None, None, 1, "x"), (4, 1, "assistant", "long " * 200_000, 1, "x")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, spans int, rewrites string")
+    found = sorted((r["conv_id"] or 0, r["n_turns"], r["loss_chars"]) for r in chat.format_digests(spark, turns).collect())
+    assert found == [(0, 1, 0), (0, 1, 1), (0, 1, 1), (4, 2, 1_000_000)]
+    assert chat.format_digests(spark, turns.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("run", [sketch.fingerprints, tokencounts.count_tokens, tokenfiles.token_digests])
+def test_clashing_columns_long_and_no_texts(spark, run):
+    rows = [(1, "word " * 100_000, 1, "a", 2), (2, None, 1, "a", 2), (2, "", 1, "a", 2), (None, "x", 1, "a", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _part int, path string, n_tokens int")
+    assert run(spark, docs).count() == 4
+    assert run(spark, docs.where("false")).count() == 0
+
+
+def test_no_vectors_and_clashing_columns(spark):
+    table = spark.createDataFrame([(1, [1.0, 0.0], 3, "x", 5)], "vec_id long, embedding array<float>, label int, node string, n int")
+    assert [tuple(r) for r in vectors.link_vectors(spark, table).collect()] == [(1, 0, 1, True)]
+    assert vectors.link_vectors(spark, table.where("false")).count() == 0
