@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 
@@ -22,6 +21,8 @@ NEIGHBOURS, SHARPNESS = 25, 4.0
 #: Rows of a block, and how many of the most frequent terms have their postings as a full array.
 BLOCK, FULL = 256, 256
 CUT = 0.3
+#: Texts that are scored together.
+SLICE = 200
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -47,27 +48,12 @@ class Rows:
         return np.repeat(np.arange(len(rows)), n), self.terms[at], self.weights[at]
 
 
-class Vocabulary:
-    """Numbers and IDFs of the examples' terms."""
-
-    def __init__(self, terms: list[str], idf: np.ndarray):
-        self.number, self.idf = {t: i for i, t in enumerate(terms)}, idf
-
-    def vectors(self, bags: list) -> Rows:
-        """Unit vectors of term count times IDF. Terms that no example has are left out: they match nothing."""
-        find, terms, counts, begins = self.number.get, [], [], [0]
-        for own in bags:
-            for t, n in own.items():
-                k = find(t)
-                if k is not None:
-                    terms.append(k)
-                    counts.append(n)
-            begins.append(len(terms))
-        terms, begins = np.array(terms, np.int64), np.array(begins)
-        weights = np.array(counts, float) * self.idf[terms]
-        owner = np.repeat(np.arange(len(bags)), np.diff(begins))
-        norms = np.sqrt(np.bincount(owner, weights * weights, len(bags)))
-        return Rows(terms, weights / norms[owner], begins)
+def unit_rows(terms: np.ndarray, counts: np.ndarray, begins: np.ndarray, idf: np.ndarray) -> Rows:
+    """Unit vectors of term count times IDF."""
+    weights = counts * idf[terms]
+    owner = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+    norms = np.sqrt(np.bincount(owner, weights * weights, len(begins) - 1))
+    return Rows(terms, weights / norms[owner], begins)
 
 
 class _Postings:
@@ -194,46 +180,47 @@ def monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 
 class Model:
-    """Examples, their index, and the calibration of votes. Its size is bounded by that of the sample, whatever the corpus."""
+    """Examples and their index. Its size is bounded by that of the sample, whatever the corpus."""
 
-    def __init__(self, names: list, toxic: np.ndarray, bags: list, vocabulary: Vocabulary, weights: list[float]):
-        self.names, self.toxic, self.vocabulary = names, toxic, vocabulary
-        weight = np.where(toxic == 1, weights[1], weights[0])
-        rows = vocabulary.vectors(bags)
-        self.index = BlockMaxIndex(rows, len(vocabulary.number))
+    def __init__(self, names: list, toxic: np.ndarray, number: dict[str, int], idf: np.ndarray, rows: Rows, weight: np.ndarray):
+        self.names, self.toxic, self.number, self.idf, self.rows = names, toxic, number, idf, rows
+        self.index = BlockMaxIndex(rows, len(number))
         bare = np.diff(rows.begins) == 0
         self.prior = float((weight * toxic)[bare].sum() / weight[bare].sum()) if bare.any() else 0.0
-        self.knots = np.zeros(1), np.zeros(1)
-        if len(names):
-            found = [self._nearest(rows, np.arange(a, min(a + 500, len(names))), True) for a in range(0, len(names), 500)]
-            self.knots = monotone(np.concatenate([self._vote(*f) for f in found]), toxic.astype(float), weight)
-
-    def _nearest(self, rows: Rows, own: np.ndarray, leave: bool) -> tuple[np.ndarray, np.ndarray]:
-        """The nearest examples of some rows, with ``leave`` without the row of the same number."""
-        owner, terms, weights = rows.take(own)
-        part = Rows(terms, weights, np.searchsorted(owner, np.arange(len(own) + 1)))
-        found, cosines = self.index.search(part, NEIGHBOURS + leave)
-        if leave:
-            self_ = found == own[:, None]
-            self_[~self_.any(1), -1] = True
-            found, cosines = (x[~self_].reshape(len(own), NEIGHBOURS) for x in (found, cosines))
-        return found, cosines
-
-    def _vote(self, found: np.ndarray, cosines: np.ndarray) -> np.ndarray:
+
+    def vectors(self, bags: list) -> Rows:
+        """Terms that no example has are left out: they match nothing."""
+        find, terms, counts, begins = self.number.get, [], [], [0]
+        for own in bags:
+            for t, n in own.items():
+                k = find(t)
+                if k is not None:
+                    terms.append(k)
+                    counts.append(n)
+            begins.append(len(terms))
+        return unit_rows(np.array(terms, np.int64), np.array(counts, float), np.array(begins), self.idf)
+
+    def vote(self, found: np.ndarray, cosines: np.ndarray) -> np.ndarray:
         """Share of label 1 among the nearest, weighted by a power of the cosine; without any the share among texts without terms."""
         w = cosines**SHARPNESS
         total = w.sum(1)
         share = (w * np.where(found >= 0, self.toxic[found], 0)).sum(1) / np.maximum(total, 1e-300)
         return np.where(total > 0, share, self.prior)
 
-    def score(self, bags: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def left_out(self, own: np.ndarray) -> np.ndarray:
+        """What the other examples vote for some of them."""
+        owner, terms, weights = self.rows.take(own)
+        found, cosines = self.index.search(Rows(terms, weights, np.searchsorted(owner, np.arange(len(own) + 1))), NEIGHBOURS + 1)
+        itself = found == own[:, None]
+        itself[~itself.any(1), -1] = True
+        return self.vote(*(x[~itself].reshape(len(own), NEIGHBOURS) for x in (found, cosines)))
+
+    def score(self, bags: list, knots: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scores, nearest examples and cosines."""
-        if not self.names:
-            return np.zeros(len(bags)), np.full((len(bags), NEIGHBOURS), -1), np.zeros((len(bags), NEIGHBOURS))
-        rows = self.vocabulary.vectors(bags)
-        found, cosines = self._nearest(rows, np.arange(len(bags)), False)
-        vote = self._vote(found, cosines)
-        score = 0.99 * np.interp(vote, *self.knots) + 0.01 * vote
+        rows = self.vectors(bags)
+        found, cosines = self.index.search(rows, NEIGHBOURS)
+        vote = self.vote(found, cosines)
+        score = 0.99 * np.interp(vote, *knots) + 0.01 * vote
         bare = np.diff(rows.begins) == 0
         return np.clip(np.where(bare, self.prior, np.round(score, 9)), 0, 1), found, cosines
 
@@ -254,18 +241,29 @@ def _chosen(scratch: Scratch, docs: DataFrame, labelled: DataFrame, examples: in
     return scratch.save(texts.withColumn("upto", upto).where(F.col("upto") <= CLASS_BYTES).select("doc_id", "toxic", "text"), "examples"), [count.get(0, 0), count.get(1, 0)]
 
 
-def fit(scratch: Scratch, docs: DataFrame, labelled: DataFrame, examples: int = EXAMPLES) -> Model:
-    """The model of ``labelled`` (doc_id, toxic 0 or 1); document frequencies are those of all ``docs`` (doc_id, text).
+def fit(spark: SparkSession, scratch: Scratch, docs: DataFrame, labelled: DataFrame, examples: int = EXAMPLES):
+    """(broadcast model, knots of its calibration) of ``labelled`` (doc_id, toxic 0 or 1); None without usable labels.
 
-    The examples are those of each class with the least hashes of doc_id, up to ``examples`` of them and ``CLASS_BYTES``. All
-    their terms are indexed. Driver and workers hold the examples and one number a term.
+    Document frequencies are those of all ``docs`` (doc_id, text). The examples are those of each class with the least hashes of doc_id, up to
+    ``examples`` of them and ``CLASS_BYTES``. All their terms are indexed. Driver and workers hold the examples' vectors and one number a term.
     """
     chosen, counts = _chosen(scratch, docs, labelled, examples)
-    # Ordered by their texts, not by their ids.
-    held = sorted(((r["text"] or "", r["toxic"], r["doc_id"]) for r in chosen.collect()))
-    bags = [bag(t) for t, _, _ in held]
-    terms = sorted(set().union(*bags)) if bags else []
-    number = {t: i for i, t in enumerate(terms)}
+
+    def bags(batches):
+        for batch in batches:
+            own = [bag(x.as_py()) for x in batch.column(2)]
+            terms, n = [list(b) for b in own], [list(b.values()) for b in own]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(terms, pa.list_(pa.string())), pa.array(n, pa.list_(pa.int32()))], names=["doc_id", "toxic", "terms", "n"])
+
+    # Ordered by their texts, not by their ids; at most 2 * examples rows.
+    ordered = chosen.orderBy(F.coalesce("text", F.lit("")), "toxic", "doc_id")
+    held = ordered.mapInArrow(bags, "doc_id long, toxic int, terms array<string>, n array<int>").toArrow().combine_chunks()
+    if not held.num_rows:
+        return None
+    terms, n = (held.column(k).combine_chunks() for k in ("terms", "n"))
+    begins = np.concatenate(([0], np.cumsum(terms.value_lengths().to_numpy()))).astype(np.int64)
+    coded = terms.flatten().dictionary_encode()
+    number = {t: i for i, t in enumerate(coded.dictionary.to_pylist())}
 
     def frequencies(batches):
         found, n, find = np.zeros(len(number), np.int64), 0, number.get
@@ -277,13 +275,26 @@ def fit(scratch: Scratch, docs: DataFrame, labelled: DataFrame, examples: int =
         seen = np.flatnonzero(found)
         yield pa.RecordBatch.from_pydict({"term": pa.array(np.append(seen, -1)), "n": pa.array(np.append(found[seen], n))})
 
-    df = docs.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    df = {r["term"]: r["n"] for r in df.collect()}  # one number a term
-    n_docs = df.get(-1, 0)
-    idf = np.array([math.log((n_docs + 1) / (df.get(i, 0) + 0.5)) for i in range(len(terms))])
-    toxic = np.array([y for _, y, _ in held], int)
-    weights = [counts[y] / max(1, int((toxic == y).sum())) for y in (0, 1)]
-    return Model([i for _, _, i in held], toxic, bags, Vocabulary(terms, np.maximum(idf, 1e-9)), weights)
+    df = docs.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    place, found = (df.column(k).to_numpy() for k in ("term", "n"))  # one number a term
+    n_docs, total = int(found[place < 0].sum()), np.zeros(len(number))
+    total[place[place >= 0]] = found[place >= 0]
+    idf = np.maximum(np.log((n_docs + 1) / (total + 0.5)), 1e-9)
+    toxic = held.column("toxic").to_numpy().astype(int)
+    share = np.array([counts[y] / max(1, int((toxic == y).sum())) for y in (0, 1)])
+    rows = unit_rows(coded.indices.to_numpy().astype(np.int64), n.flatten().to_numpy().astype(float), begins, idf)
+    model = Model(held.column("doc_id").to_pylist(), toxic, number, idf, rows, share[toxic])
+    shared = spark.sparkContext.broadcast(model)
+
+    def votes(batches):
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            for a in range(0, len(own), SLICE):
+                yield pa.RecordBatch.from_pydict({"row": own[a : a + SLICE], "vote": shared.value.left_out(own[a : a + SLICE])})
+
+    left = spark.range(0, len(toxic), 1, 16).mapInArrow(votes, "row long, vote double").toArrow()
+    order = np.argsort(left.column("row").to_numpy())
+    return shared, monotone(left.column("vote").to_numpy()[order], toxic.astype(float), share[toxic])
 
 
 def score_toxicity(spark: SparkSession, docs: DataFrame, labelled: DataFrame, cut: float = CUT, examples: int = EXAMPLES, keep: tuple = ()) -> DataFrame:
@@ -299,16 +310,19 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, labelled: DataFrame, cu
     """
     scratch = Scratch(spark, "toxicity")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    model = fit(scratch, own, labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic"), examples)
-    shared = spark.sparkContext.broadcast(model)
+    fitted = fit(spark, scratch, own, labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic"), examples)
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
 
     def run(batches):
-        own = shared.value
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
-                scores, found, cosines = own.score([bag(x.as_py()) for x in part.column(1)])
+            for a in range(0, batch.num_rows, SLICE):
+                part = batch.slice(a, SLICE)
+                n = part.num_rows
+                if fitted:
+                    own = fitted[0].value
+                    scores, found, cosines = own.score([bag(x.as_py()) for x in part.column(1)], fitted[1])
+                else:
+                    scores, found, cosines = np.zeros(n), np.full((n, 3), -1), np.zeros((n, 3))
                 evidence = [
                     [{"doc_id": own.names[i], "toxic": int(own.toxic[i]), "cosine": c} for i, c in zip(rows, cos) if i >= 0]
                     for rows, cos in zip(found[:, :3].tolist(), cosines[:, :3].tolist())
