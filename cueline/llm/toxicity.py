@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cueline.llm.scratch import Scratch
-from cueline.llm.vectors import spherical_kmeans
 
 #: The bound of the sample that is learnt from: labelled texts of each class, bytes of a text, and bytes of a class, at most.
 EXAMPLES, TEXT_BYTES, CLASS_BYTES = 4000, 1 << 20, 64 << 20
@@ -91,7 +90,8 @@ class BlockMaxIndex:
         dense = np.zeros((self.n, len(common)))
         at = self.place[rows.terms]
         dense[owner[at >= 0], at[at >= 0]] = rows.weights[at >= 0]
-        self.order = self._alike(dense)
+        # Those whose heaviest frequent term is the same follow each other.
+        self.order = np.lexsort((-dense.max(1, initial=0), dense.argmax(1) if dense.size else np.zeros(self.n)))
         rank = np.empty(self.n, np.int64)
         rank[self.order] = np.arange(self.n)
         self.blocks = max(1, -(-self.n // block))
@@ -112,17 +112,6 @@ class BlockMaxIndex:
         most = np.maximum.reduceat(weights[order], first) if len(first) else np.zeros(0)
         self.most = _Postings(key[order][first] // self.blocks, key[order][first] % self.blocks, most, n_terms)
 
-    def _alike(self, dense: np.ndarray) -> np.ndarray:
-        """An order of rows in which those of one direction follow each other."""
-        norms = np.sqrt((dense * dense).sum(1))
-        if self.n < 4 * self.block or not (norms > 0).all():
-            first = dense.argmax(1) if dense.size else np.zeros(self.n)
-            return np.argsort(first, kind="stable")
-        unit = dense / norms[:, None]
-        centres = spherical_kmeans(unit, -(-self.n // self.block))
-        cos = unit @ centres.T
-        return np.lexsort((-cos.max(1), cos.argmax(1)))
-
     def search(self, queries: Rows, k: int) -> tuple[np.ndarray, np.ndarray]:
         """For each query the rows and cosines of the ``k`` nearest; of equal ones those with the least numbers. Row -1 and cosine 0: none."""
         m = len(queries)
@@ -184,10 +173,17 @@ class Model:
 
     def __init__(self, names: list, toxic: np.ndarray, number: dict[str, int], idf: np.ndarray, rows: Rows, weight: np.ndarray):
         self.names, self.toxic, self.number, self.idf, self.rows = names, toxic, number, idf, rows
-        self.index = BlockMaxIndex(rows, len(number))
+        self._index = None
         bare = np.diff(rows.begins) == 0
         self.prior = float((weight * toxic)[bare].sum() / weight[bare].sum()) if bare.any() else 0.0
 
+    @property
+    def index(self) -> BlockMaxIndex:
+        """Built where it is first searched: each worker has its own, the driver none."""
+        if self._index is None:
+            self._index = BlockMaxIndex(self.rows, len(self.number))
+        return self._index
+
     def vectors(self, bags: list) -> Rows:
         """Terms that no example has are left out: they match nothing."""
         find, terms, counts, begins = self.number.get, [], [], [0]
@@ -292,6 +288,8 @@ def fit(spark: SparkSession, scratch: Scratch, docs: DataFrame, labelled: DataFr
             for a in range(0, len(own), SLICE):
                 yield pa.RecordBatch.from_pydict({"row": own[a : a + SLICE], "vote": shared.value.left_out(own[a : a + SLICE])})
 
+    del held, terms, n, coded, model
+    pa.default_memory_pool().release_unused()
     left = spark.range(0, len(toxic), 1, 16).mapInArrow(votes, "row long, vote double").toArrow()
     order = np.argsort(left.column("row").to_numpy())
     return shared, monotone(left.column("vote").to_numpy()[order], toxic.astype(float), share[toxic])
