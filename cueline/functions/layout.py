@@ -2,82 +2,54 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-_TOKEN = re.compile(r"\S+")
-_NAMES = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("extensions", T.ArrayType(T.StringType()))]))
-_EXTENSION = re.compile(r"\(([^)]+)\)")
-
-
-def _clusters(line: str, most: int) -> list[tuple[int, int]]:
-    """Spans of tokens that are at most ``most`` characters apart."""
-    out: list[tuple[int, int]] = []
-    for m in _TOKEN.finditer(line):
-        if out and m.start() - out[-1][1] <= most:
-            out[-1] = out[-1][0], m.end()
-        else:
-            out.append(m.span())
-    return out
 
+from cueline.functions.text import rstrip_space, split_character, strip_space
 
-def _widest(spans: list[tuple[int, int]]) -> tuple[int, int]:
-    """The widest gap between spans and the number of the span before it; of equal ones the last."""
-    return max((b[0] - a[1], i) for i, (a, b) in enumerate(zip(spans, spans[1:])))
+#: Words of one name are at most this far apart, two names more than this, columns of dialogue more than this.
+WITHIN_NAME, BETWEEN_NAMES, WITHIN_COLUMN = 3, 6, 2
 
 
-def character_names(line: str) -> list[tuple[str, list[str]]]:
-    """(name, extensions) of the one or, behind a gap of more than six characters, two speakers of a character line."""
-    spans = _clusters(line.rstrip(), 3)
-    if not spans:
-        return []
-    cuts = [(spans[0][0], spans[-1][1])]
-    if len(spans) > 1:
-        gap, i = _widest(spans)
-        if gap > 6:
-            cuts = [(spans[0][0], spans[i][1]), (spans[i + 1][0], spans[-1][1])]
-    parts = [line[a:b] for a, b in cuts]
-    return [(re.sub(r"\s*\([^)]+\)", "", p).strip().rstrip("."), _EXTENSION.findall(p)) for p in parts]
+def widest_gap(line: Column, least: int) -> Column:
+    """struct(start, length) of the widest gap of ``least`` or more white space in a line that ends in ink; of equal ones the last. Null if there is none.
 
-
-def two_columns(line: str, right_column: int | None) -> tuple[str, str, int | None]:
-    """(left, right, where the right column begins) of a line of simultaneous dialogue.
-
-    Columns are at least three spaces apart, at the widest gap. A single column goes left or right by where an earlier line began its right one.
+    start is how many characters stand before the gap.
     """
-    spans = _clusters(line.rstrip(), 2)
-    if not spans:
-        return "", "", right_column
-    if len(spans) > 1:
-        _, i = _widest(spans)
-        at = spans[i + 1][0]
-        return line[: spans[i][1]].strip(), line[at:].strip(), at
-    text = line.strip()
-    if right_column is not None and spans[0][0] >= right_column:
-        return "", text, right_column
-    return text, "", right_column
-
-
-@F.pandas_udf(_NAMES)
-def parse_character_line(lines: pd.Series) -> pd.Series:
-    """The speakers of character lines; null for null."""
-    return lines.map(lambda x: None if x is None else [{"name": n, "extensions": e} for n, e in character_names(x)])
-
-
-def split_simultaneous(table, key: str, order: str, content: str):
-    """``table`` with ``left`` and ``right``: the columns of its lines, each block of ``key`` read in ``order``."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order)
-        at, left, right = None, [], []
-        for line in part[content]:
-            a, b, at = two_columns(line or "", at)
-            left.append(a)
-            right.append(b)
-        return part.assign(left=left, right=right)
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields)
-    return table.groupBy(key).applyInPandas(run, f"{fields}, left string, right string")
+    gaps = F.regexp_extract_all(line, F.lit(rf"(?<=\S)\s{{{least},}}(?=\S)"), 0)
+    inked = F.split(line, rf"(?<=\S)\s{{{least},}}(?=\S)")
+    sizes = F.transform(gaps, F.length)
+    # The gap's number, from 1: the first from behind that is the widest.
+    k = (F.size(sizes) + 1 - F.array_position(F.reverse(sizes), F.array_max(sizes))).cast("int")
+    upto = lambda x, n: F.aggregate(F.slice(x, F.lit(1), n), F.lit(0), lambda s, v: s + F.length(v))
+    return F.when(F.size(gaps) > 0, F.struct((upto(inked, k) + upto(gaps, k - 1)).alias("start"), F.array_max(sizes).alias("length")))
+
+
+def parse_character_line(line: Column) -> Column:
+    """array<struct<name, extensions>>: the one or, behind a gap of more than ``BETWEEN_NAMES``, two speakers of a character line; null for null."""
+    line = rstrip_space(line)
+    gap = widest_gap(line, WITHIN_NAME + 1)
+    left, right = F.substring(line, F.lit(1), gap["start"]), F.substring(line, gap["start"] + gap["length"] + 1, F.length(line))
+    none = F.array().cast("array<struct<name:string,extensions:array<string>>>")
+    two = F.array(split_character(left), split_character(right))
+    return F.when(line == "", none).when(gap["length"] > BETWEEN_NAMES, two).when(line.isNotNull(), F.array(split_character(line)))
+
+
+def split_simultaneous(table: DataFrame, key: str, order: str, content: str) -> DataFrame:
+    """``table`` with ``left`` and ``right``: the columns of its lines, each block of ``key`` read in ``order``.
+
+    Columns are more than ``WITHIN_COLUMN`` apart, at the widest gap. A single column goes right if it begins where the last right column of an
+    earlier line of the block did, or behind.
+    """
+    line = rstrip_space(F.coalesce(F.col(content), F.lit("")))
+    gap = widest_gap(line, WITHIN_COLUMN + 1)
+    own = table.withColumn("_line", line).withColumn("_gap", gap)
+    begins = F.col("_gap.start") + F.col("_gap.length")
+    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    own = own.withColumn("_right", F.last(begins, ignorenulls=True).over(before))
+    text = strip_space(F.col("_line"))
+    indent = F.length("_line") - F.length(F.regexp_replace("_line", r"^\s+", ""))
+    two, goes_right = F.col("_gap").isNotNull(), (text != "") & (indent >= F.col("_right"))
+    left = F.when(two, strip_space(F.substring(F.col("_line"), F.lit(1), F.col("_gap.start")))).when(goes_right, "").otherwise(text)
+    right = F.when(two, F.substring(F.col("_line"), begins + 1, F.length("_line"))).when(goes_right, text).otherwise("")
+    return own.select(*table.columns, left.alias("left"), right.alias("right"))

@@ -1,4 +1,4 @@
-"""Headers and segments of MIME text."""
+"""Headers and parts of MIME text, read line by line."""
 
 from __future__ import annotations
 
@@ -8,46 +8,66 @@ from pyspark.sql import functions as F
 from cueline.functions.text import strip_space
 
 
+def text_lines(text: Column) -> Column:
+    """The lines of a text, without their ends."""
+    return F.transform(F.split(text, "\n"), lambda x: F.rtrim(x, F.lit("\r")))
+
+
+def unfolded(lines: Column) -> Column:
+    """Header lines, to each of which the lines that go on with white space are joined."""
+    more = lambda x: F.substring(x, 1, 1).isin(" ", "\t")
+
+    def add(done: Column, line: Column) -> Column:
+        joined = F.concat(F.element_at(done, -1), F.ltrim(line, F.lit(" \t")))
+        return F.when(more(line) & (F.size(done) > 0), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(line)))
+
+    return F.aggregate(lines, F.array().cast("array<string>"), add)
+
+
 def header_value(headers: Column, name: str) -> Column:
-    """The value of a header in any case, its folded lines joined; null if there is none."""
-    unfolded = F.regexp_replace(headers, r"\r?\n[ \t]+", "")
-    found = F.regexp_extract(unfolded, rf"(?im)^\Q{name}\E:\s*([^\r\n]+)", 1)
-    return F.nullif(strip_space(found), F.lit(""))
+    """The value of the first header of that name, in any case; null if there is none or it is empty."""
+    own = F.filter(unfolded(text_lines(headers)), lambda x: F.startswith(F.lower(x), F.lit(name.lower() + ":")))
+    return F.nullif(strip_space(F.substring(F.get(own, F.lit(0)), len(name) + 2, 2_147_483_647)), F.lit(""))
 
 
 def content_type(headers: Column) -> Column:
     """Content-Type in lower case, without parameters; null if there is none."""
-    return F.lower(strip_space(F.element_at(F.split(header_value(headers, "Content-Type"), ";"), 1)))
+    return F.lower(strip_space(F.substring_index(header_value(headers, "Content-Type"), ";", 1)))
 
 
 def boundary(text: Column) -> Column:
-    """The quoted boundary; null if there is none."""
-    return F.nullif(strip_space(F.regexp_extract(text, r'(?i)boundary="([^"]+)"', 1)), F.lit(""))
+    """The quoted boundary parameter; null if there is none."""
+    at = F.instr(F.lower(text), F.lit('boundary="'))
+    value = F.substring_index(F.substring(text, at + 10, F.lit(2_147_483_647)), '"', 1)
+    return F.when(at > 0, F.nullif(strip_space(value), F.lit("")))
 
 
-def boundary_segments(text: Column, mark: Column) -> Column:
-    """The text between delimiter lines of the boundary ``mark``."""
-    line = F.concat(F.lit(r"(?:^|\r?\n)--\Q"), mark, F.lit(r"\E(?:--)?[ \t]*(?:\r?\n|$)"))
-    return F.split(text, line)
+def parts(text: Column, mark: Column) -> Column:
+    """array<struct<headers, body>> of what stands behind each delimiter line of the boundary ``mark``.
 
+    Headers end at the first empty line. Both are null in a part without one, as behind the closing delimiter.
+    """
+    delimiter = F.concat(F.lit("--"), mark)
 
-def strip_segment(segment: Column) -> Column:
-    """Without the line break at each end that belongs to the boundary."""
-    return F.regexp_replace(F.regexp_replace(segment, r"\A\r?\n?", ""), r"\r?\n?\z", "")
+    def cut(lines: Column) -> Column:
+        plain = lambda x: F.rtrim(x, F.lit(" \t\r"))
+        is_mark = lambda x: (plain(x) == delimiter) | (plain(x) == F.concat(delimiter, F.lit("--")))
+        at = F.filter(F.transform(lines, lambda x, i: F.when(is_mark(x), i)), lambda i: i.isNotNull())
+        ends = F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(lines)))
+        return F.transform(at, lambda a, k: F.slice(lines, a + 2, F.get(ends, k) - a - 1))
 
+    def split(lines: Column) -> Column:
+        empty = F.array_position(F.transform(lines, lambda x: F.rtrim(x, F.lit("\r"))), "").cast("int")
+        some = empty > 0
+        own = lambda x: F.when(some, F.rtrim(F.array_join(x, "\n"), F.lit("\r")))
+        return F.struct(
+            own(F.slice(lines, F.lit(1), F.greatest(empty - 1, F.lit(0)))).alias("headers"),
+            own(F.slice(lines, empty + 1, F.size(lines))).alias("body"),
+        )
 
-def split_segment(segment: Column) -> Column:
-    """struct(headers, body), cut at the first empty line; both null if there is none."""
-    mark = F.when(F.contains(segment, F.lit("\r\n\r\n")), "\r\n\r\n").when(F.contains(segment, F.lit("\n\n")), "\n\n")
-    at = F.instr(segment, F.lit("\n\n"))
-    at = F.when(F.contains(segment, F.lit("\r\n\r\n")), F.instr(segment, F.lit("\r\n\r\n"))).otherwise(at)
-    return F.struct(
-        F.when(mark.isNotNull(), F.substring(segment, F.lit(1), at - 1)).alias("headers"),
-        F.when(mark.isNotNull(), F.substring(segment, at + F.length(mark), F.length(segment))).alias("body"),
-    )
+    return F.transform(cut(F.split(text, "\n")), split)
 
 
 def sheet_filename(idx: Column, kind: Column) -> Column:
     """sheet_<idx>.<subtype> of a content type."""
-    return F.concat(F.lit("sheet_"), idx.cast("string"), F.lit("."), F.element_at(F.split(kind, "/"), -1))
-
+    return F.concat(F.lit("sheet_"), idx.cast("string"), F.lit("."), F.substring_index(kind, "/", -1))

@@ -19,12 +19,12 @@ def rstrip_space(text: Column) -> Column:
 
 def remove_html_tags(text: Column) -> Column:
     """Without anything from < to the next > on its line."""
-    return F.regexp_replace(text, r"<.*?>", "")
+    return F.regexp_replace(text, r"<[^\n]*?>", "")
 
 
 def remove_override_blocks(text: Column) -> Column:
     """Without anything from { to the next } on its line."""
-    return F.regexp_replace(text, r"\{.*?\}", "")
+    return F.regexp_replace(text, r"\{[^\n]*?\}", "")
 
 
 def clean_ass_text(text: Column) -> Column:

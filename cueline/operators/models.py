@@ -22,7 +22,8 @@ def embed(table: DataFrame, make_model: Callable[[], Callable[[list[str]], list[
         for texts in batches:
             given = texts.dropna()
             vectors = model(given.tolist()) if len(given) else []
-            yield pd.Series([list(map(float, v)) for v in vectors], index=given.index, dtype=object).reindex(texts.index)
+            found = dict(zip(given.index, vectors))
+            yield pd.Series([list(map(float, found[i])) if i in found else None for i in texts.index], dtype=object)
 
     return table.withColumn(into, run(F.col(text)))
 

@@ -49,52 +49,53 @@ def six(value: Column) -> Column:
 
 # Timelines
 
-_EVENTS = "SELECT event_id, user_id, epoch_us(ts) AS us, event_type FROM events"
-_PROBES = f"p AS (SELECT * FROM ({_EVENTS}) WHERE event_id % 3 = 0), r AS (SELECT * FROM ({_EVENTS}) WHERE event_id % 3 = 1)"
+_EVENTS = "e AS (SELECT event_id, user_id, epoch_us(ts) AS us FROM events)"
 
 
 def _events(spark, sf_dir):
+    """All events, as probes and as references."""
     own = table(spark, sf_dir, "events").select("event_id", "user_id", micros(F.col("ts")).alias("us"), "event_type")
-    return own.where("event_id % 3 = 0"), own.where("event_id % 3 = 1")
+    return own, own
 
 
-def _register_as_of(how: str, sign: str, pick: str) -> None:
+def _register_as_of(how: str, sign: str, order: str) -> None:
     def run(spark, sf_dir):
         probes, refs = _events(spark, sf_dir)
-        found = timeline.as_of(probes, refs, ["user_id"], "us", "us", how)
+        found = timeline.as_of(probes, refs, ["user_id"], "us", "us", how, "event_id")
         return found.select("event_id", "user_id", F.col("ref.event_id").alias("ref_event_id"), F.col("ref.us").alias("ref_us"))
 
     sql = (
-        f"WITH {_PROBES} SELECT p.event_id, p.user_id, {pick}(r.event_id, r.us) AS ref_event_id, {pick}(r.us, r.us) AS ref_us "
-        f"FROM p LEFT JOIN r ON p.user_id = r.user_id AND r.us {sign} p.us GROUP BY p.event_id, p.user_id"
+        f"WITH {_EVENTS} SELECT event_id, user_id, ref_event_id, ref_us FROM (SELECT p.event_id, p.user_id, r.event_id AS ref_event_id, r.us AS ref_us, "
+        f"row_number() OVER (PARTITION BY p.event_id ORDER BY r.us {order}, r.event_id {order}) AS k "
+        f"FROM e p LEFT JOIN e r ON p.user_id = r.user_id AND r.us {sign} p.us) WHERE k = 1"
     )
     query(sql, f"asof_{how}")(run)
 
 
-for _how, _sign, _pick in (("lt", "<", "arg_max"), ("le", "<=", "arg_max"), ("gt", ">", "arg_min"), ("ge", ">=", "arg_min")):
-    _register_as_of(_how, _sign, _pick)
+for _how, _sign, _order in (("lt", "<", "DESC"), ("le", "<=", "DESC"), ("gt", ">", "ASC"), ("ge", ">=", "ASC")):
+    _register_as_of(_how, _sign, _order)
 
 
 @query(
-    f"WITH {_PROBES}, c AS (SELECT p.event_id, r.event_id AS ref_event_id, row_number() OVER "
-    "(PARTITION BY p.event_id ORDER BY abs(r.us - p.us), r.us) AS k FROM p LEFT JOIN r ON p.user_id = r.user_id) "
+    f"WITH {_EVENTS}, c AS (SELECT p.event_id, r.event_id AS ref_event_id, row_number() OVER (PARTITION BY p.event_id "
+    "ORDER BY abs(r.us - p.us), r.us, CASE WHEN r.us < p.us THEN -r.event_id ELSE r.event_id END) AS k FROM e p LEFT JOIN e r ON p.user_id = r.user_id) "
     "SELECT event_id, ref_event_id FROM c WHERE k = 1"
 )
 def nearest(spark, sf_dir):
     probes, refs = _events(spark, sf_dir)
-    found = timeline.nearest(probes, refs, ["user_id"], "us", "us")
+    found = timeline.nearest(probes, refs, ["user_id"], "us", "us", "event_id")
     return found.select("event_id", F.col("ref.event_id").alias("ref_event_id"))
 
 
 @query(
-    f"WITH {_PROBES}, q AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us) - 1 AS pos FROM r) "
+    f"WITH {_EVENTS}, q AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) - 1 AS pos FROM e) "
     "SELECT p.event_id, min(q.pos) AS first_pos, max(q.pos) AS last_pos, count(q.pos) AS n "
-    "FROM p LEFT JOIN q ON p.user_id = q.user_id AND q.us BETWEEN p.us AND p.us + 3600000000 * 6 GROUP BY p.event_id"
+    "FROM e p LEFT JOIN q ON p.user_id = q.user_id AND q.us BETWEEN p.us AND p.us + 3600000000 * 6 GROUP BY p.event_id"
 )
 def between(spark, sf_dir):
     probes, refs = _events(spark, sf_dir)
     probes = probes.withColumn("until", F.col("us") + 3_600_000_000 * 6)
-    return timeline.between(probes, refs, ["user_id"], "us", "until", "us").select("event_id", "first_pos", "last_pos", "n")
+    return timeline.between(probes, refs, ["user_id"], "us", "until", "us", ["event_id"]).select("event_id", "first_pos", "last_pos", "n")
 
 
 @query(
@@ -177,17 +178,23 @@ def character_extensions(spark, sf_dir):
     return own.select("c_custkey", c["name"].alias("name"), c["extensions"][0].alias("one"), c["extensions"][1].alias("two"), F.size(c["extensions"]).cast("long").alias("n"))
 
 
-@query("SELECT c_custkey, 'to ' || c_name || ' (softly)' AS plain FROM customer")
+@query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'to ' || c_name || ' (softly)' WHEN 1 THEN c_name ELSE '(' || c_name END AS plain FROM customer")
 def parenthetical(spark, sf_dir):
-    raw = F.concat(F.lit(" ( to "), F.col("c_name"), F.lit(" (softly) ) "))
+    k = F.col("c_custkey") % 3
+    raw = F.when(k == 0, F.concat(F.lit(" ( to "), F.col("c_name"), F.lit(" (softly) ) "))).when(k == 1, F.col("c_name")).otherwise(F.concat(F.lit("(("), F.col("c_name"), F.lit(" )"))).alias("raw")
     return table(spark, sf_dir, "customer").select("c_custkey", text.clean_parenthetical(raw).alias("plain"))
 
 
-@query("SELECT c_custkey, upper(c_name) AS left_name, 'GUEST' AS right_name, 2::BIGINT AS n FROM customer")
+@query(
+    "SELECT c_custkey, CASE WHEN c_custkey % 3 = 2 THEN upper(c_name) || '   GUEST' ELSE upper(c_name) END AS left_name, "
+    "CASE WHEN c_custkey % 3 < 2 THEN 'GUEST' END AS right_name, CASE WHEN c_custkey % 3 < 2 THEN 2 ELSE 1 END::BIGINT AS n FROM customer"
+)
 def character_lines(spark, sf_dir):
-    raw = F.concat(F.lit("   "), F.upper("c_name"), F.lit(" (O.S.)          GUEST (V.O.)"))
+    k = F.col("c_custkey") % 3
+    gap = F.when(k == 0, F.lit(" (O.S.)          ")).when(k == 1, F.lit("    (O.S.)       ")).otherwise(F.lit("   "))
+    raw = F.concat(F.lit("   "), F.upper("c_name"), gap, F.lit("GUEST (V.O.)"))
     own = table(spark, sf_dir, "customer").select("c_custkey", layout.parse_character_line(raw).alias("c"))
-    return own.select("c_custkey", F.col("c")[0]["name"].alias("left_name"), F.col("c")[1]["name"].alias("right_name"), F.size("c").cast("long").alias("n"))
+    return own.select("c_custkey", F.get("c", F.lit(0))["name"].alias("left_name"), F.get("c", F.lit(1))["name"].alias("right_name"), F.size("c").cast("long").alias("n"))
 
 
 # Readers, on files that are made of the tables
@@ -295,7 +302,7 @@ def utterances(spark, sf_dir):
     return _utterances(lines.withColumn("timestamp_start", F.col("idx") * 2.0).withColumn("timestamp_end", F.col("idx") * 2.0 + 1.5), "doc_id")
 
 
-_A, _B = "replace(substr(text, 1, 20), '-', '.')", "replace(substr(text, 21, 20), '-', '.')"
+_A, _B = "replace(substr(text, 1, length(text) // 2), '-', '.')", "replace(substr(text, length(text) // 2 + 1), '-', '.')"
 _DASHES = (
     f"SELECT conv_id, turn * 2.0 AS ord, {_A} AS content, turn * 4.0 AS s, turn * 4.0 + 1 AS e, true AS solo FROM conversations WHERE turn % 3 = 1 "
     f"UNION ALL SELECT conv_id, turn * 2.0 + 1, {_B}, turn * 4.0 + 1, turn * 4.0 + 2, false FROM conversations WHERE turn % 3 = 1 "
@@ -306,7 +313,8 @@ _DASHES = (
 @query(_SEGMENTS.format(key="conv_id", pieces=_DASHES))
 def utterances_dash(spark, sf_dir):
     plain = F.replace("text", F.lit("-"), F.lit("."))
-    two = F.concat(F.lit("- "), F.substring(plain, 1, 20), F.lit(" - "), F.substring(plain, 21, 20))
+    middle = F.floor(F.length(plain) / 2).cast("int")
+    two = F.concat(F.lit("- "), F.substring(plain, F.lit(1), middle), F.lit(" - "), F.substring(plain, middle + 1, F.length(plain)))
     own = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("idx"), F.when(F.col("turn") % 3 == 1, two).otherwise(plain).alias("content"))
     return _utterances(own.withColumn("timestamp_start", F.col("idx") * 4.0).withColumn("timestamp_end", F.col("idx") * 4.0 + 2), "conv_id")
 
@@ -437,17 +445,44 @@ def _aligned(spark, sf_dir, method):
     return warping.dtw(a, b, ["label"], "vec_id", "cosine", method)
 
 
-@query()
+_ACCUMULATED = (
+    f"WITH RECURSIVE {_AB}, q AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY i) AS i, x FROM a), "
+    "t AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY j) AS j, y FROM b), "
+    "c AS (SELECT label, i, list(1 - list_cosine_similarity(x, y) ORDER BY j) AS c FROM q JOIN t USING (label) GROUP BY label, i), "
+    "r AS (SELECT label, i, {first} AS acc FROM c WHERE i = 1 UNION ALL SELECT c.label, c.i, list_reduce(list_prepend([c.c[1] + r.acc[1]], "
+    "list_transform(generate_series(2, len(c.c)), lambda k: [c.c[k], r.acc[k], r.acc[k - 1]])), lambda p, e: list_append(p, e[1] + least(e[2], e[3], p[len(p)]))) "
+    "FROM r JOIN c ON c.label = r.label AND c.i = r.i + 1), "
+    "d AS (SELECT label, i, unnest(acc) AS v, unnest(generate_series(1, len(acc))) AS j FROM r), "
+    "ends AS (SELECT label, {end_i} AS i, {end_j} AS j FROM d GROUP BY label), "
+    "w AS (SELECT label, i, j, 0 AS n FROM ends UNION ALL SELECT w.label, "
+    "CASE WHEN w.i = 1 THEN 1 WHEN w.j = 1 OR least(g.v, u.v) <= l.v THEN w.i - 1 ELSE w.i END, "
+    "CASE WHEN w.i = 1 THEN w.j - 1 WHEN w.j = 1 THEN 1 WHEN g.v <= u.v AND g.v <= l.v THEN w.j - 1 WHEN u.v <= l.v THEN w.j ELSE w.j - 1 END, w.n + 1 "
+    "FROM w LEFT JOIN d g ON g.label = w.label AND g.i = w.i - 1 AND g.j = w.j - 1 LEFT JOIN d u ON u.label = w.label AND u.i = w.i - 1 AND u.j = w.j "
+    "LEFT JOIN d l ON l.label = w.label AND l.i = w.i AND l.j = w.j - 1 WHERE {more}), "
+    "path AS (SELECT label, i - 1 AS i, j - 1 AS j, (max(n) OVER (PARTITION BY label) - n) AS k FROM w), "
+    "total AS (SELECT label, d.v AS distance FROM ends JOIN d USING (label, i, j)) "
+)
+_CLASSIC = _ACCUMULATED.format(
+    first="list_reduce(list_prepend([c[1]], list_transform(generate_series(2, len(c)), lambda k: [c[k]])), lambda p, e: list_append(p, e[1] + p[len(p)]))",
+    end_i="max(i)", end_j="max(j)", more="w.i > 1 OR w.j > 1",
+)
+_SUBSEQUENCE = _ACCUMULATED.format(first="c", end_i="max(i)", end_j="arg_min(j, (-i, v, j))", more="w.i > 1")
+
+
+@query(_CLASSIC + "SELECT label, round(any_value(distance), 6) AS distance, count(*)::INTEGER AS steps FROM path JOIN total USING (label) GROUP BY label")
 def dtw_distance(spark, sf_dir):
     return _aligned(spark, sf_dir, "classic").select("label", six("distance").alias("distance"), F.size("path").alias("steps"))
 
 
-@query()
+@query(_CLASSIC + "SELECT label, k::INTEGER AS k, i::INTEGER AS i, j::INTEGER AS j FROM path")
 def dtw_path(spark, sf_dir):
     return _aligned(spark, sf_dir, "classic").select("label", F.posexplode("path").alias("k", "c")).select("label", "k", "c.i", "c.j")
 
 
-@query()
+@query(
+    _SUBSEQUENCE + "SELECT label, round(any_value(distance), 6) AS distance, arg_min(j, k)::INTEGER AS first_j, arg_max(j, k)::INTEGER AS last_j "
+    "FROM path JOIN total USING (label) GROUP BY label"
+)
 def dtw_subsequence(spark, sf_dir):
     found = _aligned(spark, sf_dir, "subsequence")
     return found.select("label", six("distance").alias("distance"), F.element_at("path", 1)["j"].alias("first_j"), F.element_at("path", -1)["j"].alias("last_j"))

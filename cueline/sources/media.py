@@ -6,18 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cueline.errors import DatasetError, VideoError
-from cueline.functions.mime import boundary, boundary_segments, content_type, header_value, split_segment, strip_segment
+from cueline.functions.mime import boundary, content_type, header_value, parts
 from cueline.functions.timecode import timecode_seconds
 
 _PROBE = (
     "streams array<struct<index:int,codec_type:string,codec_name:string,codec_long_name:string,start_time:string,duration:string,"
     "r_frame_rate:string,nb_frames:string,height:int,width:int,tags:map<string,string>>>, format struct<duration:string>"
 )
-#: Fixed format of a storyboard's captions.
-_CAPTION = (
-    r'<figcaption>Slide\s+#(\d+):\s+(\d\d:\d\d:\d\d,\d{3})\s+.?\s+(\d\d:\d\d:\d\d,\d{3})\s+'
-    r'\(duration:\s+((?:\d+:)*\d+\.\d{3})\)</figcaption><img\s+src="cid:([^"]+)">'
-)
 
 
 def subtitle_streams(probes: DataFrame, json: str = "json") -> DataFrame:
@@ -56,22 +51,26 @@ def video_metadata(probes: DataFrame, json: str = "json") -> DataFrame:
 
 
 def storyboard_captions(pages: DataFrame, path: str = "path", html: str = "html") -> DataFrame:
-    """filepath, idx, start, end, cid of the captions of storyboard pages."""
-    group = lambda n: F.regexp_extract_all(F.col(html), F.lit(_CAPTION), n)
-    rows = pages.select(F.col(path).alias("filepath"), F.explode(F.arrays_zip(*[group(n).alias(x) for n, x in ((1, "idx"), (2, "a"), (3, "b"), (5, "cid"))])).alias("c"))
-    return rows.select("filepath", F.col("c.idx").cast("int").alias("idx"), timecode_seconds(F.col("c.a")).alias("start"), timecode_seconds(F.col("c.b")).alias("end"), "c.cid")
+    """filepath, idx, start, end, cid of the captions of storyboard pages: each names a slide and its times, and its image follows at once."""
+    chunks = F.split(F.col(html), "<figcaption>")
+    own = pages.select(F.col(path).alias("filepath"), F.explode(F.slice(chunks, F.lit(2), F.size(chunks))).alias("chunk"))
+    own = own.withColumn("said", F.substring_index("chunk", "</figcaption>", 1))
+    image = F.regexp_extract(F.substring("chunk", F.length("said") + 14, F.length("chunk")), r"^<img[^>]*cid:([^\">]+)", 1)
+    times = F.regexp_extract_all("said", F.lit(r"[\d:]+,\d+"), 0)
+    rows = own.select("filepath", F.regexp_extract("said", r"#(\d+)", 1).alias("idx"), times.alias("times"), image.alias("cid"))
+    rows = rows.where("idx != '' and size(times) >= 2 and cid != ''")
+    return rows.select("filepath", F.col("idx").cast("int").alias("idx"), timecode_seconds(F.col("times")[0]).alias("start"), timecode_seconds(F.col("times")[1]).alias("end"), "cid")
 
 
 def parse_storyboards(files: DataFrame, rows: int = 3, cols: int = 3, path: str = "path", content: str = "content") -> DataFrame:
     """filepath, idx, start, end, cid, rows, cols, location, type of the sheets of MHTML ``files`` (path, content as text).
 
-    The text is cut at its boundary: the second segment has the captions, later ones a sheet's headers each. A sheet without headers has nulls.
+    The first part has the captions, later ones a sheet's headers each. A sheet without headers has nulls.
     """
-    cut = files.select(F.col(path).alias("filepath"), F.posexplode(boundary_segments(F.col(content), boundary(F.col(content)))).alias("n", "segment"))
-    cut = cut.where("n > 0").select("filepath", "n", split_segment(strip_segment(F.col("segment"))).alias("s")).where("s.headers is not null")
-    captions = storyboard_captions(cut.where("n = 1").select("filepath", F.col("s.body").alias("html")), "filepath")
-    heads = cut.where("n > 1").select(
-        "filepath", F.regexp_replace(header_value(F.col("s.headers"), "Content-ID"), r"^<+|>+$", "").alias("cid"),
+    cut = files.select(F.col(path).alias("filepath"), F.posexplode(parts(F.col(content), boundary(F.col(content)))).alias("n", "s")).where("s.headers is not null")
+    captions = storyboard_captions(cut.where("n = 0").select("filepath", F.col("s.body").alias("html")), "filepath")
+    heads = cut.where("n > 0").select(
+        "filepath", F.btrim(header_value(F.col("s.headers"), "Content-ID"), F.lit("<>")).alias("cid"),
         header_value(F.col("s.headers"), "Content-Location").alias("location"), content_type(F.col("s.headers")).alias("type"),
     )
     return captions.join(heads, ["filepath", "cid"], "left").select(

@@ -13,10 +13,25 @@ from cueline.functions.text import clean_ass_text, clean_srt_text
 from cueline.functions.timecode import timecode_seconds
 from cueline.sources.encoding import decode
 
-_TIMES = re.compile(r"^\s*(\S+)\s*-->\s*(\S+)(?:\s+X1:\s*(\d+)\s+X2:\s*(\d+)\s+Y1:\s*(\d+)\s+Y2:\s*(\d+))?\s*$")
+#: Names of a cue's coordinates, in the order in which a time line may have them.
+CORNERS = ("X1", "X2", "Y1", "Y2")
 _CUE = "idx long, filepath string, line_idx long, start_code string, end_code string, content string, x1 long, y1 long, x2 long, y2 long, error string"
 
 
+def time_line(line: str) -> tuple | None:
+    """(start, end, x1, x2, y1, y2) of a cue's time line, null for coordinates it lacks; all are null without X1. None if it is no such line."""
+    start, arrow, rest = line.partition("-->")
+    end, *marks = rest.split() or [""]
+    if not arrow or len(start.split()) != 1 or not end:
+        return None
+    corners = [x.partition(":") for x in marks]
+    places = [CORNERS.index(c) if c in CORNERS else -1 for c, _, _ in corners]
+    if -1 in places or places != sorted(set(places)) or not all(v.isdecimal() for _, _, v in corners):
+        return None
+    found = {c: int(v) for c, _, v in corners} if "X1:" in rest else {}
+    return (start.strip(), end, *(found.get(c) for c in CORNERS))
+
+
 def srt_cues(path: str, text: str):
     """Rows of the cues of an SRT text: index line, time line, content up to an empty line.
 
@@ -40,11 +55,10 @@ def srt_cues(path: str, text: str):
                 return
             idx, at = int(line), n
         elif times is None:
-            m = _TIMES.match(line)
-            if not m:
+            times = time_line(line)
+            if not times:
                 yield (None, path, n, *(None,) * 7, f"{path}:{n}: no timestamps: {line!r}")
                 return
-            times = (m[1], m[2], *[int(x) if x else None for x in m.groups()[2:]])
         else:
             content.append(line)
     if times and content:
