@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: A row's number in its written table, where doc_id may be null or repeated. No input column may have this name.
 ROW = "_cueline_row"
+#: Bounds what a Python worker gets at a time; set for the session where it is unset.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +37,9 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/cueline-{name}-{uuid.uuid4().hex[:12]}"
         self._tables = 0
+        # Texts may be long: tasks get few bytes of them at a time, unless the session says otherwise.
+        if spark.conf.get(BATCH_BYTES, None) is None:
+            spark.conf.set(BATCH_BYTES, "4m")
 
     def path(self, name: str) -> str:
         self._tables += 1

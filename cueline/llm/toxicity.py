@@ -83,34 +83,37 @@ class BlockMaxIndex:
 
     def __init__(self, rows: Rows, n_terms: int, block: int = BLOCK, full: int = FULL):
         self.block, self.n, self.searched = block, len(rows), 0
-        owner = np.repeat(np.arange(self.n), np.diff(rows.begins))
+        owner = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(rows.begins))
         common = np.argsort(-np.bincount(rows.terms, minlength=n_terms), kind="stable")[:full]
-        self.place = np.full(n_terms, -1)
+        self.place = np.full(n_terms, -1, np.int32)
         self.place[common] = np.arange(len(common))
-        dense = np.zeros((self.n, len(common)))
-        at = self.place[rows.terms]
-        dense[owner[at >= 0], at[at >= 0]] = rows.weights[at >= 0]
-        # Those whose heaviest frequent term is the same follow each other.
+        # Rows whose heaviest frequent term is the same follow each other.
+        cell = np.flatnonzero(self.place[rows.terms] >= 0)
+        column, weight = self.place[rows.terms[cell]], rows.weights[cell]
+        dense = np.zeros((self.n, len(common)), np.float32)
+        dense[owner[cell], column] = weight
         self.order = np.lexsort((-dense.max(1, initial=0), dense.argmax(1) if dense.size else np.zeros(self.n)))
-        rank = np.empty(self.n, np.int64)
+        del dense
+        rank = np.empty(self.n, np.int32)
         rank[self.order] = np.arange(self.n)
         self.blocks = max(1, -(-self.n // block))
         padded = np.zeros((self.blocks * block, len(common)))
-        padded[: self.n] = dense[self.order]
+        padded[rank[owner[cell]], column] = weight
+        del cell, column, weight
         self.dense = padded.reshape(self.blocks, block, -1)
         self.dense_most = self.dense.max(1)
-        rare, n = at < 0, rank[owner]
-        terms, weights, own = rows.terms[rare], rows.weights[rare], n[rare] // block
-        self.sparse = []
-        for b in range(self.blocks):
-            mine = own == b
-            self.sparse.append(_Postings(terms[mine], n[rare][mine] % block, weights[mine], n_terms))
-        # Each term's greatest weight in each block that has it.
-        key = terms * self.blocks + own
-        order = np.argsort(key, kind="stable")
-        first = np.flatnonzero(np.diff(key[order], prepend=-1))
-        most = np.maximum.reduceat(weights[order], first) if len(first) else np.zeros(0)
-        self.most = _Postings(key[order][first] // self.blocks, key[order][first] % self.blocks, most, n_terms)
+        cell = np.flatnonzero(self.place[rows.terms] < 0)
+        terms, weights, row = rows.terms[cell].astype(np.int32), rows.weights[cell], rank[owner[cell]]
+        del cell, owner
+        # By block and term: the postings of each block, and each term's greatest weight in each block that has it.
+        order = np.lexsort((terms, row // block))
+        terms, weights, row = terms[order], weights[order], row[order]
+        del order
+        bounds = np.searchsorted(row // block, np.arange(self.blocks + 1))
+        self.sparse = [_Postings(terms[a:b], row[a:b] % block, weights[a:b], n_terms) for a, b in zip(bounds, bounds[1:])]
+        first = np.flatnonzero((np.diff(terms, prepend=-1) != 0) | (np.diff(row // block, prepend=-1) != 0))
+        most = np.maximum.reduceat(weights, first) if len(first) else np.zeros(0)
+        self.most = _Postings(terms[first], row[first] // block, most, n_terms)
 
     def search(self, queries: Rows, k: int) -> tuple[np.ndarray, np.ndarray]:
         """For each query the rows and cosines of the ``k`` nearest; of equal ones those with the least numbers. Row -1 and cosine 0: none."""
