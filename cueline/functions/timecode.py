@@ -7,22 +7,18 @@ from pyspark.sql import functions as F
 
 #: H:M:S with an optional fraction behind a comma or point, M:S with one, and S with one behind a point.
 _CODE = (
-    r"^(?:([01]?\d|2[0-3]):([0-5]?\d):([0-5]?\d)(?:[,.](\d{1,6}))?"
-    r"|([0-5]?\d):([0-5]?\d)[,.](\d{1,6})"
-    r"|([0-5]?\d)\.(\d{1,6}))$"
+    r"^(?:(?:[01]?\d|2[0-3]):[0-5]?\d:[0-5]?\d(?:[,.]\d{1,6})?"
+    r"|[0-5]?\d:[0-5]?\d[,.]\d{1,6}"
+    r"|[0-5]?\d\.\d{1,6})$"
 )
 
 
 def timecode_micros(code: Column) -> Column:
     """Microseconds of a timecode; null if it has none of the known layouts."""
-
-    def group(*numbers: int) -> Column:
-        found = F.concat(*[F.regexp_extract(code, _CODE, n) for n in numbers])
-        return F.coalesce(F.nullif(found, F.lit("")), F.lit("0"))
-
-    part = F.rpad(F.concat(*[F.regexp_extract(code, _CODE, n) for n in (4, 7, 9)]), 6, "0").cast("long")
-    whole = group(1).cast("long") * 3600 + group(2, 5).cast("long") * 60 + group(3, 6, 8).cast("long")
-    return F.when(code.rlike(_CODE), whole * 1_000_000 + part)
+    parts = F.split(code, "[,.]")
+    whole = F.aggregate(F.split(parts[0], ":"), F.lit(0).cast("long"), lambda total, x: total * 60 + x.try_cast("long"))
+    fraction = F.rpad(F.coalesce(F.get(parts, F.lit(1)), F.lit("0")), 6, "0").try_cast("long")
+    return F.when(code.rlike(_CODE), whole * 1_000_000 + fraction)
 
 
 def timecode_seconds(code: Column) -> Column:

@@ -46,8 +46,8 @@ class SubtitleExtractor:
 
 def screenplay_sentences(spark: SparkSession, paths, make_model=None) -> DataFrame:
     """Sentences of labelled screenplays, embedded if a model is given."""
-    scenes, elements = parse_screenplay(parse_lines(read_screenplay_lines(spark, paths)))
-    found = singleton_utterances(scenes, elements)
+    _, elements = parse_screenplay(parse_lines(read_screenplay_lines(spark, paths)))
+    found = singleton_utterances(elements)
     return embed(found, make_model) if make_model else found
 
 

@@ -361,7 +361,7 @@ def screenplay_elements(spark, sf_dir):
     + "))"
 )
 def singleton_utterances(spark, sf_dir):
-    found = screenplay.singleton_utterances(*_screenplay(spark, sf_dir))
+    found = screenplay.singleton_utterances(_screenplay(spark, sf_dir)[1])
     return found.select("filepath", "id", "character", "content")
 
 

@@ -64,7 +64,7 @@ def test_scenes_and_elements(spark, tmp_path):
     assert extensions["MARA"] == ["O.S."] and len(extensions["TOM"]) == 1
     ids = [r["id"] for r in own] + [r["id"] for r in scenes.collect()]
     assert sorted(ids) == list(range(1, len(ids) + 1))
-    said = singleton_utterances(scenes, elements).orderBy("id").collect()
+    said = singleton_utterances(elements).orderBy("id").collect()
     assert [(r["character"], r["content"]) for r in said] == [("MARA", "Who is there?"), ("MARA", "Say it again."), ("TOM", "Come in!")]
     trees = scene_trees(scenes, elements)
     write_scenes(trees, f"{tmp_path}/scenes")
