@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cueline.functions import vector
 
+#: Rows of a block of a sequence, about.
+BLOCK = 512
+
 
 def pairwise(a: DataFrame, b: DataFrame, on: list[str], id: str, metric: str = "cosine", kind: str = "similarity", embedding: str = "embedding") -> DataFrame:
     """``on``, i, j, value: the measure of all pairs of a and b in each pair of sequences ``on``.
@@ -25,25 +33,92 @@ def pairwise(a: DataFrame, b: DataFrame, on: list[str], id: str, metric: str = "
     return left.join(right, on).select(*on, "i", "j", measure(own, F.col("_a"), F.col("_b")).alias("value"))
 
 
+def _blocks(a: DataFrame, b: DataFrame, on: list[str], id: str, embedding: str, size: int) -> DataFrame:
+    """``on`` and the ids and vectors of a block of each side, for each pair of blocks of a pair of sequences.
+
+    A sequence is dealt to blocks of about ``size`` rows by a hash of the id. Blocks, not rows, are repeated and joined, and each pair of blocks is
+    dealt by all of its key, so a pair of long sequences spreads over as many tasks as it has pairs of blocks.
+    """
+    own = lambda df: df.where(F.col(embedding).isNotNull()).select(*on, F.col(id).alias("_id"), vector.as_double(F.col(embedding)).alias("_v"))
+    a, b = own(a), own(b)
+    number = lambda df, name: df.groupBy(*on).agg(F.ceil(F.count("*") / size).cast("long").alias(name))
+    counts = number(a, "_n").join(number(b, "_m"), on)
+
+    def packed(df: DataFrame, mine: str, other: str, ids: str, vectors: str, block: str, against: str) -> DataFrame:
+        dealt = df.join(counts, on).withColumn(block, F.pmod(F.xxhash64("_id"), F.col(mine)))
+        blocks = dealt.groupBy(*on, block, other).agg(F.collect_list("_id").alias(ids), F.collect_list("_v").alias(vectors))
+        return blocks.select(*on, block, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(against), ids, vectors)
+
+    left = packed(a, "_n", "_m", "_i", "_a", "_left", "_right")
+    right = packed(b, "_m", "_n", "_j", "_b", "_right", "_left")
+    return left.join(right, [*on, "_left", "_right"]).drop("_left", "_right")
+
+
+def _cells(blocks: DataFrame, on: list[str], metric: str, pick) -> DataFrame:
+    """``on``, i, j, value of the cells that ``pick`` takes from the similarities of each pair of blocks; no other cell leaves its task."""
+    if metric not in vector.METRICS:
+        raise ValueError(f"unknown measure {metric!r}")
+    kinds = {f.name: f.dataType for f in blocks.schema}
+    fields = [T.StructField(k, kinds[k]) for k in on]
+    fields += [T.StructField("i", kinds["_i"].elementType), T.StructField("j", kinds["_j"].elementType), T.StructField("value", T.DoubleType())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {c: batch.column(c)[k] for c in ("_i", "_j", "_a", "_b")}
+                left, right = (row[c].values.flatten().to_numpy(zero_copy_only=False).reshape(len(row[c].values), -1) for c in ("_a", "_b"))
+                values = similarities(left, right, metric)
+                at, to = pick(values)
+                columns = [pa.array([batch.column(c)[k].as_py()] * len(at), batch.schema.field(c).type) for c in on]
+                columns += [row["_i"].values.take(pa.array(at)), row["_j"].values.take(pa.array(to)), pa.array(values[at, to])]
+                yield pa.RecordBatch.from_arrays(columns, [*on, "i", "j", "value"])
+
+    return blocks.mapInArrow(run, T.StructType(fields))
+
+
+def similarities(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Higher is nearer. Equal rows have equal values, wherever they stand, so ties don't depend on the blocks."""
+    if metric in ("cosine", "dot"):
+        if metric == "cosine":
+            a, b = (x / np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None] for x in (a, b))
+        return np.einsum("ij,kj->ik", a, b)
+    power = (lambda x: np.sqrt((x * x).sum(1))) if metric == "euclidean" else (lambda x: np.abs(x).sum(1))
+    return -np.stack([power(row - b) for row in a])
+
+
+def close_pairs(a: DataFrame, b: DataFrame, on: list[str], id: str, threshold: float, metric: str = "cosine", embedding: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """``on``, i, j, value of the pairs more similar than ``threshold``, from products of blocks."""
+    return _cells(_blocks(a, b, on, id, embedding, block), on, metric, lambda values: np.nonzero(values > threshold))
+
+
 def anchor_cells(pairs: DataFrame, on: list[str], threshold: float, least: int = 1, most: int = 3) -> DataFrame:
     """Pairs above ``threshold`` whose row and column both have at least ``least`` and fewer than ``most`` of them."""
     above = pairs.where(F.col("value") > threshold)
+    few = lambda c: (F.col(c) >= least) & (F.col(c) < most)
     by_row, by_col = Window.partitionBy(*on, "i"), Window.partitionBy(*on, "j")
     counted = above.withColumn("row_matches", F.count("*").over(by_row)).withColumn("col_matches", F.count("*").over(by_col))
-    few = lambda c: (F.col(c) >= least) & (F.col(c) < most)
     return counted.where(few("row_matches") & few("col_matches"))
 
 
 def anchors(a: DataFrame, b: DataFrame, on: list[str], id: str, threshold: float, metric: str = "cosine", least: int = 1, most: int = 3, embedding: str = "embedding") -> tuple[DataFrame, DataFrame]:
     """The rows of ``a`` and those of ``b`` that have an anchor; the two need not pair up."""
-    cells = anchor_cells(pairwise(a, b, on, id, metric, "similarity", embedding), on, threshold, least, most)
+    cells = anchor_cells(close_pairs(a, b, on, id, threshold, metric, embedding), on, threshold, least, most)
     own = lambda df, c: df.join(cells.select(*on, F.col(c).alias(id)).distinct(), [*on, id], "left_semi")
     return own(a, "i"), own(b, "j")
 
 
-def mutual_best(pairs: DataFrame, on: list[str]) -> DataFrame:
-    """Pairs that are each other's best; ties go to the smaller id."""
-    row = Window.partitionBy(*on, "i").orderBy(F.desc("value"), "j")
-    col = Window.partitionBy(*on, "j").orderBy(F.desc("value"), "i")
-    ranked = pairs.withColumn("_r", F.row_number().over(row)).withColumn("_c", F.row_number().over(col))
-    return ranked.where("_r = 1 and _c = 1").drop("_r", "_c")
+def _peaks(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All cells that are the highest of their row or of their column."""
+    return np.nonzero((values == values.max(1)[:, None]) | (values == values.max(0)[None, :]))
+
+
+def mutual_best(a: DataFrame, b: DataFrame, on: list[str], id: str, metric: str = "cosine", embedding: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """``on``, i, j, value of the pairs that are each other's best; ties go to the smaller id.
+
+    Each pair of blocks sends its rows' and columns' best cells only.
+    """
+    peaks = _cells(_blocks(a, b, on, id, embedding, block), on, metric, _peaks)
+    best = lambda mine, other: peaks.groupBy(*on, mine).agg(F.min(F.struct((-F.col("value")).alias("v"), F.col(other).alias("o"))).alias("best"))
+    rows = best("i", "j").select(*on, "i", F.col("best.o").alias("j"), (-F.col("best.v")).alias("value"))
+    columns = best("j", "i").select(*on, F.col("best.o").alias("i"), "j")
+    return rows.join(columns, [*on, "i", "j"], "left_semi")

@@ -415,7 +415,7 @@ _CELLS = (
 @query(_CELLS + "SELECT label, i, j, round(v, 6) AS value, ri AS row_matches, cj AS col_matches FROM c")
 def anchors(spark, sf_dir):
     a, b = _halves(spark, sf_dir)
-    cells = anchoring.anchor_cells(anchoring.pairwise(a, b, ["label"], "vec_id"), ["label"], THRESHOLD)
+    cells = anchoring.anchor_cells(anchoring.close_pairs(a, b, ["label"], "vec_id", THRESHOLD), ["label"], THRESHOLD)
     return cells.select("label", "i", "j", six("value").alias("value"), "row_matches", "col_matches")
 
 
@@ -437,7 +437,7 @@ def anchor_items_b(spark, sf_dir):
 )
 def mutual_best(spark, sf_dir):
     a, b = _halves(spark, sf_dir)
-    return anchoring.mutual_best(anchoring.pairwise(a, b, ["label"], "vec_id"), ["label"]).withColumn("value", six("value"))
+    return anchoring.mutual_best(a, b, ["label"], "vec_id").withColumn("value", six("value"))
 
 
 def _aligned(spark, sf_dir, method):

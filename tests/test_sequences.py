@@ -89,6 +89,24 @@ def test_anchors(spark):
     pairs = anchors.pairwise(a, b, ["film"], "id")
     assert {(r["i"], r["j"]) for r in anchors.anchor_cells(pairs, ["film"], 0.6).collect()} == {(0, 2), (0, 3), (1, 2)}
     assert {(r["i"], r["j"]) for r in anchors.anchor_cells(pairs, ["film"], 0.6, most=2).collect()} == set()
-    assert {(r["i"], r["j"]) for r in anchors.mutual_best(pairs, ["film"]).collect()} == {(0, 3), (1, 2)}
+    assert {(r["i"], r["j"]) for r in anchors.mutual_best(a, b, ["film"], "id").collect()} == {(0, 3), (1, 2)}
     left, right = anchors.anchors(a, b, ["film"], "id", 0.9)
     assert [r["id"] for r in left.collect()] == [0] and [r["id"] for r in right.collect()] == [3]
+
+
+@pytest.mark.parametrize("metric", vector.METRICS)
+def test_blocked_pairs_equal_all_pairs(spark, metric):
+    rng = np.random.default_rng(4)
+    rows = [(k, i, rng.integers(-2, 3, size=4).tolist()) for k, n in (("x", 40), ("y", 5), (None, 4)) for i in range(n)] + [("x", 99, None), ("z", 1, [1, 0, 0, 0])]
+    table = spark.createDataFrame([(k, i, e and [float(x) for x in e]) for k, i, e in rows], "film string, id int, embedding array<double>")
+    a, b = table.where("id % 2 = 0"), table.where("id % 2 = 1")
+    pairs = {(r["film"], r["i"], r["j"]): r["value"] for r in anchors.pairwise(a, b, ["film"], "id", metric).collect()}
+    for block in (3, 512):
+        found = {(r["film"], r["i"], r["j"]): r["value"] for r in anchors.close_pairs(a, b, ["film"], "id", -1.3, metric, block=block).collect()}
+        assert found == pytest.approx({k: v for k, v in pairs.items() if v > -1.3})
+        best = {(r["film"], r["i"], r["j"]) for r in anchors.mutual_best(a, b, ["film"], "id", metric, block=block).collect()}
+        top = {}
+        for side in (1, 2):
+            for k, v in sorted(pairs.items(), key=lambda p: (-round(p[1], 9), p[0][3 - side])):
+                top.setdefault((side, k[0], k[side]), k)
+        assert best == {k for (side, *_), k in top.items() if side == 1} & {k for (side, *_), k in top.items() if side == 2}
