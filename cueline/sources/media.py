@@ -15,11 +15,13 @@ _PROBE = (
 )
 
 
-def subtitle_streams(probes: DataFrame, json: str = "json") -> DataFrame:
-    """``probes`` with one row for each subtitle stream that the probe's JSON lists."""
-    streams = F.from_json(F.col(json), _PROBE)["streams"]
+def subtitle_streams(probes: DataFrame, json: str = "json", needed: bool = False) -> DataFrame:
+    """``probes`` with one row for each subtitle stream that the probe's JSON lists; without one no row, or an error if they are ``needed``."""
+    streams = F.filter(F.from_json(F.col(json), _PROBE)["streams"], lambda s: s["codec_type"] == "subtitle")
+    if needed:
+        streams = F.when(F.size(streams) > 0, streams).otherwise(F.raise_error(F.lit("no subtitle stream")))
     others = [c for c in probes.columns if c != json]
-    found = probes.select(*others, F.explode(F.filter(streams, lambda s: s["codec_type"] == "subtitle")).alias("s"))
+    found = probes.select(*others, F.explode(streams).alias("s"))
     return found.select(
         *others, "s.index", "s.codec_name", "s.codec_long_name", F.col("s.start_time").cast("double").alias("start_time"),
         F.col("s.duration").cast("double").alias("duration"), F.col("s.tags")["language"].alias("language"), F.col("s.tags")["title"].alias("title"),
