@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueline.llm import bagminhash, chat, mixing, packing, ppm, sketch, tokencounts, tokenfiles, toxicity, vectors
+from cueline.llm import bagminhash, bytebpe, chat, mixing, packing, phrases, ppm, repair, sketch, tokencounts, tokenfiles, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,18 @@ def toxic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", held)
 
 
+def rank_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytebpe.token_digests(_table(spark, sf_dir, "documents"))
+
+
+def collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(spark, _table(spark, sf_dir, "documents"))
+
+
+def repaired_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_damaged(spark, _table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
@@ -78,6 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_scaled_sketch": document_fingerprints,
     "op9_bagminhash": near_texts,
     "op10_toxicity": toxic_scores,
+    "op11_byte_bpe": rank_encoded,
+    "op12_collocations": collocations,
+    "op13_repair": repaired_chats,
     "pipeline": pipeline,
 }
 
@@ -93,5 +108,23 @@ _LINKED = (
     "FROM v LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)"
 )
 
+_PHRASES = (
+    "WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents), w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \\t]+'), lambda x: x <> '') AS w FROM p), "
+    "n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang), "
+    "g AS (SELECT lang, m, unnest(list_transform(generate_series(1, len(w) - m + 1), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3]) AS m) WHERE len(w) >= m), "
+    "f AS (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 10), "
+    "c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE m >= 2), "
+    "k AS (SELECT c.lang, c.phrase, c.a, k, array_to_string(w[:k], ' ') AS lp, array_to_string(w[k + 1:], ' ') AS rp FROM c, (SELECT unnest([1, 2]) AS k) WHERE k < c.m), "
+    "s AS (SELECT k.lang, k.phrase, k.a, l.a AS l, r.a AS r, (1000000::HUGEINT * k.a * k.a // (l.a::HUGEINT * r.a))::BIGINT AS score, "
+    "row_number() OVER (PARTITION BY k.lang, k.phrase ORDER BY 1000000::HUGEINT * k.a * k.a // (l.a::HUGEINT * r.a), k.k) AS o "
+    "FROM k JOIN f l ON l.lang = k.lang AND l.phrase = k.lp JOIN f r ON r.lang = k.lang AND r.phrase = k.rp), "
+    "d AS (SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a AS more FROM c WHERE m = 3), "
+    "b AS (SELECT lang, phrase, max(more) AS more FROM d GROUP BY ALL), "
+    "o AS (SELECT s.lang, s.phrase, s.a, s.l, s.r, s.score, row_number() OVER (PARTITION BY s.lang ORDER BY s.score DESC, s.a DESC, s.phrase) AS rank "
+    "FROM s LEFT JOIN b ON b.lang = s.lang AND b.phrase = s.phrase WHERE s.o = 1 AND (b.more IS NULL OR 100 * b.more < 50 * s.a)) "
+    "SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) WHERE rank <= 2000"
+)
+
 #: Operators whose whole result DuckDB can state (op6: of distinct vec_ids); the others are tested against brute force.
-ORACLES: dict[str, str] = {"op6_near_vectors": _LINKED}
+ORACLES: dict[str, str] = {"op6_near_vectors": _LINKED, "op12_collocations": _PHRASES}
