@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cueline.llm.scratch import Scratch
-from cueline.llm.tokens import _LONG, PieceEncoder, in_slices, vocabulary
+from cueline.llm.texts import edge_checks, mix, power_tables
+from cueline.llm.tokens import in_slices, vocabulary
 
 # Classes of code points: white space, numbers, letters that can stand in a short form behind an apostrophe, and others.
 SPACE, WHITE, NUMBER, OTHER, APOSTROPHE, STMD, LL, RV, EE, LETTER, END = range(11)
@@ -27,6 +28,8 @@ STATES = 12
 #: Flags of a step: a match begins at this code point, and one begins at the code point before it.
 HERE, BEFORE = 1, 2
 _ROWS = 64
+#: Longer pieces are merged alone and not remembered.
+LONG = 64
 _ENCODED = "doc_id long, ids array<int>, starts array<int>"
 
 
@@ -114,23 +117,97 @@ def class_table() -> np.ndarray:
     return table
 
 
-class RankEncoder(PieceEncoder):
-    """Ids and byte offsets of whole texts. The memo of pieces is that of PieceEncoder: a fixed number of entries."""
+class RankEncoder:
+    """Ids and byte offsets of whole texts, with a memo of pieces.
+
+    A piece is known by a 64-bit hash and, as a check, its ends and length. At most ``remember`` pieces are kept, in arrays
+    of a fixed size each; forgetting only costs time. New pieces are merged together, one merge a round in each.
+    """
 
     def __init__(self, path: str, remember: int = 2_000_000):
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.remember = remember
         self.classes = class_table()
+        self.none = max(self.ranks.values()) + 1
         parts = {rank: part for part, rank in self.ranks.items()}
-        most = max(parts) + 1
-        self.lengths = np.array([len(parts.get(i, b"")) for i in range(most)], np.int64)
+        spelt = [parts.get(i, b"") for i in range(self.none)]
+        self.lengths = np.fromiter(map(len, spelt), np.int64, self.none)
         self.begins = np.cumsum(self.lengths) - self.lengths
-        self.letters = np.frombuffer(b"".join(parts.get(i, b"") for i in range(most)), np.uint8)
+        self.letters = np.frombuffer(b"".join(spelt), np.uint8)
+        self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        find = self.ranks.get
+        pairs = [(x * self.none + y, r) for t, r in self.ranks.items() for i in range(1, len(t)) if (x := find(t[:i])) is not None and (y := find(t[i:])) is not None]
+        keys, ranks = np.array(pairs, np.int64).reshape(-1, 2).T
+        order = np.argsort(keys)
+        self.pairs, self.merges = keys[order], ranks[order]
+        # Tokens that their own bytes don't merge to are looked up whole.
+        made, counts = self._merged(self.letters, self.begins, self.begins + self.lengths)
+        ends = np.cumsum(counts)
+        self.whole = {t for i, t in enumerate(spelt) if t and (counts[i] != 1 or made[ends[i] - 1] != i)}
         self._forget()
 
+    def _forget(self) -> None:
+        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.places, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.pool = np.zeros(0, np.uint32)
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of ids; ``none`` where it has none."""
+        keys = left * self.none + right
+        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == keys, self.merges[at], self.none)
+
+    def _merged(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces in order, number of ids of each): each round merges the leftmost of a piece's pairs of least rank."""
+        sizes = ends - starts
+        upto = np.cumsum(sizes)
+        total = int(upto[-1]) if len(upto) else 0
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        ids = self.single[data[np.repeat(starts - (upto - sizes), sizes) + np.arange(total)]]
+        rank = np.full(total, self.none)
+        same = np.flatnonzero(owner[:-1] == owner[1:])
+        rank[same] = self._rank(ids[same], ids[same + 1])
+        done = [(owner[:0], ids[:0])]
+        while len(ids):
+            first = np.flatnonzero(np.diff(owner, prepend=-1))
+            widths = np.diff(np.append(first, len(ids)))
+            least = np.minimum.reduceat(rank, first)
+            over = np.repeat(least == self.none, widths)
+            if over.any():
+                done.append((owner[over], ids[over]))
+                owner, ids, rank = owner[~over], ids[~over], rank[~over]
+                widths, least = widths[least < self.none], least[least < self.none]
+                if not len(ids):
+                    break
+            at = np.flatnonzero(rank == np.repeat(least, widths))
+            at = at[np.flatnonzero(np.diff(owner[at], prepend=-1))]
+            ids[at] = rank[at]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            owner, ids, rank = owner[keep], ids[keep], rank[keep]
+            at = at - np.arange(len(at))
+            rank[at] = self.none
+            touched = np.union1d(at, at - 1)
+            touched = touched[(touched >= 0) & (touched < len(ids) - 1)]
+            touched = touched[owner[touched] == owner[touched + 1]]
+            rank[touched] = self._rank(ids[touched], ids[touched + 1])
+        owner, ids = (np.concatenate(x) for x in zip(*done))
+        order = np.argsort(owner, kind="stable")
+        return ids[order].astype(np.uint32), np.bincount(owner, minlength=len(sizes))
+
+    def _pieces(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, and the number of each; tokens that don't come of merges are taken whole."""
+        ids, counts = self._merged(data, starts, ends)
+        if not self.whole:
+            return ids, counts
+        own = [bytes(data[a:b]) for a, b in zip(starts, ends)]
+        cuts = np.split(ids, np.cumsum(counts)[:-1])
+        lists = [np.array([self.ranks[x]], np.uint32) if x in self.whole else y for x, y in zip(own, cuts)]
+        return np.concatenate([ids[:0], *lists]), np.array([len(x) for x in lists], np.int64)
+
     def merged(self, piece: bytes) -> list[int]:
-        """Ids of a piece: the adjacent pair of least rank is merged, the leftmost of equals first, until none has a rank."""
+        """Ids of one piece of any length, in time n log n: a heap of its pairs by rank and place."""
         ranks = self.ranks
         if piece in ranks:
             return [ranks[piece]]
@@ -155,8 +232,30 @@ class RankEncoder(PieceEncoder):
             i = ends[i]
         return out
 
-    def _part(self, part: str) -> bytes:
-        return np.array(self.merged(part.encode()) if part else [], "<u4").tobytes()
+    def _find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The memo's entry of each piece of ``data``; new ones are merged and entered."""
+        up, down = power_tables(len(data) + 1)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+        keys = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        keys, first, entry = np.unique(keys, return_index=True, return_inverse=True)
+        a, b = starts[first], ends[first]
+        checks = edge_checks(data, a, b)
+        at = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        if len(self.keys):
+            near = np.minimum(at, len(self.keys) - 1)
+            known = (self.keys[near] == keys) & (self.checks[near] == checks)
+        if not known.all():
+            new = np.flatnonzero(~known)
+            ids, counts = self._pieces(data, a[new], b[new])
+            places = len(self.pool) + np.cumsum(counts) - counts
+            self.pool = np.concatenate((self.pool, ids))
+            where = at[new]
+            self.keys, self.checks = np.insert(self.keys, where, keys[new]), np.insert(self.checks, where, checks[new])
+            self.places, self.counts = np.insert(self.places, where, places), np.insert(self.counts, where, counts)
+            at = at + np.cumsum(~known) - ~known  # entries before it
+        return at[entry]
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """(ids, byte offset of each token in its text's UTF-8) of each text; None counts as empty."""
@@ -178,14 +277,14 @@ class RankEncoder(PieceEncoder):
         own = classes[at] != END
         starts, ends = starts[own], ends[own]
         data = np.frombuffer(raw, np.uint8)
-        long = np.flatnonzero(ends - starts > _LONG)
-        entry = self._find(data, starts, np.where(ends - starts > _LONG, starts, ends))
+        long = np.flatnonzero(ends - starts > LONG)
+        entry = self._find(data, starts, np.where(ends - starts > LONG, starts, ends))
         where, counts, pool = self.places[entry].astype(np.int64), self.counts[entry].astype(np.int64), self.pool
         if len(long):
-            made = [self._part(raw[x:y].decode()) for x, y in zip(starts[long].tolist(), ends[long].tolist())]
-            counts[long] = np.fromiter(map(len, made), np.int64, len(made)) // 4
+            made = [np.array(self.merged(raw[x:y]), np.uint32) for x, y in zip(starts[long].tolist(), ends[long].tolist())]
+            counts[long] = [len(x) for x in made]
             where[long] = len(pool) + np.cumsum(counts[long]) - counts[long]
-            pool = np.concatenate((pool, np.frombuffer(b"".join(made), "<u4")))
+            pool = np.concatenate((pool, *made))
         upto = np.cumsum(counts)
         ids = pool[np.repeat(where - (upto - counts), counts) + np.arange(upto[-1])]
         first = np.append(0, upto)[np.searchsorted(starts, np.append(begins, len(raw) + 1))]

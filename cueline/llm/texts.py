@@ -35,6 +35,16 @@ def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
+def edge_checks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits of the first and last eight bytes of spans, and their length: a check beside a hash of all bytes."""
+    padded = np.concatenate((np.zeros(8, np.uint8), data, np.zeros(8, np.uint8)))
+    wide = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    bits = np.minimum(ends - starts, 8).astype(_U) * _U(8)
+    keep = np.where(bits < 64, ~(~_U(0) << np.minimum(bits, _U(63))), ~_U(0))
+    head, tail = (wide[at].copy().view(order).ravel() & keep for at, order in ((starts + 8, "<u8"), (ends, ">u8")))
+    return mix(head) + mix(tail + _U(0x51)) + (ends - starts).astype(_U)
+
+
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of bytes that are no ASCII white space."""
     space = np.ones(len(data) + 2, np.int8)
