@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cueline.functions import grid, layout, mime, text, timecode, vector
 from cueline.operators import anchors as anchoring
+from cueline.operators import chaining
 from cueline.operators import dtw as warping
 from cueline.operators import models, screenplay, sprites, timeline, utterance
 from cueline.sources import media, subtitles
@@ -440,6 +441,34 @@ def mutual_best(spark, sf_dir):
     return anchoring.mutual_best(a, b, ["label"], "vec_id").withColumn("value", six("value"))
 
 
+#: Chains of the query: similarity in thousandths, of which a skipped position costs GAP and a chain is worth LEAST or more.
+SEED, GAP, LEAST = 0.15, 4.0, 300.0
+_POSITIONED = (
+    f"{_AB}, pa AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY i) - 1 AS i, x FROM a), pb AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY j) - 1 AS j, y FROM b)"
+)
+_CHAINS = (
+    f"WITH RECURSIVE {_POSITIONED}, n AS (SELECT label, i, j, round(1000 * list_cosine_similarity(x, y)) AS w, row_number() OVER (PARTITION BY label ORDER BY i, j) AS k "
+    f"FROM pa JOIN pb USING (label) WHERE list_cosine_similarity(x, y) > {SEED}), "
+    "r AS (SELECT DISTINCT label, 0::BIGINT AS k, NULL::BIGINT AS i, NULL::BIGINT AS j, 0.0::DOUBLE AS w, 0.0::DOUBLE AS s, NULL::BIGINT AS pi, NULL::BIGINT AS pj, "
+    "[]::STRUCT(v DOUBLE, i BIGINT, j BIGINT)[] AS done FROM n UNION ALL "
+    f"SELECT label, k, i, j, w, s, pi, pj, list_append(done, {{'v': s + {GAP} * (i + j), 'i': i, 'j': j}}) FROM (SELECT *, CASE WHEN gain > 0 THEN w + gain ELSE w END AS s, "
+    f"CASE WHEN gain > 0 THEN best.i END AS pi, CASE WHEN gain > 0 THEN best.j END AS pj FROM (SELECT *, best.v - {GAP} * (i + j - 2) AS gain FROM "
+    "(SELECT n.label, n.k, n.i, n.j, n.w, r.done, list_max(list_filter(r.done, lambda e: e.i < n.i AND e.j < n.j)) AS best FROM r JOIN n ON n.label = r.label AND n.k = r.k + 1)))), "
+    "f AS (SELECT label, i, j, w, s, pi, pj FROM r WHERE k > 0), "
+    "up AS (SELECT label, i AS ei, j AS ej, s AS es, i, j, pi, pj FROM f UNION ALL SELECT up.label, ei, ej, es, f.i, f.j, f.pi, f.pj FROM up JOIN f ON f.label = up.label AND f.i = up.pi AND f.j = up.pj), "
+    "o AS (SELECT up.label, ei, ej, es, up.i, up.j, f.w, f.s FROM up JOIN f ON f.label = up.label AND f.i = up.i AND f.j = up.j QUALIFY row_number() OVER (PARTITION BY up.label, up.i, up.j ORDER BY es DESC, ei, ej) = 1), "
+    f"h AS (SELECT label, ei, ej, es - arg_min(s - w, i) AS chain_score FROM o GROUP BY label, ei, ej, es HAVING es - arg_min(s - w, i) >= {LEAST}), "
+    "c AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY chain_score DESC, ei, ej) AS chain FROM h) "
+)
+
+
+@query(_CHAINS + "SELECT label, chain, row_number() OVER (PARTITION BY label, chain ORDER BY i) AS pos, i, j, w AS weight, s AS score, chain_score FROM o JOIN c USING (label, ei, ej)")
+def chain_anchors(spark, sf_dir):
+    a, b = (timeline.with_position(x, ["label"], ["vec_id"]) for x in _halves(spark, sf_dir))
+    seeds = anchoring.close_pairs(a, b, ["label"], "pos", SEED)
+    return chaining.chain_anchors(spark, seeds.withColumn("weight", F.round(F.col("value") * 1000)), ["label"], GAP, LEAST)
+
+
 def _aligned(spark, sf_dir, method):
     a, b = _halves(spark, sf_dir)
     return warping.dtw(a, b, ["label"], "vec_id", "cosine", method)
