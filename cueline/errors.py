@@ -1,5 +1,10 @@
 """Errors that readers and operators raise on the driver; in data they become null columns or raise_error messages."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 
 class CuelineError(Exception):
     """Base of all errors of the library."""
@@ -27,3 +32,8 @@ class ShotError(CuelineError):
 
 class DatasetError(CuelineError):
     """A timestamped table is missing or has another form."""
+
+
+def surely(df: DataFrame, error: Column) -> DataFrame:
+    """``df``, failing with the message ``error`` in the first row where it isn't null, whichever columns are read, and also for a count."""
+    return df.where(F.when(error.isNotNull(), F.raise_error(error).cast("boolean")).otherwise(F.lit(True)))

@@ -1,33 +1,24 @@
-"""Headers and parts of MIME text, read line by line."""
+"""Headers and parts of MIME text, found by searches."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cueline.functions.text import strip_space
 
 
-def text_lines(text: Column) -> Column:
-    """The lines of a text, without their ends."""
-    return F.transform(F.split(text, "\n"), lambda x: F.rtrim(x, F.lit("\r")))
-
-
-def unfolded(lines: Column) -> Column:
-    """Header lines, to each of which the lines that go on with white space are joined."""
-    more = lambda x: F.substring(x, 1, 1).isin(" ", "\t")
-
-    def add(done: Column, line: Column) -> Column:
-        joined = F.concat(F.element_at(done, -1), F.ltrim(line, F.lit(" \t")))
-        return F.when(more(line) & (F.size(done) > 0), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(line)))
-
-    return F.aggregate(lines, F.array().cast("array<string>"), add)
+def unfolded(headers: Column) -> Column:
+    """Headers, to each of which the lines that go on with white space are joined."""
+    return F.regexp_replace(headers, r"\r*\n[ \t]+", "")
 
 
 def header_value(headers: Column, name: str) -> Column:
     """The value of the first header of that name, in any case; null if there is none or it is empty."""
-    own = F.filter(unfolded(text_lines(headers)), lambda x: F.startswith(F.lower(x), F.lit(name.lower() + ":")))
-    return F.nullif(strip_space(F.substring(F.get(own, F.lit(0)), len(name) + 2, 2_147_483_647)), F.lit(""))
+    own = F.regexp_extract(unfolded(headers), rf"(?imd)^{re.escape(name)}:([^\n]*)", 1)
+    return F.nullif(strip_space(own), F.lit(""))
 
 
 def content_type(headers: Column) -> Column:
@@ -37,35 +28,35 @@ def content_type(headers: Column) -> Column:
 
 def boundary(text: Column) -> Column:
     """The quoted boundary parameter; null if there is none."""
-    at = F.instr(F.lower(text), F.lit('boundary="'))
-    value = F.substring_index(F.substring(text, at + 10, F.lit(2_147_483_647)), '"', 1)
-    return F.when(at > 0, F.nullif(strip_space(value), F.lit("")))
+    return F.nullif(strip_space(F.regexp_extract(text, r'(?i)boundary="([^"]*)"', 1)), F.lit(""))
+
+
+def materialised(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once a row: later expressions read it, whatever the optimiser merges."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def parts(text: Column, mark: Column) -> Column:
-    """array<struct<headers, body>> of what stands behind each delimiter line of the boundary ``mark``.
+    """array<array<string>> of what stands behind each delimiter line of the boundary ``mark``: headers and body, or one text without an empty line.
 
-    Headers end at the first empty line. Both are null in a part without one, as behind the closing delimiter.
+    Two linear searches: one for delimiter lines over the text, one for the first empty line of each part. Headers end at it.
     """
-    delimiter = F.concat(F.lit("--"), mark)
-
-    def cut(lines: Column) -> Column:
-        plain = lambda x: F.rtrim(x, F.lit(" \t\r"))
-        is_mark = lambda x: (plain(x) == delimiter) | (plain(x) == F.concat(delimiter, F.lit("--")))
-        at = F.filter(F.transform(lines, lambda x, i: F.when(is_mark(x), i)), lambda i: i.isNotNull())
-        ends = F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(lines)))
-        return F.transform(at, lambda a, k: F.slice(lines, a + 2, F.get(ends, k) - a - 1))
-
-    def split(lines: Column) -> Column:
-        empty = F.array_position(F.transform(lines, lambda x: F.rtrim(x, F.lit("\r"))), "").cast("int")
-        some = empty > 0
-        own = lambda x: F.when(some, F.rtrim(F.array_join(x, "\n"), F.lit("\r")))
-        return F.struct(
-            own(F.slice(lines, F.lit(1), F.greatest(empty - 1, F.lit(0)))).alias("headers"),
-            own(F.slice(lines, empty + 1, F.size(lines))).alias("body"),
-        )
-
-    return F.transform(cut(F.split(text, "\n")), split)
+    # A line of the delimiter alone; every sign of the boundary stands for itself.
+    plain = F.regexp_replace(mark, r"([^A-Za-z0-9])", r"\\$1")
+    delimiter = F.concat(F.lit("(?md)^--"), plain, F.lit(r"(?:--)?[ \t\r]*$"))
+    return F.transform(F.filter(F.split(text, delimiter), lambda _, i: i > 0), lambda p: F.split(F.substring(p, 2, 2_147_483_647), r"(?:^|\n)\r?\n", 2))
+
+
+def part_headers(part: Column) -> Column:
+    """The headers of a part; null if it has none."""
+    return F.when(F.size(part) == 2, F.rtrim(F.get(part, F.lit(0)), F.lit("\r")))
+
+
+def part_body(part: Column) -> Column:
+    """The body of a part, without the line end before the next delimiter; null if it has no headers."""
+    body = F.get(part, F.lit(1))
+    cut = F.when(F.endswith(body, F.lit("\n")), F.substring(body, F.lit(1), F.length(body) - 1)).otherwise(body)
+    return F.when(F.size(part) == 2, F.rtrim(cut, F.lit("\r")))
 
 
 def sheet_filename(idx: Column, kind: Column) -> Column:

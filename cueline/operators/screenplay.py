@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cueline.errors import surely
 from cueline.functions.text import MARKERS, clean_parenthetical, rstrip_space, split_character, split_sentences, strip_space
 from cueline.schema import LABELS
 
@@ -28,17 +29,16 @@ def parse_lines(raw: DataFrame, on: str = "filepath", line: str = "line_idx", te
     labels = F.array_distinct(F.when(F.size(kept) > 0, kept).otherwise(labels))
     known = F.array(*map(F.lit, LABELS))
     where = F.concat_ws(":", F.col(on), F.col(line).cast("string"))
-    bad = lambda what: F.raise_error(F.concat(where, F.lit(f": {what}")))
-    content = F.when(F.size(cut) < 2, bad("no bar between labels and content").cast("string")).otherwise(cut[1])
-    own = raw.select(on, F.col(line).alias("line_idx"), labels.alias("labels"), content.alias("content"))
-    checked = F.when(F.size(F.array_except("labels", known)) > 0, bad("unknown label").cast("array<string>")).otherwise(F.col("labels"))
+    bad = F.when(F.size(cut) < 2, F.lit("no bar between labels and content")).when(F.size(F.array_except(labels, known)) > 0, F.lit("unknown label"))
+    raw = surely(raw, F.when(bad.isNotNull(), F.concat(where, F.lit(": "), bad)))
+    own = raw.select(on, F.col(line).alias("line_idx"), labels.alias("labels"), F.get(cut, F.lit(1)).alias("content"))
     first = F.filter(F.array(*map(F.lit, PRIORITY)), lambda p: F.array_contains("labels", p))
     trimmed = rstrip_space(F.col("content"))
     plain = strip_space(F.regexp_replace(trimmed, r"\*+$", ""))
-    own = own.withColumn("labels", checked).withColumn("label", F.element_at(first, 1))
+    own = own.withColumn("label", F.element_at(first, 1))
     own = own.withColumn("text", plain).withColumn("starred", F.endswith(trimmed, F.lit("*")))
     empty = (F.col("label") != "O") & (F.col("text") == "")
-    return own.withColumn("text", F.when(empty, F.raise_error(F.concat_ws(":", F.col(on), F.col("line_idx").cast("string"), F.lit(" no content"))).cast("string")).otherwise(F.col("text")))
+    return surely(own, F.when(empty, F.concat_ws(":", F.col(on), F.col("line_idx").cast("string"), F.lit(" no content"))))
 
 
 def metadata_lines(lines: DataFrame, on: str = "filepath") -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cueline.errors import ShotError, SpriteError
+from cueline.errors import ShotError, SpriteError, surely
 from cueline.functions.grid import cell_box, grid_cells, last_grid, resolve_shape, sprites_in
 from cueline.schema import SPRITE
 
@@ -105,8 +105,8 @@ def sheet_frames(sheets: DataFrame, rows: int, cols: int, fetch: Callable[[str],
 def whole_frames(frames: DataFrame) -> DataFrame:
     """``frames``, with an error for one that hasn't as many bytes as its shape needs."""
     needed = F.col("height") * F.col("width") * F.col("channels")
-    short = F.raise_error(F.concat(F.lit("a frame lacks pixels at timestamp "), F.col("timestamp").cast("string"))).cast("binary")
-    return frames.withColumn("frame", F.when(F.length("frame") == needed, F.col("frame")).otherwise(short))
+    short = F.when(F.length("frame").isNull() | (F.length("frame") != needed), F.concat(F.lit("a frame lacks pixels at timestamp "), F.col("timestamp").cast("string")))
+    return surely(frames, short)
 
 
 def decode_frames(plan: DataFrame, decode: Callable[[pd.DataFrame], Iterator[tuple]], columns: str = SPRITE) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueline.errors import DatasetError, VideoError
-from cueline.functions.mime import boundary, content_type, header_value, parts
+from cueline.errors import DatasetError, VideoError, surely
+from cueline.functions.mime import boundary, content_type, header_value, materialised, part_body, part_headers, parts
 from cueline.functions.timecode import timecode_seconds
 
 _PROBE = (
@@ -46,7 +46,7 @@ def video_metadata(probes: DataFrame, json: str = "json") -> DataFrame:
     rate = F.split("v.r_frame_rate", "/")
     fps = rate[0].cast("double") / F.coalesce(F.get(rate, F.lit(1)).cast("double"), F.lit(1.0))
     duration = F.coalesce(F.col("v.duration").cast("double"), F.col("p.format.duration").cast("double"))
-    fps = F.when(F.col("v").isNull(), F.raise_error(F.lit("no video stream")).cast("double")).otherwise(fps)
+    own = surely(own, F.when(F.col("v").isNull(), F.lit("no video stream")))
     own = own.withColumn("fps", fps).withColumn("duration", duration)
     frames = F.coalesce(F.col("v.nb_frames").try_cast("long"), F.bround(F.col("duration") * F.col("fps")).cast("long"))
     return own.select(*[c for c in own.columns if c not in ("p", "v")], frames.alias("n_frames"), "v.height", "v.width")
@@ -54,30 +54,37 @@ def video_metadata(probes: DataFrame, json: str = "json") -> DataFrame:
 
 def storyboard_captions(pages: DataFrame, path: str = "path", html: str = "html") -> DataFrame:
     """filepath, idx, start, end, cid of the captions of storyboard pages: each names a slide and its times, and its image follows at once."""
-    chunks = F.split(F.col(html), "<figcaption>")
-    own = pages.select(F.col(path).alias("filepath"), F.explode(F.slice(chunks, F.lit(2), F.size(chunks))).alias("chunk"))
-    own = own.withColumn("said", F.substring_index("chunk", "</figcaption>", 1))
-    image = F.regexp_extract(F.substring("chunk", F.length("said") + 14, F.length("chunk")), r"^<img[^>]*cid:([^\">]+)", 1)
-    times = F.regexp_extract_all("said", F.lit(r"[\d:]+,\d+"), 0)
-    rows = own.select("filepath", F.regexp_extract("said", r"#(\d+)", 1).alias("idx"), times.alias("times"), image.alias("cid"))
+    return _captions(pages.select(F.col(path).alias("filepath"), F.col(html).alias("_page")), ["filepath"])
+
+
+def _captions(pages: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep``, idx, start, end, cid of the captions in ``_page``."""
+    chunks = F.split(F.col("_page"), "<figcaption>")
+    own = pages.select(*keep, F.explode(F.filter(chunks, lambda _, i: i > 0)).alias("_chunk"))
+    own = materialised(own, "_said", F.substring_index("_chunk", "</figcaption>", 1))
+    image = F.regexp_extract(F.substring("_chunk", F.length("_said") + 14, F.length("_chunk")), r"^<img[^>]*cid:([^\">]+)", 1)
+    times = F.regexp_extract_all("_said", F.lit(r"[\d:]+,\d+"), 0)
+    rows = own.select(*keep, F.regexp_extract("_said", r"#(\d+)", 1).alias("idx"), times.alias("times"), image.alias("cid"))
     rows = rows.where("idx != '' and size(times) >= 2 and cid != ''")
-    return rows.select("filepath", F.col("idx").cast("int").alias("idx"), timecode_seconds(F.col("times")[0]).alias("start"), timecode_seconds(F.col("times")[1]).alias("end"), "cid")
+    return rows.select(*keep, F.col("idx").cast("int").alias("idx"), timecode_seconds(F.col("times")[0]).alias("start"), timecode_seconds(F.col("times")[1]).alias("end"), "cid")
 
 
 def parse_storyboards(files: DataFrame, rows: int = 3, cols: int = 3, path: str = "path", content: str = "content") -> DataFrame:
     """filepath, idx, start, end, cid, rows, cols, location, type of the sheets of MHTML ``files`` (path, content as text).
 
-    The first part has the captions, later ones a sheet's headers each. A sheet without headers has nulls.
+    The first part has the captions, later ones a sheet's headers each. A sheet without headers has nulls. A file is one row all along: it is
+    scanned once and nothing is shuffled; each text is cut once, and images are dropped before anything is read from headers.
     """
-    cut = files.select(F.col(path).alias("filepath"), F.posexplode(parts(F.col(content), boundary(F.col(content)))).alias("n", "s")).where("s.headers is not null")
-    captions = storyboard_captions(cut.where("n = 0").select("filepath", F.col("s.body").alias("html")), "filepath")
-    heads = cut.where("n > 0").select(
-        "filepath", F.btrim(header_value(F.col("s.headers"), "Content-ID"), F.lit("<>")).alias("cid"),
-        header_value(F.col("s.headers"), "Content-Location").alias("location"), content_type(F.col("s.headers")).alias("type"),
-    )
-    return captions.join(heads, ["filepath", "cid"], "left").select(
-        "filepath", "idx", "start", "end", "cid", F.lit(rows).alias("rows"), F.lit(cols).alias("cols"), "location", "type"
+    cut = materialised(files.select(F.col(path).alias("filepath"), content), "_parts", parts(F.col(content), boundary(F.col(content)))).drop(content)
+    own = cut.where("size(_parts) > 0").select("filepath", part_body(F.get("_parts", F.lit(0))).alias("_page"), F.transform(F.filter("_parts", lambda _, i: i > 0), part_headers).alias("_heads"))
+    own = materialised(own, "_text", F.filter("_heads", lambda h: h.isNotNull()))
+    sheet = lambda h: F.struct(
+        F.btrim(header_value(h, "Content-ID"), F.lit("<>")).alias("cid"), header_value(h, "Content-Location").alias("location"), content_type(h).alias("type")
     )
+    own = materialised(own.select("filepath", "_page", "_text"), "_sheets", F.transform("_text", sheet)).drop("_text")
+    captions = _captions(own, ["filepath", "_sheets"])
+    mine = captions.select("filepath", "idx", "start", "end", "cid", F.explode_outer(F.filter("_sheets", lambda h: h["cid"] == F.col("cid"))).alias("_sheet"))
+    return mine.select("filepath", "idx", "start", "end", "cid", F.lit(rows).alias("rows"), F.lit(cols).alias("cols"), "_sheet.location", "_sheet.type")
 
 
 def read_storyboards(spark: SparkSession, paths, rows: int = 3, cols: int = 3) -> DataFrame:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cueline.errors import SubtitleError
+from cueline.errors import SubtitleError, surely
 from cueline.functions.text import clean_ass_text, clean_srt_text
 from cueline.functions.timecode import timecode_seconds
 from cueline.sources.encoding import decode
@@ -41,7 +41,7 @@ def srt_cues(path: str, text: str):
     idx = at = times = None
     content: list[str] = []
     row = lambda error=None: (idx, path, at, *(times or (None,) * 6)[:2], " ".join(content), *[times[i] for i in (2, 4, 3, 5)], error) if times else (None, path, at, None, None, None, None, None, None, None, error)
-    for n, line in enumerate(text.splitlines(), 1):
+    for n, line in enumerate(re.split(r"\r\n|\r|\n", text), 1):
         line = line.strip()
         if not line and not (times and content):
             continue
@@ -81,7 +81,7 @@ def _strict(cues: DataFrame, mode: str) -> DataFrame:
         return cues
     if mode != "FAILFAST":
         raise SubtitleError("mode must be FAILFAST or PERMISSIVE")
-    return cues.withColumn("idx", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("long")).otherwise(F.col("idx"))).drop("error")
+    return surely(cues, F.col("error")).drop("error")
 
 
 def parse_srt(files: DataFrame, path: str = "path", content: str = "content", remove_html: bool = True, mode: str = "FAILFAST") -> DataFrame:

@@ -100,3 +100,10 @@ def test_two_columns(spark):
     table = spark.createDataFrame(rows, "k string, n int, t string")
     found = [(r["left"], r["right"]) for r in split_simultaneous(table, "k", "n", "t").orderBy("k", "n").collect()]
     assert found == [("alone", ""), ("left here", "right one"), ("", "still right"), ("left", ""), ("a   b", "c"), ("", ""), ("first", "")]
+
+
+@pytest.mark.parametrize("raw", ["Q|x", "no bar", "C|  "])
+def test_a_bad_line_fails_a_count(spark, raw):
+    lines = spark.createDataFrame([("f", 1, "N|fine"), ("f", 2, raw)], "filepath string, line_idx int, raw string")
+    with pytest.raises(Exception, match="f:2"):
+        parse_lines(lines).count()

@@ -111,3 +111,18 @@ def test_utterances(spark):
         ("- a - b - c", 10.0, 11.0, [50], [5.0]),
         ("tail", 12.0, 13.0, [60], [6.0]),
     ]
+
+
+@pytest.mark.parametrize("bad", ["x\n00:01 --> 00:02\nno index\n", "1\nbad --> times\ntext\n"])
+def test_a_bad_cue_fails_whatever_is_read(spark, bad):
+    files = spark.createDataFrame([("f", "1\n00:01,000 --> 00:02,000\nfine\n\n" + bad)], "path string, content string")
+    for read in (lambda d: d.count(), lambda d: d.select("content").collect(), lambda d: d.select("x1").collect()):
+        with pytest.raises(Exception, match="f:"):
+            read(parse_srt(files))
+    assert parse_srt(files, mode="PERMISSIVE").where("error is not null").count() == 1
+
+
+def test_only_line_ends_end_lines(spark):
+    text = "1\r00:01,000 --> 00:02,000\ra\x0c\x0b\x85 b\r\n\r\n2\n00:03,000 --> 00:04,000\nc"
+    found = parse_srt(spark.createDataFrame([("f", text)], "path string, content string")).orderBy("idx").collect()
+    assert [r["idx"] for r in found] == [1, 2] and found[0]["content"].split() == ["a", "b"] and found[1]["content"] == "c"

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cueline.errors import DatasetError, ShotError, VideoError
-from cueline.functions import grid, text, timecode
+from cueline.functions import grid, mime, text, timecode
 from cueline.operators import models, sprites
 from cueline.operators.timeline import Timeline
 from cueline.plans.extract import main
@@ -141,3 +141,42 @@ def test_command_line_and_stream(spark, tmp_path):
     query = stream_utterances(spark, f"{tmp_path}/cues.parquet", f"{tmp_path}/out", f"{tmp_path}/state")
     query.awaitTermination(120)
     assert [r["content"] for r in spark.read.parquet(f"{tmp_path}/out").collect()] == ["Half a line."]
+
+
+def storyboard(sheets, size):
+    page = "".join(f'<figcaption>#{k}: 00:00:0{k % 10},000 - 00:00:0{k % 10},500</figcaption><img src="cid:c{k}">' for k in range(1, sheets + 1))
+    parts = [f"--=b.+\r\nContent-Type: text/html\r\n\r\n{page}"]
+    parts += [f"--=b.+\r\nContent-ID: <c{k}>\r\nContent-Type: image/png\r\nContent-Location: http://x/{k}\r\n\r\n" + ("QUJD" * 18 + "\r\n") * (size // sheets // 74) for k in range(1, sheets + 1)]
+    return 'Content-Type: multipart/related;\r\n boundary="=b.+"\r\n\r\n' + "\r\n".join([*parts, "--=b.+--\r\n"])
+
+
+def test_storyboards_take_time_in_proportion(spark):
+    import time
+
+    def took(size):
+        files = spark.createDataFrame([("f", storyboard(40, size))], "path string, content string").repartition(1).cache()
+        files.count()
+        began = time.time()
+        rows = media.parse_storyboards(files).collect()
+        assert len(rows) == 40 and {(r["cid"], r["location"], r["type"]) for r in rows} == {(f"c{k}", f"http://x/{k}", "image/png") for k in range(1, 41)}
+        return time.time() - began
+
+    took(100_000)
+    small, large = took(500_000), took(5_000_000)
+    assert large < 3 and large < 20 * small + 1
+
+
+def test_part_bodies_and_bare_parts(spark):
+    text = 'x boundary="b"\n--b\nA: 1\n\nbody\r\nmore\r\n--b \t\r\n\r\nno headers\n--b\nnone\n--bb\n--b--\nend'
+    frame = spark.createDataFrame([(text,)], "t string").select(F.explode(mime.parts(F.col("t"), F.lit("b"))).alias("p"))
+    found = [tuple(r) for r in frame.select(mime.part_headers(F.col("p")), mime.part_body(F.col("p"))).collect()]
+    assert found == [("A: 1", "body\r\nmore"), ("", "no headers"), (None, None), (None, None)]
+
+
+def test_errors_surface_in_counts(spark):
+    short = spark.createDataFrame([(1.0, 2, 2, 3, b"abc")], "timestamp double, height int, width int, channels int, frame binary")
+    with pytest.raises(Exception, match="lacks pixels"):
+        sprites.whole_frames(short).count()
+    probe = spark.createDataFrame([('{"streams":[],"format":{"duration":"1"}}',)], "json string")
+    with pytest.raises(Exception, match="no video stream"):
+        media.video_metadata(probe).count()
