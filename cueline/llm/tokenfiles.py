@@ -58,6 +58,7 @@ def write_tokens(
     writer = ordered.mapInArrow(encode, "doc_id long, n_tokens long, ids array<int>").write
     options = {
         "compression": "zstd",
+        "maxRecordsPerFile": 0,  # a task writes one file, which its number names
         "parquet.block.size": row_group_bytes,
         "parquet.page.size": page_bytes,
         "parquet.page.row.count.limit": page_rows,
