@@ -14,7 +14,7 @@ from cueline.llm.scratch import Scratch
 
 #: The bound of the sample that is learnt from: labelled texts of each class, bytes of a text, and bytes of a class, at most.
 EXAMPLES, TEXT_BYTES, CLASS_BYTES = 4000, 1 << 20, 64 << 20
-#: Letters of a term: words are cut behind them, so that the forms of a word meet.
+#: Letters of a term: a word is cut into terms of so many from its start to its end, so that the forms of a word meet and nothing is left out.
 LETTERS = 4
 NEIGHBOURS, SHARPNESS = 25, 4.0
 #: Rows of a block, and how many of the most frequent terms have their postings as a full array.
@@ -23,12 +23,12 @@ CUT = 0.3
 #: Texts that are scored together.
 SLICE = 200
 
-_WORD = re.compile(r"[^\W_]+")
+_TERM = re.compile(rf"[^\W_]{{1,{LETTERS}}}")
 
 
 def bag(text: str | None) -> Counter:
     """How often a text has each term; empty for null."""
-    return Counter([w[:LETTERS] for w in _WORD.findall(text.lower())]) if text else Counter()
+    return Counter(_TERM.findall(text.lower())) if text else Counter()
 
 
 class Rows:
@@ -301,7 +301,7 @@ def fit(spark: SparkSession, scratch: Scratch, docs: DataFrame, labelled: DataFr
 def score_toxicity(spark: SparkSession, docs: DataFrame, labelled: DataFrame, cut: float = CUT, examples: int = EXAMPLES, keep: tuple = ()) -> DataFrame:
     """doc_id, score, predicted, evidence for each row of ``docs`` (doc_id, text), learning from ``labelled`` (doc_id, toxic).
 
-    A whole text is the vector of its terms' counts times their IDF among all documents; a term is a word's first ``LETTERS`` letters. It is compared with the
+    A whole text is the vector of its terms' counts times their IDF among all documents; each word is cut into terms of ``LETTERS`` letters. It is compared with the
     labelled examples by the cosine; the nearest vote, weighted by a power of the cosine. Left-out votes of the examples themselves,
     each weighted by how many labelled documents it stands for, calibrate the score. Only the text counts: equal texts have equal
     scores. Texts without any known term, empty and null ones too, get the share of label 1 among such examples. evidence lists the

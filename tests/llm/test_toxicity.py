@@ -36,7 +36,7 @@ def test_block_max_search_is_exact(full):
 
 def by_hand(rows, labels, examples=4000):
     """doc_id -> score from the definition: every text against every example."""
-    bag = lambda t: Counter(w[:4] for w in re.findall(r"[^\W_]+", (t or "").lower()))
+    bag = lambda t: Counter(w[k : k + 4] for w in re.findall(r"[^\W_]+", (t or "").lower()) for k in range(0, len(w), 4))
     texts = dict(rows)
     label = {}
     for i, y in labels:
@@ -130,3 +130,9 @@ def test_a_very_long_text_is_scored_whole(spark):
     long = " ".join(f"w{i % 80}x" for i in range(200_000)) + " blastfoo" * 40_000
     found = toxicity.score_toxicity(spark, docs_of(spark, [*rows, (7000, long)]), spark.createDataFrame(labels, "doc_id long, toxic int"))
     assert found.where("doc_id = 7000").first()["predicted"] == 1
+
+
+def test_terms_cover_words():
+    """What stands behind the fourth letter of a word counts, to its end."""
+    assert toxicity.bag("Abcdefghij, ab_cdé x") == Counter(["abcd", "efgh", "ij", "ab", "cdé", "x"])
+    assert toxicity.bag("wordwordA") != toxicity.bag("wordwordB")
