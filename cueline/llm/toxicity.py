@@ -18,7 +18,7 @@ EXAMPLES, TEXT_BYTES, CLASS_BYTES = 4000, 1 << 20, 64 << 20
 LETTERS = 4
 NEIGHBOURS, SHARPNESS = 25, 4.0
 #: Rows of a block, and how many of the most frequent terms have their postings as a full array.
-BLOCK, FULL = 256, 256
+BLOCK, FULL = 256, 640
 CUT = 0.3
 #: Texts that are scored together.
 SLICE = 200
