@@ -15,7 +15,7 @@ from cueline.functions import grid, layout, mime, text, timecode, vector
 from cueline.operators import anchors as anchoring
 from cueline.operators import chaining
 from cueline.operators import dtw as warping
-from cueline.operators import models, screenplay, sprites, timeline, utterance
+from cueline.operators import models, scenes, screenplay, sprites, timeline, utterance
 from cueline.sources import media, subtitles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -469,6 +469,30 @@ def chain_anchors(spark, sf_dir):
     return chaining.chain_anchors(spark, seeds.withColumn("weight", F.round(F.col("value") * 1000)), ["label"], GAP, LEAST)
 
 
+#: Lines of a scene and of a window of the query; costs in thousandths.
+SCENE, JUMP, PENALTY, SKIP = 5, 2, 15.0, 820.0
+_PLACED = (
+    f"WITH RECURSIVE {_POSITIONED}, c AS (SELECT label, scene, list(cost ORDER BY w) AS cost FROM (SELECT label, scene, w, round(1000 * avg(1 - m)) AS cost FROM "
+    f"(SELECT label, i // {SCENE} AS scene, i, j // {SCENE} AS w, max(list_cosine_similarity(x, y)) AS m FROM pa JOIN pb USING (label) GROUP BY ALL) GROUP BY ALL) GROUP BY ALL), "
+    "r AS (SELECT label, -1::BIGINT AS scene, list_transform(generate_series(1, len(cost) + 1), lambda k: {'v': CASE WHEN k = 1 THEN 0.0::DOUBLE ELSE 'infinity'::DOUBLE END, 'path': []::BIGINT[]}) AS st "
+    "FROM c WHERE scene = 0 UNION ALL SELECT label, scene, list_transform(picked, lambda p, k: {'v': p.v, 'path': list_append(st[p.u].path, CASE WHEN p.skipped = 0 THEN k - 2 END)}) FROM "
+    "(SELECT c.label, c.scene, r.st, list_transform(generate_series(1, len(r.st)), lambda k: list_min(list_prepend("
+    f"{{'v': r.st[k].v + {SKIP}, 'skipped': 1, 'u': k}}, list_transform(list_filter(generate_series(1, len(r.st)), lambda u: k > 1 AND u <> k AND abs(k - u - 1) <= {JUMP}), "
+    f"lambda u: {{'v': r.st[u].v + {PENALTY} * abs(k - u - 1) + c.cost[k - 1], 'skipped': 0, 'u': u}})))) AS picked FROM r JOIN c ON c.label = r.label AND c.scene = r.scene + 1)), "
+    "e AS (SELECT label, list_transform(st, lambda x: x.v) AS vs, st FROM r QUALIFY scene = max(scene) OVER (PARTITION BY label)), "
+    "t AS (SELECT label, list_min(vs) AS total, st[list_position(vs, list_min(vs))].path AS path FROM e), "
+    "p AS (SELECT label, total, unnest(path) AS w, unnest(generate_series(0, len(path) - 1)) AS scene FROM t) "
+)
+
+
+@query(_PLACED + "SELECT p.label, p.scene, p.w AS window_no, c.cost[p.w + 1] AS cost, total FROM p JOIN c ON c.label = p.label AND c.scene = p.scene")
+def scene_order(spark, sf_dir):
+    a, b = (timeline.with_position(x, ["label"], ["vec_id"]) for x in _halves(spark, sf_dir))
+    cells = anchoring.pairwise(a, b, ["label"], "pos").withColumn("scene", F.floor(F.col("i") / SCENE)).withColumn("window", F.floor(F.col("j") / SCENE))
+    costs = scenes.scene_costs(cells, ["label"]).withColumn("cost", F.round(F.col("cost") * 1000))
+    return scenes.align_scenes(costs, ["label"], JUMP, PENALTY, SKIP).withColumnRenamed("window", "window_no")
+
+
 def _aligned(spark, sf_dir, method):
     a, b = _halves(spark, sf_dir)
     return warping.dtw(a, b, ["label"], "vec_id", "cosine", method)
