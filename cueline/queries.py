@@ -15,7 +15,7 @@ from cueline.functions import grid, layout, mime, text, timecode, vector
 from cueline.operators import anchors as anchoring
 from cueline.operators import chaining
 from cueline.operators import dtw as warping
-from cueline.operators import models, scenes, screenplay, sprites, timeline, utterance
+from cueline.operators import fuzzy, models, scenes, screenplay, sprites, timeline, utterance
 from cueline.sources import media, subtitles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -493,6 +493,30 @@ def scene_order(spark, sf_dir):
     return scenes.align_scenes(costs, ["label"], JUMP, PENALTY, SKIP).withColumnRenamed("window", "window_no")
 
 
+#: Overlap of words from which two lines of a conversation are a pair.
+OVERLAP = 0.2
+_SAID = (
+    "SELECT conv_id, role, turn * 100000 + k AS id, s AS text FROM (SELECT conv_id, role, turn, unnest(ls) AS s, unnest(generate_series(0, len(ls) - 1)) AS k "
+    "FROM (SELECT conv_id, role, turn, string_split(regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g'), '.') AS ls FROM conversations))"
+)
+_WORDED = "SELECT conv_id, min(id) AS id, count(*) AS n, text, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS w FROM said WHERE role "
+
+
+@query(
+    f"WITH said AS ({_SAID}), a AS ({_WORDED} = 'user' GROUP BY conv_id, text), b AS ({_WORDED} <> 'user' GROUP BY conv_id, text), "
+    "p AS (SELECT a.conv_id, a.id AS i, b.id AS j, a.n AS n_i, b.n AS n_j, len(list_intersect(a.w, b.w)) AS s, len(a.w) + len(b.w) AS t, a.text AS x, b.text AS y FROM a JOIN b USING (conv_id) WHERE len(a.w) > 0 AND len(b.w) > 0) "
+    "SELECT conv_id, i, j, n_i, n_j, round(s / (t - s), 6) AS jaccard, round(1 - levenshtein(x, y) / greatest(length(x), length(y)), 6) AS ratio, "
+    f"round(greatest(s / (t - s), 1 - levenshtein(x, y) / greatest(length(x), length(y))), 6) AS score FROM p WHERE s >= {OVERLAP} * (t - s)"
+)
+def fuzzy_pairs(spark, sf_dir):
+    # DuckDB's distance counts bytes, so letters beyond ASCII are one sign here.
+    plain = F.regexp_replace("text", r"[^\x00-\x7F]", "x")
+    said = table(spark, sf_dir, "conversations").select("conv_id", "role", "turn", F.posexplode(F.split(plain, r"\.")).alias("k", "text"))
+    said = said.withColumn("id", F.col("turn") * 100_000 + F.col("k"))
+    found = fuzzy.fuzzy_pairs(said.where("role = 'user'"), said.where("role != 'user'"), ["conv_id"], "id", "text", OVERLAP)
+    return found.select("conv_id", "i", "j", "n_i", "n_j", *[six(c).alias(c) for c in ("jaccard", "ratio", "score")])
+
+
 def _aligned(spark, sf_dir, method):
     a, b = _halves(spark, sf_dir)
     return warping.dtw(a, b, ["label"], "vec_id", "cosine", method)
