@@ -45,6 +45,17 @@ def test_token_files_round_trip(spark, encoding):
     assert tokenfiles.token_digests(spark, docs_of(spark, [])).count() == 0
 
 
+def test_token_files_stand_session_limits(spark):
+    """A limit of rows a file doesn't split a task's file, whose number gives its place."""
+    docs = docs_of(spark, [(i, f"text number {i} " * (i % 5)) for i in range(40)])
+    expected = sorted(map(tuple, tokenfiles.token_digests(spark, docs).collect()))
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 3)
+    try:
+        assert sorted(map(tuple, tokenfiles.token_digests(spark, docs).collect())) == expected
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+
+
 def test_token_files_are_read_selectively(spark):
     scratch = Scratch(spark, "test")
     path = scratch.path("tokens")
