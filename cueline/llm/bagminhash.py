@@ -19,6 +19,8 @@ THRESHOLD, BANDS, BAND_SIZE = 0.8, 40, 5
 LARGE = 40
 #: Bytes of text in a block of such a bucket, about and beyond one text.
 MEETING_BYTES = 32 << 20
+#: Companions of a hub that are compared with one copy of its text, about.
+SPREAD = 1000
 
 
 def signatures(hashes: np.ndarray, counts: np.ndarray, begins: np.ndarray, size: int) -> np.ndarray:
@@ -132,8 +134,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, words: int)
                 yield pa.RecordBatch.from_arrays(out, names=["a", "b", "similarity"])
                 at += len(blobs)
 
-    other = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    both = other.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    # A hub's companions are dealt out by hash to parts of about SPREAD, each with its own copy of the hub's text.
+    hot = pairs.groupBy("a").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("parts")).where("parts > 1")
+    dealt = pairs.join(hot, "a", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+    centres = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).join(hot, "a", "left")
+    centres = centres.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    other = dealt.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    both = other.join(centres, ["a", "part"])
     checked = both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
     return checked.withColumn("linked", F.col("similarity") >= threshold)
 

@@ -70,6 +70,23 @@ def test_large_buckets_without_an_original(spark, monkeypatch):
     assert sorted(map(tuple, found), key=str) == expected(rows)
 
 
+def test_a_hub_dealt_to_many_parts(spark, monkeypatch):
+    import cueline.llm.bagminhash as own
+
+    rng = random.Random(11)
+    texts = family(rng, 120, 80, 5) + family(rng, 70, 3, 2)
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = spark.createDataFrame([(0, b) for b in range(1, 81)] + [(81, 82), (81, 83)], "a long, b long")
+    nodes = spark.createDataFrame([(i, t) for i, t in rows], "node long, text string")
+    found = []
+    for spread in (1000, 3):
+        monkeypatch.setattr(own, "SPREAD", spread)
+        found.append(sorted(map(tuple, own._verified(pairs, nodes, 0.8, 5).collect())))
+        assert sorted(map(tuple, near_duplicates(spark, docs).collect()), key=str) == expected(rows)
+    assert found[0] == found[1] and len(found[0]) == 82
+
+
 def test_many_pairs_as_matrices():
     rng = random.Random(9)
     texts = [x * rng.choice([1, 2]) for x in family(rng, 40, 50, 12)]
