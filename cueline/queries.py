@@ -6,6 +6,7 @@ markup, parts are videos and frames, and embeddings, by label, are pairs of sequ
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,7 @@ from cueline.functions import grid, layout, mime, text, timecode, vector
 from cueline.operators import anchors as anchoring
 from cueline.operators import chaining
 from cueline.operators import dtw as warping
-from cueline.operators import fuzzy, models, scenes, screenplay, sprites, timeline, utterance
+from cueline.operators import fuzzy, hmm, models, scenes, screenplay, sprites, timeline, utterance
 from cueline.sources import media, subtitles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -493,6 +494,60 @@ def scene_order(spark, sf_dir):
     return scenes.align_scenes(costs, ["label"], JUMP, PENALTY, SKIP).withColumnRenamed("window", "window_no")
 
 
+#: Jumps of -2 to 2 states of the aligning model: log scores, in thousandths like the cells, and probabilities; the cells' sharpness; the least posterior given.
+STEPS, JUMPS, SHARP, LIKELY = [-300.0, -150.0, -100.0, 0.0, -150.0], [0.05, 0.15, 0.2, 0.45, 0.15], 8.0, 0.05
+_EMITTED = f"{_POSITIONED}, c AS (SELECT label, i, list({{value}} ORDER BY j) AS c FROM (SELECT label, i, j, list_cosine_similarity(x, y) AS v FROM pa JOIN pb USING (label)) GROUP BY label, i)"
+_VITERBI = (
+    f"WITH RECURSIVE {_EMITTED.format(value='round(1000 * v)')}, r AS (SELECT label, i, c AS s, []::BIGINT[] AS came FROM c WHERE i = 0 "
+    "UNION ALL SELECT label, i, list_transform(picked, lambda p: p.v), list_transform(picked, lambda p: -p.u) FROM (SELECT c.label, c.i, list_transform(generate_series(1, len(c.c)), "
+    f"lambda k: list_max(list_transform(generate_series(greatest(1, k - 2), least(len(c.c), k + 2)), lambda u: {{'v': r.s[u] + {STEPS}[k - u + 3] + c.c[k], 'u': -u}}))) AS picked "
+    "FROM r JOIN c ON c.label = r.label AND c.i = r.i + 1)), "
+    "e AS (SELECT label, i, list_max(s) AS total, list_position(s, list_max(s))::BIGINT AS j FROM r QUALIFY i = max(i) OVER (PARTITION BY label)), "
+    "w AS (SELECT label, i, j, total FROM e UNION ALL SELECT w.label, w.i - 1, r.came[w.j], total FROM w JOIN r ON r.label = w.label AND r.i = w.i WHERE w.i > 0) "
+)
+_NEAR = "generate_series(greatest(1, k - 2), least(len(c.c), k + 2))"
+_FORWARD_BACKWARD = (
+    f"WITH RECURSIVE {_EMITTED.format(value=f'exp({SHARP} * v)')}, n AS (SELECT label, max(i) AS last FROM c GROUP BY label), "
+    "f AS (SELECT label, i, c, list_sum(c) AS s, list_transform(c, lambda x: x / list_sum(c)) AS a FROM c WHERE i = 0 UNION ALL "
+    "SELECT label, i, c, list_sum(a), list_transform(a, lambda x: x / list_sum(a)) FROM (SELECT c.label, c.i, c.c, list_transform(generate_series(1, len(c.c)), "
+    f"lambda k: c.c[k] * list_sum(list_transform({_NEAR}, lambda u: f.a[u] * {JUMPS}[k - u + 3]))) AS a FROM f JOIN c ON c.label = f.label AND c.i = f.i + 1)), "
+    "g AS (SELECT f.label, f.i, f.c, f.s, list_transform(f.c, lambda x: 1.0::DOUBLE) AS b FROM f JOIN n ON n.label = f.label AND n.last = f.i UNION ALL "
+    f"SELECT c.label, c.i, c.c, c.s, list_transform(generate_series(1, len(c.c)), lambda k: list_sum(list_transform({_NEAR}, lambda u: {JUMPS}[u - k + 3] * g.c[u] * g.b[u])) / g.s) "
+    "FROM g JOIN f AS c ON c.label = g.label AND c.i = g.i - 1) "
+)
+
+
+def _scored(spark, sf_dir):
+    """Cosines of all positions of the two sequences of each label, from products of blocks."""
+    a, b = (timeline.with_position(x, ["label"], ["vec_id"]) for x in _halves(spark, sf_dir))
+    return anchoring.close_pairs(a, b, ["label"], "pos", -2.0)
+
+
+@query(_VITERBI + "SELECT label, i, j - 1 AS j, total FROM w")
+def hmm_path(spark, sf_dir):
+    return hmm.best_path(spark, _scored(spark, sf_dir).withColumn("value", F.round(F.col("value") * 1000)), ["label"], STEPS)
+
+
+@query(
+    _FORWARD_BACKWARD + "SELECT label, i, j - 1 AS j, round(p, 6) AS posterior, round(z, 6) AS log_likelihood FROM (SELECT label, i, unnest(list_transform(generate_series(1, len(g.b)), lambda k: f.a[k] * g.b[k])) AS p, "
+    f"unnest(generate_series(1, len(g.b))) AS j FROM f JOIN g USING (label, i)) JOIN (SELECT label, sum(ln(s)) AS z FROM f GROUP BY label) USING (label) WHERE p >= {LIKELY}"
+)
+def hmm_posteriors(spark, sf_dir):
+    cells = _scored(spark, sf_dir).withColumn("value", F.col("value") * SHARP)
+    found = hmm.posteriors(spark, cells, ["label"], [math.log(p) for p in JUMPS], LIKELY)
+    return found.withColumn("posterior", six("posterior")).withColumn("log_likelihood", six("log_likelihood"))
+
+
+@query(
+    _FORWARD_BACKWARD + "SELECT d - 3 AS jump, round(n / sum(n) OVER (), 6) AS probability FROM (SELECT d, sum(list_sum(list_transform(generate_series(greatest(1, 4 - d), least(len(f.a), len(f.a) + 3 - d)), "
+    f"lambda u: f.a[u] * {JUMPS}[d] * g.c[u + d - 3] * g.b[u + d - 3] / g.s))) AS n FROM f JOIN g ON g.label = f.label AND g.i = f.i + 1, (SELECT unnest(generate_series(1, 5)) AS d) GROUP BY d)"
+)
+def hmm_jumps(spark, sf_dir):
+    cells = _scored(spark, sf_dir).withColumn("value", F.col("value") * SHARP)
+    moves, _ = hmm.fit_moves(spark, cells, ["label"], [math.log(p) for p in JUMPS], 1)
+    return spark.createDataFrame([(k - 2, round(math.exp(m), 6)) for k, m in enumerate(moves)], "jump long, probability double")
+
+
 #: Overlap of words from which two lines of a conversation are a pair.
 OVERLAP = 0.2
 _SAID = (
