@@ -109,6 +109,23 @@ def timeline_slice(spark, sf_dir):
     return timeline.slice_positions(own, ["user_id"], ["ts", "event_id"], -5, -1).select("user_id", "event_id", F.col("pos").cast("long").alias("pos"))
 
 
+#: Ranges into which one timeline of all events is cut.
+RANGES = 32
+
+
+@query(f"WITH {_EVENTS} SELECT p.event_id, r.ref_event_id, r.us AS ref_us FROM e p ASOF LEFT JOIN (SELECT us, max(event_id) AS ref_event_id FROM e GROUP BY us) r ON p.us > r.us")
+def asof_one_timeline(spark, sf_dir):
+    probes, refs = _events(spark, sf_dir)
+    found = timeline.as_of(probes, refs, [], "us", "us", "lt", "event_id", parts=RANGES)
+    return found.select("event_id", F.col("ref.event_id").alias("ref_event_id"), F.col("ref.us").alias("ref_us"))
+
+
+@query(f"WITH {_EVENTS} SELECT event_id, row_number() OVER (ORDER BY us, event_id) - 1 AS pos FROM e")
+def positions_one_timeline(spark, sf_dir):
+    own, _ = _events(spark, sf_dir)
+    return timeline.with_position(own, [], ["us", "event_id"], RANGES).select("event_id", "pos")
+
+
 @query(
     "SELECT event_id, a / 1e6 AS start_s, (a + b) / 2 / 1e6 AS mid_s, (b - a) / 1e6 AS duration_s FROM (SELECT event_id, "
     "(epoch_us(ts) % 86400000000) AS a, (epoch_us(ts) % 86400000000) + 2000 * (event_id % 997) AS b FROM events)"
