@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: H:M:S with an optional fraction behind a comma or point, M:S with one, and S with one behind a point.
-_CODE = (
+CODE = (
     r"^(?:(?:[01]?\d|2[0-3]):[0-5]?\d:[0-5]?\d(?:[,.]\d{1,6})?"
     r"|[0-5]?\d:[0-5]?\d[,.]\d{1,6}"
     r"|[0-5]?\d\.\d{1,6})$"
@@ -18,7 +18,7 @@ def timecode_micros(code: Column) -> Column:
     parts = F.split(code, "[,.]")
     whole = F.aggregate(F.split(parts[0], ":"), F.lit(0).cast("long"), lambda total, x: total * 60 + x.try_cast("long"))
     fraction = F.rpad(F.coalesce(F.get(parts, F.lit(1)), F.lit("0")), 6, "0").try_cast("long")
-    return F.when(code.rlike(_CODE), whole * 1_000_000 + fraction)
+    return F.when(code.rlike(CODE), whole * 1_000_000 + fraction)
 
 
 def timecode_seconds(code: Column) -> Column:

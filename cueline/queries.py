@@ -17,7 +17,7 @@ from cueline.operators import anchors as anchoring
 from cueline.operators import chaining
 from cueline.operators import dtw as warping
 from cueline.operators import fuzzy, hmm, models, scenes, screenplay, sprites, timeline, utterance
-from cueline.sources import media, subtitles
+from cueline.sources import media, subtitles, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -241,6 +241,15 @@ def srt_roundtrip(spark, sf_dir):
     return cues.select("filepath", "idx", "timestamp_start", "timestamp_end", "content")
 
 
+@query(ORACLES["srt_roundtrip"])
+def udtf_parse_srt(spark, sf_dir):
+    tables.register(spark)
+    own = _dialogue(spark, sf_dir)
+    block = F.concat_ws("\n", (F.col("turn") + 1).cast("string"), F.concat(timecode.srt_code(F.col("s")), F.lit(" --> "), timecode.srt_code(F.col("e"))), "line")
+    sql = "SELECT path AS filepath, idx, timestamp_start, timestamp_end, cues.content FROM {files} AS files, LATERAL parse_srt(path, files.content) AS cues"
+    return spark.sql(sql, files=_files(own, block, "", "\n\n"))
+
+
 @query(f"SELECT conv_id::VARCHAR AS filepath, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS idx, turn * 4 + (conv_id % 1000) / 8 AS timestamp_start, trim(regexp_replace({_LINE}, '\\s+', ' ', 'g')) AS content FROM conversations")
 def ass_roundtrip(spark, sf_dir):
     own = _dialogue(spark, sf_dir)
@@ -321,6 +330,15 @@ def utterances(spark, sf_dir):
     return _utterances(lines.withColumn("timestamp_start", F.col("idx") * 2.0).withColumn("timestamp_end", F.col("idx") * 2.0 + 1.5), "doc_id")
 
 
+@query(f"SELECT doc_id::VARCHAR AS filepath, * EXCLUDE (doc_id) FROM ({_SEGMENTS.format(key='doc_id', pieces=_LINES)})")
+def udtf_utterances(spark, sf_dir):
+    tables.register(spark)
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("filepath"), F.posexplode(F.split("text", "\n")).alias("idx", "content")).where("content != ''")
+    cues = lines.withColumn("idx", F.col("idx").cast("long")).withColumn("timestamp_start", F.col("idx") * 2.0).withColumn("timestamp_end", F.col("idx") * 2.0 + 1.5)
+    sql = "SELECT filepath, idx, size(line_idxs)::bigint AS n_pieces, timestamp_start, timestamp_end, content FROM to_utterances(TABLE({cues}))"
+    return spark.sql(sql, cues=_cues(cues))
+
+
 _A, _B = "replace(substr(text, 1, length(text) // 2), '-', '.')", "replace(substr(text, length(text) // 2 + 1), '-', '.')"
 _DASHES = (
     f"SELECT conv_id, turn * 2.0 AS ord, {_A} AS content, turn * 4.0 AS s, turn * 4.0 + 1 AS e, true AS solo FROM conversations WHERE turn % 3 = 1 "
