@@ -9,14 +9,14 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cueline.functions import grid, layout, mime, text, timecode, vector
 from cueline.operators import anchors as anchoring
 from cueline.operators import chaining
 from cueline.operators import dtw as warping
-from cueline.operators import fuzzy, hmm, models, scenes, screenplay, sprites, timeline, utterance
+from cueline.operators import fuzzy, hmm, models, scenes, screenplay, sprites, tiles, timeline, utterance
 from cueline.sources import media, subtitles, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -655,6 +655,14 @@ def dtw_subsequence(spark, sf_dir):
     return found.select("label", six("distance").alias("distance"), F.element_at("path", 1)["j"].alias("first_j"), F.element_at("path", -1)["j"].alias("last_j"))
 
 
+@query(_CLASSIC + "SELECT label, k, i, j, round(distance, 6) AS distance FROM path JOIN total USING (label)")
+def dtw_tiles(spark, sf_dir):
+    a, b = _halves(spark, sf_dir)
+    found = tiles.dtw_tiles(a, b, ["label"], "vec_id")
+    k = F.row_number().over(Window.partitionBy("label").orderBy("i", "j")) - 1
+    return found.select("label", k.cast("long").alias("k"), "i", "j", six("distance").alias("distance"))
+
+
 # Sprites and shots
 
 
