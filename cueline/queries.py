@@ -655,7 +655,7 @@ def dtw_subsequence(spark, sf_dir):
     return found.select("label", six("distance").alias("distance"), F.element_at("path", 1)["j"].alias("first_j"), F.element_at("path", -1)["j"].alias("last_j"))
 
 
-@query(_CLASSIC + "SELECT label, k, i, j, round(distance, 6) AS distance FROM path JOIN total USING (label)")
+@query(_CLASSIC + "SELECT label, k::BIGINT AS k, i, j, round(distance, 6) AS distance FROM path JOIN total USING (label)")
 def dtw_tiles(spark, sf_dir):
     a, b = _halves(spark, sf_dir)
     found = tiles.dtw_tiles(a, b, ["label"], "vec_id")
