@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cueline.functions import grid, layout, mime, text, timecode, vector
 from cueline.operators import anchors as anchoring
-from cueline.operators import chaining
+from cueline.operators import chaining, crf
 from cueline.operators import dtw as warping
 from cueline.operators import fuzzy, hmm, models, scenes, screenplay, sprites, tiles, timeline, utterance
 from cueline.sources import media, subtitles, tables
@@ -583,6 +583,49 @@ def hmm_jumps(spark, sf_dir):
     return spark.createDataFrame([(k - 2, round(math.exp(m), 6)) for k, m in enumerate(moves)], "jump long, probability double")
 
 
+#: Weights of the field's features (cosine, and nearness of the two places in their sequences), at which its gradient is taken.
+WEIGHTS = [4.0, 2.0]
+_FIELD = (
+    f"WITH RECURSIVE {_POSITIONED}, na AS (SELECT label, count(*) AS n FROM pa GROUP BY label), nb AS (SELECT label, count(*) AS m FROM pb GROUP BY label), "
+    "v AS (SELECT pa.label AS la, pb.label AS lb, i, j, list_cosine_similarity(x, y) AS v0, 1 - abs(i / n - j / m) AS v1 "
+    "FROM pa JOIN pb ON pb.label BETWEEN pa.label AND pa.label + 1 JOIN na ON na.label = pa.label JOIN nb ON nb.label = pb.label), "
+    f"c AS (SELECT la, lb, i, list(exp({WEIGHTS[0]} * v0 + {WEIGHTS[1]} * v1) ORDER BY j) AS c, list(v0 ORDER BY j) AS v0, list(v1 ORDER BY j) AS v1 FROM v GROUP BY la, lb, i), "
+    "n AS (SELECT la, lb, max(i) AS last FROM c GROUP BY la, lb), "
+    "f AS (SELECT la, lb, i, c, v0, v1, list_sum(c) AS s, list_transform(c, lambda x: x / list_sum(c)) AS a FROM c WHERE i = 0 UNION ALL "
+    "SELECT la, lb, i, c, v0, v1, list_sum(a), list_transform(a, lambda x: x / list_sum(a)) FROM (SELECT c.la, c.lb, c.i, c.c, c.v0, c.v1, list_transform(generate_series(1, len(c.c)), "
+    f"lambda k: c.c[k] * list_sum(list_transform({_NEAR}, lambda u: f.a[u] * {JUMPS}[k - u + 3]))) AS a FROM f JOIN c ON c.la = f.la AND c.lb = f.lb AND c.i = f.i + 1)), "
+    "g AS (SELECT f.la, f.lb, f.i, f.c, f.s, list_transform(f.c, lambda x: 1.0::DOUBLE) AS b FROM f JOIN n ON n.la = f.la AND n.lb = f.lb AND n.last = f.i UNION ALL "
+    f"SELECT c.la, c.lb, c.i, c.c, c.s, list_transform(generate_series(1, len(c.c)), lambda k: list_sum(list_transform({_NEAR}, lambda u: {JUMPS}[u - k + 3] * g.c[u] * g.b[u])) / g.s) "
+    "FROM g JOIN f AS c ON c.la = g.la AND c.lb = g.lb AND c.i = g.i - 1), "
+    "z AS (SELECT la, lb, sum(ln(s)) AS z FROM f GROUP BY la, lb), "
+    "o AS (SELECT la, max(z) AS m, max(CASE WHEN la = lb THEN z END) AS r FROM z GROUP BY la), "
+    "t AS (SELECT la, any_value(r) - any_value(m) - ln(sum(exp(z - m))) AS value, any_value(m) + ln(sum(exp(z - m))) AS whole FROM z JOIN o USING (la) WHERE r IS NOT NULL GROUP BY la), "
+    "h AS (SELECT la, lb, (CASE WHEN la = lb THEN 1 ELSE 0 END) - exp(z - whole) AS share FROM z JOIN t USING (la)), "
+    "e AS (SELECT la, lb, unnest([0, 1]) AS k, unnest([sum(list_sum(list_transform(generate_series(1, len(f.a)), lambda q: f.a[q] * g.b[q] * f.v0[q]))), "
+    "sum(list_sum(list_transform(generate_series(1, len(f.a)), lambda q: f.a[q] * g.b[q] * f.v1[q])))]) AS e FROM f JOIN g USING (la, lb, i) GROUP BY la, lb UNION ALL "
+    "SELECT f.la, f.lb, d + 1 AS k, sum(list_sum(list_transform(generate_series(greatest(1, 4 - d), least(len(f.a), len(f.a) + 3 - d)), "
+    f"lambda u: f.a[u] * {JUMPS}[d] * g.c[u + d - 3] * g.b[u + d - 3] / g.s))) AS e FROM f JOIN g ON g.la = f.la AND g.lb = f.lb AND g.i = f.i + 1, (SELECT unnest(generate_series(1, 5)) AS d) GROUP BY f.la, f.lb, d) "
+)
+
+
+@query(
+    _FIELD + "SELECT 'objective' AS part, 0::BIGINT AS k, round(avg(value), 6) AS value FROM t UNION ALL "
+    "SELECT 'gradient', k::BIGINT, round(sum(share * e) / (SELECT count(*) FROM t), 6) FROM e JOIN h USING (la, lb) GROUP BY k"
+)
+def crf_gradient(spark, sf_dir):
+    a, b = (timeline.with_position(x, ["label"], ["vec_id"]).where("label is not null") for x in _halves(spark, sf_dir))
+    # Each label's sequence has its own partner and the next label's for candidates.
+    la = a.withColumn("la", F.col("label")).withColumn("lb", F.explode(F.array(F.col("label"), F.col("label") + 1)))
+    lb = b.withColumn("lb", F.col("label")).withColumn("la", F.explode(F.array(F.col("label") - 1, F.col("label"))))
+    n, m = (x.groupBy("label").agg(F.count("*").alias(c)).withColumnRenamed("label", k) for x, c, k in ((a, "n", "la"), (b, "m", "lb")))
+    cells = anchoring.close_pairs(la, lb, ["la", "lb"], "pos", -2.0).join(n, "la").join(m, "lb")
+    cells = cells.withColumn("near", 1 - F.abs(F.col("i") / F.col("n") - F.col("j") / F.col("m")))
+    field = crf.Field(spark, cells, ["la", "lb"], ["la"], F.col("la") == F.col("lb"), ["value", "near"])
+    objective, gradient = field.climb(WEIGHTS, [math.log(p) for p in JUMPS])
+    rows = [("objective", 0, round(objective, 6) + 0.0)] + [("gradient", k, round(float(g), 6) + 0.0) for k, g in enumerate(gradient)]
+    return spark.createDataFrame(rows, "part string, k long, value double")
+
+
 #: Overlap of words from which two lines of a conversation are a pair.
 OVERLAP = 0.2
 _SAID = (
