@@ -17,7 +17,8 @@ from cueline.operators import anchors as anchoring
 from cueline.operators import chaining, crf
 from cueline.operators import dtw as warping
 from cueline.operators import fuzzy, hmm, models, scenes, screenplay, sprites, tiles, timeline, utterance
-from cueline.sources import media, subtitles, tables
+from cueline.shared import Rounds
+from cueline.sources import datasource, media, subtitles, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -250,6 +251,17 @@ def udtf_parse_srt(spark, sf_dir):
     return spark.sql(sql, files=_files(own, block, "", "\n\n"))
 
 
+@query(ORACLES["srt_roundtrip"])
+def srt_format(spark, sf_dir):
+    own = _dialogue(spark, sf_dir).select(
+        F.concat(F.col("conv_id").cast("string"), F.lit(".srt")).alias("filepath"), (F.col("turn") + 1).alias("idx"), F.col("s").alias("timestamp_start"), F.col("e").alias("timestamp_end"), F.col("line").alias("content")
+    )
+    folder = f"{Rounds(spark, 'srt').root}/files"
+    datasource.write_srt(own, folder)
+    found = spark.read.format("cueline_srt").load(folder)
+    return found.select(F.regexp_extract("filepath", r"([^/]*)\.srt$", 1).alias("filepath"), "idx", "timestamp_start", "timestamp_end", "content")
+
+
 @query(f"SELECT conv_id::VARCHAR AS filepath, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS idx, turn * 4 + (conv_id % 1000) / 8 AS timestamp_start, trim(regexp_replace({_LINE}, '\\s+', ' ', 'g')) AS content FROM conversations")
 def ass_roundtrip(spark, sf_dir):
     own = _dialogue(spark, sf_dir)
