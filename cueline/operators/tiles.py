@@ -183,10 +183,13 @@ def dtw_tiles(
         """The tiles ``own`` with their vectors and borders, in ``n`` tasks or fewer."""
         out = own.join(blocks[0], ["pair", "p"]).join(blocks[1], ["pair", "q"])
         if before is None:
-            return out.select("*", *[F.lit(None).cast("binary").alias(c) for c in ("top", "left")])
-        tops = before.select("pair", (F.col("p") + 1).alias("p"), "q", F.col("bottom").alias("top"))
-        lefts = before.select("pair", "p", (F.col("q") + 1).alias("q"), F.col("right").alias("left"))
-        return out.join(tops, ["pair", "p", "q"], "left").join(lefts, ["pair", "p", "q"], "left").repartition(min(n, TASKS), "pair", "p", "q")
+            out = out.select("*", *[F.lit(None).cast("binary").alias(c) for c in ("top", "left")])
+        else:
+            tops = before.select("pair", (F.col("p") + 1).alias("p"), "q", F.col("bottom").alias("top"))
+            lefts = before.select("pair", "p", (F.col("q") + 1).alias("q"), F.col("right").alias("left"))
+            out = out.join(tops, ["pair", "p", "q"], "left").join(lefts, ["pair", "p", "q"], "left")
+        # Tiles are small in bytes and long in time, so they are dealt out by number.
+        return out.repartition(min(n, TASKS), "pair", "p", "q")
 
     # One count for each anti-diagonal: rounds are run one after the other.
     counts = dict(places.groupBy((F.col("p") + F.col("q")).alias("d")).count().collect())
