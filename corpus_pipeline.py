@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cueline.llm import bagminhash, mixing, packing, toxicity
 from cueline.llm.scratch import ROW, Scratch
@@ -11,9 +12,9 @@ from cueline.llm.scratch import ROW, Scratch
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text the labelled examples' vote doesn't reject, whatever their doc_id. Learns from all labels."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    numbered = Scratch(spark, "toxic").number(docs)
-    rejected = toxicity.score_toxicity(spark, numbered, labels, keep=(ROW,)).where("predicted = 1").select(ROW)
-    return numbered.join(rejected, ROW, "left_anti").select(*docs.columns)
+    # A row passes through its own scoring, so nothing is numbered, written or joined.
+    whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_whole"))
+    return toxicity.score_toxicity(spark, whole, labels, keep=("_whole",)).where("predicted = 0").select("_whole.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,4 +51,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = scratch.save(stage(spark, docs, sf_dir), name)
+        scratch.keep_only(docs)
     return docs

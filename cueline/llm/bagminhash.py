@@ -286,6 +286,8 @@ def near_duplicates(
     signed = scratch.save(_sign(own, bands, band_size, words), "signed")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")
     classes = scratch.save(signed.groupBy("key").agg(F.min("row").alias("node"), F.first("bands").alias("bands"), F.first("code").alias("code"), least), "classes")
+    keys = scratch.save(signed.select("row", "doc_id", "key"), "keys")
+    scratch.drop(signed)
 
     # Buckets with company, and each text's number of companions over all of them.
     banded = classes.select("node", F.explode("bands").alias("band"))
@@ -327,7 +329,9 @@ def near_duplicates(
     groups = components(scratch, links.unionByName(second))
     tops = classes.select("key", "node", "least").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     tops = scratch.save(tops.select("key", "root", "least"), "tops")
+    # The result is lazy; these two are all it reads.
+    scratch.keep_only(keys, tops)
     best = tops.groupBy("root").agg(F.min("least").alias("best"))
     named = tops.join(best, "root").select("key", F.col("best.doc_id").alias("class_id"), F.col("best.row").alias("first"))
-    out = signed.select("row", "doc_id", "key").join(named, "key")
+    out = keys.join(named, "key")
     return out.select(*([F.col("row").alias(row)] if row else []), "doc_id", "class_id", (F.col("row") == F.col("first")).alias("kept"))

@@ -159,6 +159,7 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple = WEIGHTS, share: f
     copies = F.floor((before + F.col("due")) / UNIT) - F.floor(before / UNIT)
     chosen = placed.select("doc_id", "row", "source", "size", "tie", "source_size", "target", "rate", copies.cast("int").alias("copies"))
     chosen = scratch.save(chosen, "chosen")
+    scratch.keep_only(chosen)
     equal = chosen.groupBy("source", "size", "copies", "target").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tie", "row")).alias("who"))
     changes = _repairs(scratch, scratch.save(equal, "equal"), most, repairs)
     if changes is not None:

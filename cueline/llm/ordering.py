@@ -21,7 +21,8 @@ def running_total(scratch: Scratch, df: DataFrame, keys: list, value: str, out:
     A prefix scan. Rows are range-partitioned by ``keys`` (which should end in a unique
     column, so that no key is too large for one partition) and sorted; each task writes its
     local exclusive sum; the totals, one row a partition, are summed and joined back. The
-    scanned table is written once, since a range partitioning may differ when it is recomputed.
+    scanned table is written once, since a range partitioning may differ when it is recomputed;
+    ``scratch.drop`` of the result deletes it.
 
     ``keys`` may be names or Column expressions; ``value`` is a long or double column without
     nulls. Columns named ``_part`` or ``_local`` are replaced.
@@ -53,7 +54,9 @@ def running_total(scratch: Scratch, df: DataFrame, keys: list, value: str, out:
     # One row for each partition: its number is a setting, not a function of a key.
     offsets = totals.select(PART, (F.sum("_sum").over(upto) - F.col("_sum")).alias("_offset"))
     joined = saved.join(F.broadcast(offsets), PART)
-    return joined.withColumn(out, F.col("_offset") + F.col(LOCAL)).drop(PART, LOCAL, "_offset")
+    summed = joined.withColumn(out, F.col("_offset") + F.col(LOCAL)).drop(PART, LOCAL, "_offset")
+    summed.cueline_path = saved.cueline_path
+    return summed
 
 
 def with_follower(df: DataFrame, key: str, parts: int) -> DataFrame:

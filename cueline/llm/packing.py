@@ -75,6 +75,7 @@ def best_fit(scratch: Scratch, items: DataFrame, size: int = 2048) -> DataFrame:
             order = [F.col("length").desc(), F.col("item")]
             first = running_total(scratch, left.withColumn("one", F.lit(1).cast("long")), order, "one", "rank")
             ranked = scratch.save(first.select("item", "length", (F.col("rank") < lack).alias("opens")), "ranked")
+            scratch.drop(first)
             opened = ranked.where("opens")
             placed.append(opened.select("item", F.col("item").alias("bin"), F.lit(0).cast("long").alias("offset")))
             gaps = gaps.unionByName(opened.select(F.col("item").alias("bin"), (size - F.col("length")).alias("gap")))
@@ -84,12 +85,13 @@ def best_fit(scratch: Scratch, items: DataFrame, size: int = 2048) -> DataFrame:
             left.select(F.col("item").alias("bin"), length.alias("size"), F.lit(-1).cast("long").alias("step"))
         )
         keys = [F.col("size").desc(), F.col("step").desc(), F.col("bin")]
-        swept = running_total(scratch, events, keys, "step", "depth")
+        scanned = running_total(scratch, events, keys, "step", "depth")
         level = F.when(F.col("step") > 0, F.col("depth") + 1).otherwise(F.col("depth"))
         by = Window.partitionBy("level").orderBy(*keys)
         ahead, behind = F.lead(F.struct("bin", "size", "step")).over(by), F.lag(F.struct("bin", "size", "step")).over(by)
-        swept = swept.withColumn("level", level).select("bin", "size", "step", ahead.alias("close"), behind.alias("open"))
+        swept = scanned.withColumn("level", level).select("bin", "size", "step", ahead.alias("close"), behind.alias("open"))
         swept = scratch.save(swept, "swept")
+        scratch.drop(scanned)
         # A gap that the next event of its level closes has an item; an item behind a gap has that gap.
         placed.append(swept.where("step < 0 and open.step > 0").select(F.col("bin").alias("item"), F.col("open.bin").alias("bin"), (size - F.col("open.size")).alias("offset")))
         left = swept.where("step < 0 and (open is null or open.step < 0)").select(F.col("bin").alias("item"), F.col("size").alias("length"))
@@ -112,8 +114,9 @@ def pack(spark: SparkSession, docs: DataFrame, size: int = 2048, path: str | Non
     pieces = scratch.save(cut_into_pieces(rows, size, path, end_id), "pieces")
     # The first piece of a document is the only one that may leave room.
     firsts = pieces.where(F.col("piece") == 0)
-    numbered = running_total(scratch, firsts.select("row", "length", F.lit(1).cast("long").alias("one")), ["row"], "one", "item")
-    numbered = scratch.save(numbered.select("row", "item", "length"), "numbered")
+    ranked = running_total(scratch, firsts.select("row", "length", F.lit(1).cast("long").alias("one")), ["row"], "one", "item")
+    numbered = scratch.save(ranked.select("row", "item", "length"), "numbered")
+    scratch.drop(ranked)
     places = best_fit(scratch, numbered.where(F.col("length") < size).select("item", "length"), size)
     placed = numbered.join(places, "item", "left").select("row", "item", "bin", "offset")
     shift = 1 << 21  # more pieces than a text of 2**31 bytes can have

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cueline.llm.scratch import Scratch
 
@@ -333,7 +334,9 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, labelled: DataFrame, cu
                     names=["doc_id", *keep, "score", "predicted", "evidence"],
                 )
 
-    kept = "".join(f"`{k}` {docs.schema[k].dataType.simpleString()}, " for k in keep)
+    kept = [T.StructField(k, docs.schema[k].dataType) for k in keep]
+    fields = [T.StructField("doc_id", T.LongType()), *kept, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
+    evidence = T.ArrayType(T.StructType().add("doc_id", T.LongType()).add("toxic", T.IntegerType()).add("cosine", T.DoubleType()))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text"), *keep).mapInArrow(
-        run, f"doc_id long, {kept}score double, predicted int, evidence array<struct<doc_id:long,toxic:int,cosine:double>>"
+        run, T.StructType([*fields, T.StructField("evidence", evidence)])
     )

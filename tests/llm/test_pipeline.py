@@ -1,8 +1,9 @@
 import random
 from collections import Counter
+from pathlib import Path
 
 import corpus_pipeline
-from cueline.llm import mixing
+from cueline.llm import mixing, scratch
 from cueline.llm.scratch import ROW, Scratch
 
 COLUMNS = "doc_id long, text string, source string"
@@ -87,3 +88,27 @@ def test_toxic_rows_go_by_row(spark, tmp_path):
     spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     left = Counter(map(tuple, corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()))
     assert left == Counter(r for r in rows if r[2] == "c")
+
+
+def test_stages_leave_few_tables_behind(spark, tmp_path, monkeypatch):
+    """Scratch tables that the written result doesn't need are gone: no copy of the texts but the numbered one, and no signatures."""
+    rng = random.Random(11)
+    prose = lambda: [f"{rng.getrandbits(40):x}" for _ in range(400)]
+    family = [prose() for _ in range(60)]
+    rows = [(i, " ".join(family[i % 60] + [f"tail{i}"]), f"s{i % 3}") for i in range(240)]
+    spark.createDataFrame(rows, COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 0) for i in range(8)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    size = lambda d: sum(f.stat().st_size for f in Path(d).rglob("*.parquet") if f.is_file())
+    read, left, tables = f"{tmp_path}/documents.parquet", {}, {}
+    for name, stage in corpus_pipeline.STAGES:
+        shared, whole = f"{tmp_path}/shared-{name}", size(read)
+        monkeypatch.setattr(scratch, "shared_dir", lambda _, shared=shared: f"file://{shared}")
+        stage(spark, spark.read.parquet(read), str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        read, left[name] = f"{tmp_path}/{name}", size(shared) / whole
+        tables[name] = {d.name.split("-", 1)[1] for d in Path(shared).glob("*/*")}
+    assert left["toxicity"] < 0.5
+    assert "numbered" not in tables["toxicity"]
+    assert left["near_copies"] < 1.2
+    assert tables["near_copies"] == {"numbered", "keys", "tops"}
+    assert left["mixing"] < 1.5 and not {"sizes", "known", "scan"} & tables["mixing"]
+    assert "scan" not in tables["packing"]
