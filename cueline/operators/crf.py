@@ -16,11 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueline.operators.hmm import _BATCH_BYTES, BLOCK, _array, _between, _Blocks, _moves, marginals
-from cueline.shared import Rounds
-
-_FEATURES = "pair long, block long, first boolean, states int, place array<long>, features binary"
-_CELLS = "pair long, block long, first boolean, states int, place array<long>, cells binary"
+from cueline.operators.hmm import BLOCK, Products, _between, _Blocks, _moves, marginals, opened
 
 
 def weighted(features: list[str], weights: list[float]) -> Column:
@@ -36,54 +32,35 @@ def _same(left: str, right: str, on: list[str]) -> Column:
 
 
 class Field(_Blocks):
-    """The features of all candidates, written once in blocks of positions.
+    """The features of all candidates, or the vectors that they are made of, written once in blocks of positions.
 
-    ``cells``: ``on``, i, j and ``features``; ``group``: those columns of ``on`` that candidates share; ``right``: a condition on ``on`` that holds for the
-    right ones. Cells with a null or no finite feature are not allowed; of repeated cells the greatest of each feature counts. Other columns are not
-    read. A candidate without an allowed path has no probability; a group without a right one that has is left out. Nulls in ``on`` are values as others.
+    ``cells``: ``on``, i, j and ``features``, or ``Products`` with as many values a cell; ``group``: those columns of ``on`` that candidates share; ``right``: a
+    condition on ``on`` that holds for the right ones. Cells with a null or no finite feature are not allowed; of repeated cells the greatest of each feature counts. Other columns
+    are not read. A candidate without an allowed path has no probability; a group without a right one that has is left out. Nulls in ``on`` are values as others
+    (but not of ``Products``).
     """
 
-    def __init__(self, spark: SparkSession, cells: DataFrame, on: list[str], group: list[str], right: Column, features: list[str], block: int = BLOCK):
+    name = "crf"
+
+    def __init__(self, spark: SparkSession, cells: DataFrame | Products, on: list[str], group: list[str], right: Column, features: list[str], block: int = BLOCK):
         if not features or not set(group) <= set(on):
             raise ValueError("a field needs features, and groups that are columns of its pairs")
-        if spark.conf.get(_BATCH_BYTES, None) is None:
-            spark.conf.set(_BATCH_BYTES, "4m")
-        self.on, self.n, self.rounds = on, len(features), Rounds(spark, "crf")
-        values = [F.col(f).cast("double").alias(f"_f{k}") for k, f in enumerate(features)]
-        known = cells.select(*on, F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), *values).where("i >= 0 and j >= 0")
-        for k in range(self.n):
-            known = known.where(f"_f{k} > double('-infinity') and _f{k} < double('infinity')")
-        sizes = known.groupBy(*on).agg((F.max("j") + 1).cast("int").alias("states"), F.floor(F.min("i") / block).alias("least"))
-        sizes = self.rounds.save(sizes.withColumn("right", F.coalesce(right, F.lit(False))).withColumn("pair", F.monotonically_increasing_id()), "sizes")
-        groups = self.rounds.save(sizes.select(*group).distinct().withColumn("group", F.monotonically_increasing_id()), "groups")
-        named = sizes.alias("s").join(groups.alias("g"), _same("s", "g", group)).select("s.*", "g.group")
-        self.pairs = self.rounds.save(named, "pairs")
-        own = known.alias("c").join(self.pairs.alias("p"), _same("c", "p", on))
-        own = own.select("pair", "states", "least", F.floor(F.col("i") / block).alias("block"), "i", "j", F.array(*[f"_f{k}" for k in range(self.n)]).alias("f"))
-        n = self.n
-
-        def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            place = np.unique(pdf["i"])
-            states, least = int(pdf["states"].iloc[0]), pdf["least"].iloc[0]
-            out = np.full((len(place), states, n), -np.inf)
-            np.maximum.at(out, (np.searchsorted(place, pdf["i"]), pdf["j"].to_numpy()), np.stack(pdf["f"].to_numpy()))
-            return pd.DataFrame([(*key, key[1] == least, states, place, out.tobytes())], columns=[x.split()[0] for x in _FEATURES.split(", ")])
-
-        self.features = self.rounds.save(own.groupBy("pair", "block").applyInPandas(pack, _FEATURES), "features")
-
-    def _score(self, weights: np.ndarray) -> DataFrame:
+        self.columns, self.n, self.group, self.right = features, len(features), group, right
+        super().__init__(spark, cells, on, block)
         n = self.n
+        self.features = self.decode if self.vectors else lambda row, states: np.frombuffer(row.cells).reshape(-1, row.states, n)
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                found = []
-                for blob, states in zip(batch["features"], batch["states"]):
-                    f = np.frombuffer(blob).reshape(-1, states, n)
-                    allowed = f[..., 0] > -np.inf
-                    found.append(np.where(allowed, np.where(allowed[..., None], f, 0) @ weights, -np.inf).tobytes())
-                yield batch.drop(columns="features").assign(cells=found)
+    def _features(self, cells: DataFrame) -> DataFrame:
+        values = [F.col(f).cast("double").alias(f"_f{k}") for k, f in enumerate(self.columns)]
+        known = cells.select(*self.on, F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), *values).where("i >= 0 and j >= 0")
+        for k in range(self.n):
+            known = known.where(f"_f{k} > double('-infinity') and _f{k} < double('infinity')")
+        return known.select(*self.on, "i", "j", F.array(*[f"_f{k}" for k in range(self.n)]).alias("f"))
 
-        return self.rounds.save(self.features.mapInPandas(run, _CELLS), "cells")
+    def _save_pairs(self, sizes: DataFrame) -> DataFrame:
+        sizes = super()._save_pairs(sizes.withColumn("right", F.coalesce(self.right, F.lit(False))))
+        groups = self.rounds.save(sizes.select(*self.group).distinct().withColumn("group", F.monotonically_increasing_id()), "groups")
+        return self.rounds.save(sizes.alias("s").join(groups.alias("g"), _same("s", "g", self.group)).select("s.*", "g.group"), "named")
 
     def climb(self, weights: list[float], moves: list[float]) -> tuple[float, np.ndarray]:
         """(mean log probability of the right candidates of a group, its gradient by ``weights``, then by ``moves``).
@@ -93,19 +70,21 @@ class Field(_Blocks):
         steps, w, n = _moves(moves), np.array(weights, float), self.n
         if w.shape != (n,) or not np.isfinite(w).all():
             raise ValueError("weights must be finite, one for each feature")
-        self.table = self._score(w)
+        features = self.features
+
+        def score(f: np.ndarray) -> np.ndarray:
+            allowed = f[..., 0] > -np.inf
+            return f @ w if allowed.all() else np.where(allowed, np.where(allowed[..., None], f, 0) @ w, -np.inf)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for row in batch.itertuples(index=False):
-                    total, found, counts = marginals(np.frombuffer(row.before), np.frombuffer(row.after), _array(row.cells, row.states), row.first, steps)
-                    if total > -np.inf:
-                        f = np.frombuffer(row.features).reshape(*found.shape, n)
-                        sums = np.einsum("ts,tsn->n", found, np.where(f > -np.inf, f, 0))
-                        yield pd.DataFrame({"pair": row.pair, "k": range(-1, n + len(steps)), "value": [total if row.first else 0.0, *sums, *counts]})
-
-        both = _between(self, steps).join(self.features.select("pair", "block", "features"), ["pair", "block"])
-        sums = both.mapInPandas(run, "pair long, k int, value double").groupBy("pair", "k").agg(F.sum("value").alias("value"))
+            for row, f in opened(batches, features):
+                total, found, counts = marginals(np.frombuffer(row.before), np.frombuffer(row.after), score(f), row.first, steps)
+                if total > -np.inf:
+                    sums = np.einsum("ts,tsn->n", found, np.where(f > -np.inf, f, 0))
+                    yield pd.DataFrame({"pair": row.pair, "k": range(-1, n + len(steps)), "value": [total if row.first else 0.0, *sums, *counts]})
+
+        self.decode = lambda row, states: score(features(row, states))
+        sums = _between(self, steps).mapInPandas(run, "pair long, k int, value double").groupBy("pair", "k").agg(F.sum("value").alias("value"))
         sums = self.rounds.save(sums, "sums")
         own = sums.where("k = -1").select("pair", F.col("value").alias("z")).join(self.pairs.select("pair", "group", "right"), "pair")
         tops = own.groupBy("group").agg(F.max("z").alias("m"), F.max(F.when(F.col("right"), F.col("z"))).alias("r")).where("r is not null")

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cueline.operators import crf, hmm
+from cueline.operators import anchors, crf, hmm
 from tests.test_hmm import all_paths
 
 KIND = "film string, script string, i long, j long, f double, g double, pair string"
@@ -68,3 +68,16 @@ def test_edges(spark):
         field(spark, none).climb([1.0], MOVES)
     with pytest.raises(ValueError):
         crf.Field(spark, none, ["film"], ["script"], F.lit(True), ["f"])
+
+
+def test_products_equal_a_table_of_features(spark):
+    rng = np.random.default_rng(5)
+    rows = [(s, c, n, i, rng.normal(size=3).tolist()) for s, n in (("a", 5.0), ("b", 4.0)) for c in "xy" for i in range(int(n))]
+    table = spark.createDataFrame(rows, "name string, side string, n double, i long, embedding array<double>")
+    films = table.where("side = 'x'").withColumnRenamed("name", "film").crossJoin(table.select(F.col("name").alias("script")).distinct())
+    scripts = table.where("side = 'y'").withColumnRenamed("name", "script").crossJoin(table.select(F.col("name").alias("film")).distinct())
+    products = hmm.Products(films, scripts, "i", lambda value, i, j, n: np.stack((value, 1 - i / n + 0 * j), 2), ("n",))
+    cells = anchors.close_pairs(films, scripts, ["film", "script"], "i", -2.0).withColumnRenamed("value", "f")
+    cells = cells.join(films.select("film", "n").distinct(), "film").withColumn("g", 1 - F.col("i") / F.col("n"))
+    (value, gradient), (other, expected) = (field(spark, x).climb([0.7, -0.4], MOVES) for x in (products, cells))
+    assert value == pytest.approx(other) and gradient == pytest.approx(expected)

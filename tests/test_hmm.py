@@ -1,9 +1,11 @@
 from itertools import product
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from cueline.operators import hmm
+from cueline.operators import anchors, hmm
 
 KIND = "film string, i long, j long, value double"
 
@@ -97,3 +99,40 @@ def test_edges(spark):
     assert sorted(r[:4] for r in hmm.posteriors(spark, cells, ["film"], moves).collect()) == [("x", 0, 1, 1.0), ("x", 90, 2, 1.0)]
     with pytest.raises(ValueError):
         hmm.best_path(spark, cells, ["film"], [0.0, 0.0])
+
+
+def test_products_equal_a_table_of_their_cells(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "PART", 1)
+    monkeypatch.setattr(hmm, "CHUNK", 3)
+    rng, moves = np.random.default_rng(9), [-2.0, -0.7, -0.3, -1.5, -2.5]
+    rows = [(f, side, i, rng.normal(size=3).tolist()) for f in ("a", "b", None) for side, n in (("x", 7), ("y", 8)) for i in range(n)]
+    rows += [("a", "x", 8, None), ("a", "x", 9, [1.0, float("nan"), 0.0]), ("a", "x", 11, [0.0, 0.0, 0.0]), ("a", "y", 8, [float("inf"), 0.0, 0.0]), ("a", "y", 9, [1.0, 0.0, 0.0]), ("c", "x", 0, [1.0, 0.0, 0.0])]
+    table = spark.createDataFrame(rows, "film string, side string, id int, embedding array<float>")
+    a, b = (table.where(f"side = '{s}'") for s in "xy")
+    cells = anchors.close_pairs(a, b, ["film"], "id", -2.0).withColumn("value", F.col("value") * 3)
+    products = hmm.Products(a, b, "id", lambda value, i, j: value * 3)
+    for run in (lambda x: hmm.best_path(spark, x, ["film"], moves, 2), lambda x: hmm.posteriors(spark, x, ["film"], moves, 0.0, 2)):
+        found, expected = (sorted(map(tuple, run(x).collect())) for x in (products, cells))
+        off = [(x, y) for x, y in zip(found, expected) if x[:3] != y[:3] or not np.allclose(x[3:], y[3:])]
+        assert len(found) == len(expected) > 0 and not off
+    assert np.allclose(*(hmm.fit_moves(spark, x, ["film"], moves, 1, 2)[0] for x in (products, cells)))
+    with pytest.raises(Exception, match="distinct"):
+        hmm.best_path(spark, hmm.Products(a.union(a), b, "id", lambda value, i, j: value), ["film"], moves)
+
+
+def test_no_cell_is_written(spark):
+    folder, rng, n = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")), np.random.default_rng(3), 700
+    before = set(folder.rglob("*.parquet"))
+    table = spark.createDataFrame([(k, "x", rng.normal(size=2).tolist()) for k in range(n)], "id long, film string, embedding array<float>")
+    assert hmm.best_path(spark, hmm.Products(table, table, "id", lambda value, i, j: value), ["film"], [-1.0, 0.0, -1.0]).count() == n
+    assert sum(p.stat().st_size for p in set(folder.rglob("*.parquet")) - before if p.is_file()) < 8 * n * n / 8  # an eighth of the cells' bytes
+
+
+@pytest.mark.parametrize("wide", [1.0, 900.0])
+def test_sums_of_narrow_and_wide_vectors(wide):
+    rng, moves = np.random.default_rng(1), np.array([-np.inf, -0.5, -0.1, -3.0, -1.0])
+    for n in (1, 2, 9):
+        x = rng.normal(size=n) * wide
+        x[rng.random(n) < 0.2] = -np.inf
+        expected = [np.logaddexp.reduce([x[s - d] + moves[d + 2] for d in range(-2, 3) if 0 <= s - d < n] + [-np.inf]) for s in range(n)]
+        assert np.allclose(hmm.advance(x, moves, np.logaddexp), expected)
