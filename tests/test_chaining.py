@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from cueline.operators import chaining
@@ -74,3 +75,19 @@ def test_a_task_has_one_tile(spark):
     rows = [("x", k, k, 1.0) for k in range(300)]
     assert len(run(spark, rows, tile=120)) == 300
     assert max(r[6] for r in run(spark, rows, tile=120)) == 300.0
+
+
+def test_a_dense_tile_hands_on_few_anchors():
+    rng = np.random.default_rng(1)
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(200), np.arange(200), indexing="ij"))
+    weight, none = rng.integers(1, 9, len(i)).astype(float), (np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    *_, value = chaining.chain_tile(i, j, weight, 0.5, none, none, none)
+    sent = chaining._bests(value, i, j, np.arange(len(i))) | chaining._bests(value, i, j, np.lexsort((i, j)))
+    assert 0 < sent.sum() < len(i) / 10
+
+
+@pytest.mark.parametrize("gap", [0.0, 0.5])
+def test_dense_anchors_over_tiles(spark, gap):
+    rng = random.Random(3)
+    rows = [("x", i, j, float(rng.randrange(1, 9))) for i in range(24) for j in range(24) if rng.random() < 0.6]
+    assert run(spark, rows, gap=gap, tile=9) == sorted(("x", *r) for r in brute([x[1:] for x in rows], gap))
