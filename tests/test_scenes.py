@@ -3,8 +3,9 @@ from itertools import product
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from cueline.operators import scenes
+from cueline.operators import anchors, scenes
 
 KIND = "film string, scene long, window long, cost double"
 
@@ -67,3 +68,17 @@ def test_costs_are_mean_distances_of_best_matches(spark):
     rows = [("x", 0, 0, i, v) for i, v in ((0, 0.5), (0, 0.75), (1, 0.25))] + [("x", 0, 1, 0, 1.0)]
     cells = spark.createDataFrame(rows, "film string, scene long, window long, i long, value double")
     assert sorted(map(tuple, scenes.scene_costs(cells, ["film"]).collect())) == [("x", 0, 0, 0.5), ("x", 0, 1, 0.0)]
+
+
+def test_packed_costs_equal_a_table_of_cells(spark):
+    rng = np.random.default_rng(8)
+    rows = [(f, s, i, rng.normal(size=3).tolist()) for f, n in (("a", 13), ("b", 4), (None, 3)) for s in "xy" for i in range(n)] + [("a", "x", 30, [1.0, 0.0, 0.0]), ("a", "y", 14, None), ("b", "x", 5, None)]
+    table = spark.createDataFrame(rows, "film string, side string, pos int, embedding array<double>")
+    a, b = (table.where(f"side = '{s}'") for s in "xy")
+    cells = anchors.pairwise(a, b, ["film"], "pos").withColumn("scene", F.floor(F.col("i") / 3)).withColumn("window", F.floor(F.col("j") / 2))
+    costs = scenes.scene_costs(cells, ["film"]).withColumn("cost", F.round(F.col("cost") * 1000))
+    expected = scenes.align_scenes(costs, ["film"], 2, 15.0, 820.0).collect()
+    for block in (2, 1000):
+        packed = anchors.best_matches(a, b, ["film"], "pos", 3, 2, block=block)
+        assert sorted(map(tuple, scenes.align_packed(packed, ["film"], 2, 15.0, 820.0, 0, 1000).collect()), key=str) == sorted(map(tuple, expected), key=str)
+    assert len(expected) == 11 + 2

@@ -110,3 +110,24 @@ def test_blocked_pairs_equal_all_pairs(spark, metric):
             for k, v in sorted(pairs.items(), key=lambda p: (-round(p[1], 9), p[0][3 - side])):
                 top.setdefault((side, k[0], k[side]), k)
         assert best == {k for (side, *_), k in top.items() if side == 1} & {k for (side, *_), k in top.items() if side == 2}
+
+
+@pytest.mark.parametrize("metric", vector.METRICS)
+def test_all_pairs_by_blocks_equal_all_pairs(spark, metric):
+    rng = np.random.default_rng(6)
+    rows = [(k, i, rng.normal(size=3).tolist()) for k, n in (("x", 20), ("y", 5), (None, 4)) for i in range(n)]
+    rows += [("x", 97, [1.0, None, 2.0]), ("x", 98, [0.0, 0.0, 0.0]), ("x", 99, None), ("y", 100, [1.0, 2.0]), ("y", 101, [3.0, 1.0]), ("z", 1, [1.0, 0.0, 0.0])]
+    table = spark.createDataFrame(rows, "film string, id int, embedding array<double>")
+    a, b = table.where("id % 2 = 0"), table.where("id % 2 = 1")
+    for kind in ("similarity", "distance"):
+        expected = {(r["film"], r["i"], r["j"]): r["value"] for r in anchors.pairwise(a, b, ["film"], "id", metric, kind).collect()}
+        found = {(r["film"], r["i"], r["j"]): r["value"] for r in anchors.all_pairs(a, b, ["film"], "id", metric, kind, block=3).collect()}
+        assert {k for k, v in found.items() if v is None} == {k for k, v in expected.items() if v is None} and found.keys() == expected.keys()
+        assert {k: v for k, v in found.items() if v is not None} == pytest.approx({k: v for k, v in expected.items() if v is not None})
+    plan = anchors.all_pairs(a, b, ["film"], "id", metric)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "zip_with" not in plan  # pairs are not measured one by one
+
+
+def test_rounding():
+    assert anchors.rounded(np.array([0.5, -0.5, 1.5, 0.49999999999999994, -2.5, 1e300]), 0).tolist() == [1, -1, 2, 0, -3, 1e300]
+    assert anchors.rounded(np.array([0.1234565, -0.1234564]), 6).tolist() == [0.123457, -0.123456]
